@@ -1,0 +1,11 @@
+"""Operators of a training-data pipeline.  Nothing outside this subpackage imports it.
+
+Functions sent to executors are pickled by value, so a cluster needs no copy of
+this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
