@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
 from vellum.llm.dedup import OP3_SQL, op3_exact_dedup
+from vellum.llm.langid import op1_language
 from vellum.llm.mix import OP2_SQL, op2_mix
+from vellum.llm.quality import op10_quality
 from vellum.llm.shards import op4_shards
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_mix": op2_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_shards": op4_shards,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
