@@ -5,12 +5,14 @@ from vellum.llm.langid import op1_language
 from vellum.llm.mix import OP2_SQL, op2_mix
 from vellum.llm.quality import op10_quality
 from vellum.llm.shards import op4_shards
+from vellum.llm.tokens import op8_token_ids
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_mix": op2_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_shards": op4_shards,
+    "op8_token_ids": op8_token_ids,
     "op10_quality": op10_quality,
 }
 
