@@ -3,6 +3,7 @@
 from vellum.llm.dedup import OP3_SQL, op3_exact_dedup
 from vellum.llm.langid import op1_language
 from vellum.llm.mix import OP2_SQL, op2_mix
+from vellum.llm.pii import op5_personal_data
 from vellum.llm.quality import op10_quality
 from vellum.llm.shards import op4_shards
 from vellum.llm.tokens import op8_token_ids
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_shards": op4_shards,
+    "op5_personal_data": op5_personal_data,
     "op8_token_ids": op8_token_ids,
     "op10_quality": op10_quality,
 }
