@@ -116,7 +116,7 @@ def votes(kind: str, span: str, before: str) -> list[int]:
     if kind == "email":
         known = 1 if re.split(r"[^A-Za-z]+", span.lower().rstrip(")]}"))[-1] in TOP_DOMAINS else -1
     elif kind == "card":
-        known = 1 if span[0] in "3456" else -1
+        known = 0 if span[0] in "3456" else -1
     elif kind == "phone":
         known = 1 if span[0] in "(+" else 0
     else:
