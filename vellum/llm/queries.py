@@ -3,6 +3,7 @@
 from vellum.llm.dedup import OP3_SQL, op3_exact_dedup
 from vellum.llm.langid import op1_language
 from vellum.llm.mix import OP2_SQL, op2_mix
+from vellum.llm.neardup import OP6_SQL, op6_near_duplicates
 from vellum.llm.pii import op5_personal_data
 from vellum.llm.quality import op10_quality
 from vellum.llm.shards import op4_shards
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_shards": op4_shards,
     "op5_personal_data": op5_personal_data,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_token_ids": op8_token_ids,
     "op10_quality": op10_quality,
 }
@@ -21,4 +23,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mix": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_near_duplicates": OP6_SQL,
 }
