@@ -22,6 +22,7 @@ fingerprint stored under that number tells strangers.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,9 +38,9 @@ from vellum.llm.common import documents, pick, shared_dir
 #: A block ends with the document that reaches one of these.
 BLOCK_IDS = 1 << 20
 BLOCK_DOCUMENTS = 20_000
-#: Chunks of text whose ids a worker remembers.
-MEMORY = 300_000
-#: Longer chunks are not remembered.
+#: Pieces of text whose ids a worker remembers.
+MEMORY = 500_000
+#: Longer pieces are not remembered.
 LONG = 64
 SCHEMA = "part int, place int, first long, last long, documents long, ids long, keys binary, payload binary, ends binary, levels binary, bits binary, fingerprints binary, places binary"
 
@@ -94,45 +95,67 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mixed_hash(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
+class Known(dict):
+    """Ids of pieces that follow a single space, as bytes; pieces met for the first time are encoded with that space."""
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+        # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.after = {c: self.whole(c) for c in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            # letters after a space are one token for the splitter: straight to the merges
+            word = f" {piece}".encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        elif piece[-1:] in self.after and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.after[piece[-1]]
+        else:
+            ids = self.whole(f" {piece}")
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, as bytes.  A single space before a character that is not white space always begins a token
     of byte-level BPE, so a text is cut there, and the ids of the pieces, most of them met before, are put together."""
 
     def __init__(self, path: str, cut: bool, end: int | None):
-        import os
-        import re
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer, self.kind) if cut else None
         self.before_word, self.odd_space = re.compile(r" (?=\S)"), re.compile(r" \s|^\s")
 
-    def add(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return self.tail
         if not self.cut:
-            return [np.array(e.ids, self.kind).tobytes() + self.tail for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            # the first piece has no space before it, all others begin with theirs
-            pieces = (self.before_word.split(text) if self.odd_space.search(text) else text.split(" ")) if text else []
-            pieces = [pieces[0], *[" " + p for p in pieces[1:]]] if pieces else []
-            if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                    new = list(dict.fromkeys(pieces))
-                self.add(new)
-            out.append(b"".join([self.known[p] for p in pieces]) + self.tail)
-            for p in new:
-                if len(p) > LONG:
-                    self.known.pop(p, None)
-        return out
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.tail
+        pieces = self.before_word.split(text) if self.odd_space.search(text) else text.split(" ")
+        first = pieces.pop(0)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        return (self.known.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, pieces)) + self.tail
+
+
+def encoder_of(path: str, cut: bool, end: int | None) -> Encoder:
+    """A worker process keeps its encoder from task to task, on the library's module, the one place that stays."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if (path, cut, end) not in kept:
+        kept[path, cut, end] = Encoder(path, cut, end)
+    return kept[path, cut, end]
 
 
 def block_row(part: int, place: int, keys: list, encoded: list[bytes], width: int) -> pa.RecordBatch:
@@ -159,18 +182,16 @@ def blocks(docs: DataFrame, tokenizer: str, end: int | None = 2, cut: bool = Tru
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, cut, end)
+        encoder = encoder_of(tokenizer, cut, end)
         width, place, part, keys, encoded, ids = encoder.kind.itemsize, 0, 0, [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                part = some.column("part")[0].as_py()
-                for k, e in zip(some.column("key").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
-                    keys.append(k), encoded.append(e)
-                    ids += len(e) // width
-                    if ids >= BLOCK_IDS or len(keys) >= BLOCK_DOCUMENTS:
-                        yield block_row(part, place, keys, encoded, width)
-                        place, keys, encoded, ids = place + 1, [], [], 0
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for k, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                keys.append(k), encoded.append(encoder.encode(value.as_py()))
+                ids += len(encoded[-1]) // width
+                if ids >= BLOCK_IDS or len(keys) >= BLOCK_DOCUMENTS:
+                    yield block_row(part, place, keys, encoded, width)
+                    place, keys, encoded, ids = place + 1, [], [], 0
         if keys:
             yield block_row(part, place, keys, encoded, width)
 
