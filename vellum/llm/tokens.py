@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +40,9 @@ from vellum.llm.common import documents, pick, shared_dir
 BLOCK_IDS = 1 << 20
 BLOCK_DOCUMENTS = 20_000
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 500_000
+MEMORY = 1_000_000
+#: Bytes of text encoded at once.
+PORTION = 16 << 20
 #: Longer pieces are not remembered.
 LONG = 64
 SCHEMA = "part int, place int, first long, last long, documents long, ids long, keys binary, payload binary, ends binary, levels binary, bits binary, fingerprints binary, places binary"
@@ -148,6 +151,36 @@ class Encoder:
         return (self.known.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, pieces)) + self.tail
 
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text.  Of all pieces of the texts each distinct one is looked up once; numpy puts their ids in order."""
+        out: list[bytes] = [self.tail] * len(texts)
+        even = []
+        for i, text in enumerate(texts):
+            if text and self.cut and not self.odd_space.search(text):
+                even.append(i)
+            elif text:
+                out[i] = self.encode(text)
+        if not even:
+            return out
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        pieces = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
+        bounds, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        ids = [self.known[p] for p in distinct]
+        codes[bounds[:-1]] = len(distinct) + np.arange(len(even))  # no space before the first pieces
+        ids += [self.known.whole(p) for p in pieces.values.take(pa.array(bounds[:-1])).to_pylist()]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        pool, start = np.frombuffer(b"".join(ids), self.kind), np.cumsum(length) - length
+        n = length[codes]
+        until = np.cumsum(n)
+        flat = pool[np.repeat(start[codes] - until + n, n) + np.arange(until[-1])]
+        ends = until[bounds[1:] - 1]
+        for i, s, e in zip(even, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[i] = flat[s:e].tobytes() + self.tail
+        return out
+
+
 def encoder_of(path: str, cut: bool, end: int | None) -> Encoder:
     """A worker process keeps its encoder from task to task, on the library's module, the one place that stays."""
     import tokenizers
@@ -158,6 +191,16 @@ def encoder_of(path: str, cut: bool, end: int | None) -> Encoder:
     return kept[path, cut, end]
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have PORTION bytes, or a single text has more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def block_row(part: int, place: int, keys: list, encoded: list[bytes], width: int) -> pa.RecordBatch:
     ends = np.cumsum([len(e) // width for e in encoded], dtype=np.int64)
     real = [k for k in keys if k is not None]
@@ -186,12 +229,13 @@ def blocks(docs: DataFrame, tokenizer: str, end: int | None = 2, cut: bool = Tru
         width, place, part, keys, encoded, ids = encoder.kind.itemsize, 0, 0, [], [], 0
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for k, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                keys.append(k), encoded.append(encoder.encode(value.as_py()))
-                ids += len(encoded[-1]) // width
-                if ids >= BLOCK_IDS or len(keys) >= BLOCK_DOCUMENTS:
-                    yield block_row(part, place, keys, encoded, width)
-                    place, keys, encoded, ids = place + 1, [], [], 0
+            for some in portions(batch.select(["key", "text"])):
+                for k, e in zip(some.column("key").to_pylist(), encoder.encode_many(some.column("text").to_pylist()), strict=True):
+                    keys.append(k), encoded.append(e)
+                    ids += len(e) // width
+                    if ids >= BLOCK_IDS or len(keys) >= BLOCK_DOCUMENTS:
+                        yield block_row(part, place, keys, encoded, width)
+                        place, keys, encoded, ids = place + 1, [], [], 0
         if keys:
             yield block_row(part, place, keys, encoded, width)
 
