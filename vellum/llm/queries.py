@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from vellum.llm.decontaminate import OP7_SQL, op7_decontaminate
 from vellum.llm.dedup import OP3_SQL, op3_exact_dedup
 from vellum.llm.langid import op1_language
 from vellum.llm.mix import OP2_SQL, op2_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_shards": op4_shards,
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_ids": op8_token_ids,
     "op10_quality": op10_quality,
 }
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op2_mix": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op6_near_duplicates": OP6_SQL,
+    "op7_decontaminate": OP7_SQL,
 }
