@@ -8,6 +8,7 @@ from vellum.llm.neardup import OP6_SQL, op6_near_duplicates
 from vellum.llm.pii import op5_personal_data
 from vellum.llm.quality import op10_quality
 from vellum.llm.shards import op4_shards
+from vellum.llm.substrings import op9_substring_dedup
 from vellum.llm.tokens import op8_token_ids
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_ids": op8_token_ids,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 
