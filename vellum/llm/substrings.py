@@ -4,7 +4,7 @@ The suffixes are dealt out by content, so that each part is sorted on its own by
 algorithm (Kärkkäinen and Sanders, 2003): sort the sampled triples, recurse on their names, merge the other
 suffixes in, and compare the prefixes of neighbours.
 
-Each string of 100 bytes has an anchor: of its 16-byte substrings the one of least hash, the leftmost of
+Each string of 100 bytes has an anchor: of its 32-byte substrings the one of least hash, the leftmost of
 equals.  Equal strings have equal anchors at equal places, so only strings of one anchor have to meet.  An
 anchor's run is the stretch of text whose strings it is the anchor of.  Of runs of equal content all but the first
 are repeats as a whole, and a run alone with its anchor has no repeats; suffixes are sorted only of runs that
@@ -27,14 +27,15 @@ from vellum.llm.common import documents, join_hot, pick, stored
 from vellum.llm.neardup import Powers, mix
 
 LENGTH = 100
-GRAM = 16
+#: Long enough that few strings share one by chance.
+GRAM = 32
 SPAN = LENGTH - GRAM + 1
 #: Strings whose anchors are found at once.
 PIECE = 1 << 20
 #: Bytes of runs that are suffix-sorted together, at least; an anchor of more than MOST runs has its strings dealt out one by one instead.
 BATCH, MOST = 1 << 18, 2000
-#: Ranges broadcast to documents: up to so many; beyond, documents and ranges are shuffled.
-BROADCAST_RANGES = 4_000_000
+#: Ranges (16 MB) and row numbers (16 MB) broadcast to documents: up to so many; beyond, documents are shuffled.
+BROADCAST_RANGES, BROADCAST_ROWS = 500_000, 2_000_000
 LAST = (1 << 63) - 1
 RUN = "key long, snip long, ord long, row long, lo int, hi int"
 
@@ -241,7 +242,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     firsts = sums.groupBy("digest").agg(F.min(F.struct("ord", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = join_hot(sums.select("row", "n", "digest"), stored(firsts, "copied"), "digest", "copies", total).filter("row <> first.row")
     copies = stored(copies.select("row", "n"), "copies")
-    apart = F.broadcast(copies.select("row")) if copies.count() <= BROADCAST_RANGES else copies.select("row")
+    apart = F.broadcast(copies.select("row")) if copies.count() <= BROADCAST_ROWS else copies.select("row")
 
     sifted = stored(sift(all_runs(flat.join(apart, "row", "left_anti"))), "runs")
     unlike = sifted.filter("not again")
