@@ -39,3 +39,12 @@ def cascade(*steps: tuple[Column, Column | str], otherwise: Column | str | None
     for condition, value in steps:
         out = out.when(condition, value if isinstance(value, Column) else F.lit(value))
     return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+
+
+def rounded(x: Number) -> Column:
+    """x to six places, halves up, by operations that every engine does alike."""
+    return F.floor(col(x) * 1e6 + 0.5) / F.lit(1e6)
+
+
+def rounded_sql(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5e0) / 1e6"

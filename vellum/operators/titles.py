@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.numbers import rounded
 
 #: Lines further down than this are not ranked once a line has been.
 LOWEST = 0.62
@@ -26,7 +27,7 @@ def best_titles(lines: DataFrame, *keys: str) -> DataFrame:
     The best line is an arg-max, so pages are aggregated, with partial results, and not sorted.
     """
     best = ranked_lines(lines, *keys).groupBy(*keys).agg(F.max_by(F.struct("line", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    return best.select(*keys, T.safe_base_name(T.truncated(F.col("b.line"))).alias("title"), F.round("b.score", 6).alias("score"))
+    return best.select(*keys, T.safe_base_name(T.truncated(F.col("b.line"))).alias("title"), rounded("b.score").alias("score"))
 
 
 def first_titles(lines: DataFrame, key: str, page: str) -> DataFrame:

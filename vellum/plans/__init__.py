@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import titles
+from vellum.plans import candidates, titles
 
-PARTS = (titles,)
+PARTS = (titles, candidates)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in PARTS for name, text in part.ORACLE.items()}

@@ -72,7 +72,7 @@ QUERIES = {
     f.__name__: f for f in (title_per_document, title_first_of_two, safe_file_names, default_file_names, stem_names, language_tags, safe_relative_paths)
 }
 ORACLE = {
-    "title_per_document": oracle("WITH l0 AS (SELECT * FROM {lines})," + LINE_SCORES.replace("KEYS", "doc_id") + "SELECT doc_id, title, round(score, 6) AS score FROM t"),
+    "title_per_document": oracle("WITH l0 AS (SELECT * FROM {lines})," + LINE_SCORES.replace("KEYS", "doc_id") + "SELECT doc_id, title, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM t"),
     "title_first_of_two": oracle(
         "WITH l0 AS (SELECT session_id, page_no, unnest(range(len(ls))) AS ord, unnest(ls) AS raw FROM (SELECT session_id, page_no, string_split(text, chr(10)) AS ls FROM {scans} WHERE page_no <= 2)),"
         + LINE_SCORES.replace("KEYS", "session_id, page_no")
