@@ -35,6 +35,7 @@ FROM {{lineitem}}
 """
 QUADS = f"""
 SELECT l_orderkey AS page_id, {ORD} AS ord, l_quantity / 50e0 AS confidence, {share("l_suppkey", 10)} AS clipping, l_partkey % 3 = 0 AS stable,
+  CAST(l_suppkey % 9 - 4 AS DOUBLE) * 6e0 AS jx, CAST(l_partkey % 9 - 4 AS DOUBLE) * 8e0 AS jy,
   CASE l_linenumber % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'left' ELSE 'right' END AS side, 1000 AS width, 1400 AS height,
   CAST(20 + l_partkey % 60 * (1 + l_suppkey % 5) AS DOUBLE) AS x0, CAST(20 + l_suppkey % 40 * (1 + l_partkey % 9) AS DOUBLE) AS y0,
   CAST(900 - l_partkey % 35 * (1 + l_suppkey % 11) AS DOUBLE) AS x1, CAST(25 + l_partkey % 30 AS DOUBLE) AS y1,
@@ -42,7 +43,24 @@ SELECT l_orderkey AS page_id, {ORD} AS ord, l_quantity / 50e0 AS confidence, {sh
   CAST(30 + l_suppkey % 25 AS DOUBLE) AS x3, CAST(1350 - l_partkey % 65 AS DOUBLE) AS y3
 FROM {{lineitem}}
 """
+EVIDENCE = f"""
+SELECT l_orderkey AS page_id, {ORD} AS ord,
+  CASE l_linenumber % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'right' WHEN 2 THEN 'bottom' ELSE 'left' END AS edge,
+  CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'left' ELSE 'right' END AS side,
+  {share("l_partkey", 24, 0.6)} AS transition, {share("l_suppkey", 16, 0.8)} AS support, {share("l_partkey", 12, 0.1)} AS border, {share("l_suppkey", 18, 0.7)} AS occlusion,
+  {share("l_partkey", 28, 0.5, 0.5)} AS containment, {share("l_suppkey", 36, 1.2, 0.7)} AS expansion, {share("l_partkey", 33)} AS continuity, {share("l_suppkey", 22, 0.6, 0.4)} AS ownership,
+  {share("l_partkey", 38, 0.9)} AS adjacent, {share("l_suppkey", 12)} AS envelope, l_partkey % 5 AS reliable_edges, l_suppkey % 4 <> 0 AS reliable, l_partkey % 23 = 0 AS partial_raw,
+  l_partkey % 19 <> 0 AS has_corners, l_suppkey % 17 <> 0 AS in_bounds, l_partkey % 13 <> 0 AS convex,
+  CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE {share("l_suppkey", 25)} END AS paper_score, l_discount * 2e0 AS requested,
+  {share("l_partkey", 40, 0.016)} AS magnitude, {share("l_suppkey", 14, 0.6, 0.4)} AS confidence, {share("l_partkey", 15, 0.6, 0.4)} AS coverage, {share("l_suppkey", 21, 0.6, 0.4)} AS consistency,
+  {share("l_suppkey", 20, 0.01)} AS contour, {share("l_partkey", 26, 0.01)} AS internal, l_partkey % 5 AS evidence, l_suppkey % 4 AS n_geometry, l_partkey % 3 AS n_internal, l_suppkey % 2 = 0 AS agree,
+  l_partkey % 29 = 0 AS conflict, CAST(900 + l_partkey % 300 AS DOUBLE) AS before_w, CAST(1300 + l_suppkey % 90 AS DOUBLE) AS before_h,
+  CAST(900 + l_partkey % 300 + l_suppkey % 31 - 15 AS DOUBLE) AS after_w, CAST(1300 + l_suppkey % 90 + l_partkey % 41 - 20 AS DOUBLE) AS after_h,
+  {share("l_partkey", 21, 0.2, 0.8)} AS straight_before, {share("l_suppkey", 23, 0.2, 0.8)} AS straight_after, {share("l_partkey", 11, 0.04)} AS stretch
+FROM {{lineitem}}
+"""
 VIEWS = {
+    "evidence": EVIDENCE,
     "candidates": CANDIDATES,
     "quads": QUADS,
     "scans": """
