@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import candidates, refinement, titles
+from vellum.plans import boundaries, candidates, refinement, titles
 
-PARTS = (titles, candidates, refinement)
+PARTS = (titles, candidates, refinement, boundaries)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in PARTS for name, text in part.ORACLE.items()}

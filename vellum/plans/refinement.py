@@ -149,13 +149,16 @@ def conservative_corners(spark, d):
     return e.select("page_id", "ord", choice.alias("choice"), safe.alias("polygon"))
 
 
+def smooth_step(t):
+    return t * t * (F.lit(3.0) - t * 2.0)
+
+
 def tone_tables(spark, d):
     """Look-up tables of tone: paper is lifted from 120 on by a smooth step, foreground below 205 pulled down."""
     values = spark.range(256).select(F.col("id").cast("int").alias("v"))
-    t = clamp((F.col("v") - 120.0) / 135.0)
-    step = t * t * (F.lit(3.0) - t * 2.0)
-    paper = F.col("v") + (255.0 - F.col("v")) * step * 0.86
-    fore = F.when(F.col("v") < 205, F.col("v") - F.col("v") * (F.lit(1.0) - F.col("v") / 205.0) * 0.20).otherwise(F.col("v"))
+    up, down = clamp((F.col("v") - 120.0) / 120.0), clamp((F.lit(205.0) - F.col("v")) / 205.0)
+    paper = F.col("v") + (255.0 - F.col("v")) * 0.86 * smooth_step(up)
+    fore = F.col("v") * (F.lit(1.0) - smooth_step(down) * 0.20)
     return values.select("v", F.floor(paper + 0.5).cast("int").alias("paper"), F.floor(fore + 0.5).cast("int").alias("foreground"))
 
 
@@ -259,6 +262,6 @@ WITH w AS (SELECT page_id, ord, straight_after < straight_before*0.9e0 AS soft,
 SELECT page_id, ord, CASE WHEN reliable_edges >= 2 THEN 'edges' WHEN paper_score >= 0.56e0 THEN 'paper' WHEN expansion >= 0.98e0 THEN 'area' ELSE 'none' END AS choice,
   CASE WHEN convex AND expansion BETWEEN 0.96e0 AND 1.7e0 THEN 'refined' WHEN in_bounds THEN 'hybrid' WHEN has_corners THEN 'raw' ELSE 'none' END AS polygon FROM {evidence}"""),
     "tone_tables": """
-WITH v AS (SELECT range::INTEGER AS v, least(1e0, greatest(0e0, (range - 120e0)/135e0)) AS t FROM range(256))
-SELECT v, floor(v + (255e0 - v)*(t*t*(3e0 - t*2e0))*0.86e0 + 0.5e0)::INTEGER AS paper, floor(CASE WHEN v < 205 THEN v - v*(1e0 - v/205e0)*0.2e0 ELSE v END + 0.5e0)::INTEGER AS foreground FROM v""",
+WITH v AS (SELECT range::INTEGER AS v, least(1e0, greatest(0e0, (range - 120e0)/120e0)) AS u, least(1e0, greatest(0e0, (205e0 - range)/205e0)) AS d FROM range(256))
+SELECT v, floor(v + (255e0 - v)*0.86e0*(u*u*(3e0 - u*2e0)) + 0.5e0)::INTEGER AS paper, floor(v*(1e0 - d*d*(3e0 - d*2e0)*0.2e0) + 0.5e0)::INTEGER AS foreground FROM v""",
 }
