@@ -220,10 +220,9 @@ def single_strings(snippets: DataFrame, total: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The bytes of runs (key, ord, row, lo, hi)."""
+    """The bytes of runs (key, ord, row, lo, hi): most documents have some, so documents and runs are dealt out by row."""
     asked = runs.groupBy("row").agg(F.collect_list(F.struct("key", "ord", "lo", "hi")).alias("asked"))
-    few = runs.count() <= BROADCAST_RANGES
-    found = docs.select("row", "text").join(F.broadcast(asked) if few else asked, "row").select("row", F.col("text").cast("binary").alias("raw"), F.explode("asked").alias("a"))
+    found = docs.select("row", "text").join(asked, "row").select("row", F.col("text").cast("binary").alias("raw"), F.explode("asked").alias("a"))
     return found.select("a.key", "a.ord", "row", "a.lo", F.substring("raw", F.col("a.lo") + 1, F.col("a.hi") - F.col("a.lo") + LENGTH).alias("content"))
 
 
