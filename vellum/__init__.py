@@ -1 +1,10 @@
-"""Vellum: document-scan analytics as Spark DataFrame and SQL programs."""
+"""Vellum: document-scan analytics as Spark DataFrame and SQL programs.
+
+Functions sent to executors are pickled by value, so a cluster needs no copy of this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
