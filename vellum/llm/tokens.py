@@ -43,6 +43,8 @@ BLOCK_DOCUMENTS = 20_000
 MEMORY = 1_000_000
 #: Bytes of text encoded at once.
 PORTION = 16 << 20
+# fixed values: punctuation that may follow a word; apostrophes begin tokens of their own
+MARKS = ".,;:!?|*#$%&+-=_/()[]{}<>~^@"
 #: Longer pieces are not remembered.
 LONG = 64
 SCHEMA = "part int, place int, first long, last long, documents long, ids long, keys binary, payload binary, ends binary, levels binary, bits binary, fingerprints binary, places binary"
@@ -99,28 +101,43 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 class Known(dict):
-    """Ids of pieces that follow a single space, as bytes; pieces met for the first time are encoded with that space."""
+    """Ids of pieces without white space at their ends, as bytes; pieces met for the first time are encoded.
 
-    def __init__(self, tokenizer, kind: np.dtype):
-        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+    ``lead`` is what comes before each piece: a space, or nothing.  The splitter of byte-level BPE takes letters as one
+    token, punctuation after them as another, and a line break between other characters as a third, so such
+    pieces are put together from their parts, and letters go straight to the merges.
+    """
+
+    def __init__(self, tokenizer, kind: np.dtype, lead: str = " "):
+        self.tokenizer, self.model, self.kind, self.lead = tokenizer, tokenizer.model, kind, lead
         # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.after = {c: self.whole(c) for c in ".,"}
+        self.bare = Known(tokenizer, kind, "") if lead else self
+        self.line_break = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def clear(self) -> None:
+        super().clear()
+        if self.bare is not self:
+            self.bare.clear()
+
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
-            # letters after a space are one token for the splitter: straight to the merges
-            word = f" {piece}".encode().decode("latin-1").translate(self.alphabet)
+            word = f"{self.lead}{piece}".encode().decode("latin-1").translate(self.alphabet)
             ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
-        elif piece[-1:] in self.after and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self.after[piece[-1]]
         else:
-            ids = self.whole(f" {piece}")
+            line, found, rest = piece.partition("\n")
+            if found and line and rest and not line[-1].isspace() and not rest[0].isspace():
+                return self[line] + self.line_break + self.bare[rest]
+            word = piece.rstrip(MARKS)
+            if word != piece and word.isalpha():
+                ids = self[word] + self.bare[piece[len(word) :]]
+            else:
+                ids = self.whole(self.lead + piece)
         if len(piece) <= LONG:
             self[piece] = ids
         return ids
@@ -146,9 +163,9 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.tail
         pieces = self.before_word.split(text) if self.odd_space.search(text) else text.split(" ")
         first = pieces.pop(0)
-        if len(self.known) > MEMORY:
+        if len(self.known) + len(self.known.bare) > MEMORY:
             self.known.clear()
-        return (self.known.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, pieces)) + self.tail
+        return (self.known.bare[first] if first else b"") + b"".join(map(self.known.__getitem__, pieces)) + self.tail
 
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
@@ -162,14 +179,14 @@ class Encoder:
                 out[i] = self.encode(text)
         if not even:
             return out
-        if len(self.known) > MEMORY:
+        if len(self.known) + len(self.known.bare) > MEMORY:
             self.known.clear()
         pieces = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
         bounds, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
         codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         ids = [self.known[p] for p in distinct]
         codes[bounds[:-1]] = len(distinct) + np.arange(len(even))  # no space before the first pieces
-        ids += [self.known.whole(p) for p in pieces.values.take(pa.array(bounds[:-1])).to_pylist()]
+        ids += [self.known.bare[p] for p in pieces.values.take(pa.array(bounds[:-1])).to_pylist()]
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         pool, start = np.frombuffer(b"".join(ids), self.kind), np.cumsum(length) - length
         n = length[codes]
