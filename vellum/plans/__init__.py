@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import boundaries, candidates, frames, pages, refinement, signals, titles
+from vellum.plans import boundaries, candidates, frames, native, pages, refinement, signals, titles
 
-PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames)
+PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames, native)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in PARTS for name, text in part.ORACLE.items()}
