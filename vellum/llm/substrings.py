@@ -37,7 +37,8 @@ BATCH, MOST = 1 << 18, 2000
 #: Ranges (16 MB) and row numbers (16 MB) broadcast to documents: up to so many; beyond, documents are shuffled.
 BROADCAST_RANGES, BROADCAST_ROWS = 500_000, 2_000_000
 LAST = (1 << 63) - 1
-RUN = "key long, snip long, ord long, row long, lo int, hi int"
+RUN = "key long, snip long, ord long, row long, lo int, hi int, again boolean"
+CHUNK = 200_000
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,22 +72,31 @@ def runs_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int32, np.int32))
 
 
+def run_batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Runs as a batch.  Of equal ones within it all but the first are known to be repeats: they are marked, and dealt out by document instead of by anchor."""
+    key, snip, order, row, lo, hi = (np.concatenate(c) for c in columns)
+    by = np.lexsort((lo, row, order, snip, key))
+    again = np.zeros(len(key), bool)
+    again[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (snip[by[1:]] == snip[by[:-1]])
+    key[again] = row[again]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, snip, order, row, lo, hi, again)], [c.split()[0] for c in RUN.split(", ")])
+
+
 def all_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, columns, pending = Powers(), [[] for _ in range(6)], 0
         for batch in batches:
-            columns, pending = [[] for _ in range(6)], 0
             for order, row, value in zip(batch.column("ord").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
                 got = runs_of(np.frombuffer(value.as_buffer(), np.uint8), powers)
                 n = len(got[0])
                 for column, x in zip(columns, (got[0], got[1], np.full(n, order, np.int64), np.full(n, row, np.int64), got[2], got[3]), strict=True):
                     column.append(x)
                 pending += n
-                if pending >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [c.split()[0] for c in RUN.split(", ")])
+                if pending >= CHUNK:
+                    yield run_batch(columns)
                     columns, pending = [[] for _ in range(6)], 0
-            if pending:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [c.split()[0] for c in RUN.split(", ")])
+        if pending:
+            yield run_batch(columns)
 
     return docs.select("ord", "row", "text").mapInArrow(run, RUN)
 
@@ -96,7 +106,12 @@ def sift(runs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = snip = held = None
+        place = [c.split()[0] for c in RUN.split(", ")].index("again")
         for batch in batches:
+            known = batch.column(place).to_numpy(zero_copy_only=False)
+            if known.any():
+                yield batch.filter(pa.array(known))
+                batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
             k, s = batch.column("key").to_numpy(), batch.column("snip").to_numpy()
@@ -110,13 +125,13 @@ def sift(runs: DataFrame) -> DataFrame:
             if held is not None and len(firsts) and not starts[0]:
                 yield held
             if len(firsts):
-                held = None if wanted[-1] else batch.slice(int(firsts[-1]), 1).append_column("again", pa.array([False]))
+                held = None if wanted[-1] else batch.slice(int(firsts[-1]), 1)
             keep = np.sort(np.concatenate((np.flatnonzero(~new), firsts[wanted])))
             if len(keep):
-                yield batch.take(pa.array(keep)).append_column("again", pa.array(~new[keep]))
+                yield batch.take(pa.array(keep)).set_column(place, "again", pa.array(~new[keep]))
             key, snip = k[-1], s[-1]
 
-    return runs.repartition("key").sortWithinPartitions("key", "snip", "ord", "row", "lo").mapInArrow(scan, f"{RUN}, again boolean")
+    return runs.repartition("key").sortWithinPartitions("key", "snip", "ord", "row", "lo").mapInArrow(scan, RUN)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
