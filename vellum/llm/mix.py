@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import WORD, documents, pick, stored
 
-GROUP_ROWS = 20_000
+#: Rows that one sorting group has on average.
+GROUP_ROWS = 5_000
 #: Virtual time is 1 where every source has sent its target.
 SHARES = (3, 1, 2)
 #: A table of row numbers and counts of so many rows (16 MB) is broadcast, a larger one shuffled.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import documents, pick, stored, without
 
 #: Rows that one sorting group of the slot numbering has on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
