@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def renumbered(pages: DataFrame, session: str, order: Column) -> DataFrame:
-    return pages.withColumn("place", F.row_number().over(W.partitionBy(session).orderBy(order)))
+    return pages.withColumn("place", F.row_number().over(W.partitionBy(session).orderBy(order)).cast("long"))
 
 
 def in_given_order(pages: DataFrame, wish: DataFrame, session: str, key: str, position: str) -> DataFrame:
@@ -60,7 +60,7 @@ def first_free(pages: DataFrame, session: str, number: str, start: int) -> DataF
     return tries.join(pages.select(session, number), [session, number], "left_anti").groupBy(session).agg(F.min(number).alias("free"))
 
 
-PAGE = "array<struct<page_no: long, raw_key: long, rotation: int>>"
+PAGE = "array<struct<page_no: long, raw_key: long, rotation: long>>"
 
 
 def to_json(pages: DataFrame, session: str, number: str) -> DataFrame:

@@ -40,7 +40,7 @@ def candidate_gate(spark, d):
 
 def candidate_topk(spark, d):
     c = view(spark, d, "candidates").withColumn("origin", F.when(F.col("ord") % 3 == 0, "paper").otherwise("edge"))
-    return O.top_k(c, "page_id", "origin", "area_ratio", {"edge": 3, "paper": 1}).select("page_id", "ord", "origin", "rank")
+    return O.top_k(c, "page_id", "origin", "area_ratio", {"edge": 3, "paper": 1}).select("page_id", "ord", "origin", F.col("rank").cast("long").alias("rank"))
 
 
 def candidate_union(spark, d):
@@ -49,7 +49,7 @@ def candidate_union(spark, d):
     parts = [c.filter(F.col("kind") == k).withColumn("finder", F.lit(i)) for i, k in enumerate(("document", "bookPage", "openBookSpread"))]
     all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
     place = F.row_number().over(W.partitionBy("page_id").orderBy("finder", "ord"))
-    return all_.select("page_id", "ord", "finder", place.alias("place"))
+    return all_.select("page_id", "ord", "finder", place.cast("long").alias("place"))
 
 
 def split_spreads(spark, d):

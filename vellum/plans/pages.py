@@ -18,7 +18,7 @@ def export_by_set(spark, d):
     chosen = scans(spark, d).filter("raw_key % 3 <> 0").select("raw_key")
     kept = scans(spark, d).join(chosen, "raw_key", "left_semi")
     place = F.row_number().over(W.partitionBy("session_id").orderBy("page_no"))
-    return kept.select("session_id", "raw_key", place.alias("place"))
+    return kept.select("session_id", "raw_key", place.cast("long").alias("place"))
 
 
 def export_by_order(spark, d):
@@ -144,7 +144,7 @@ def recoverable_sessions(spark, d):
     files = s.withColumn("name", F.concat(F.when(F.col("page_no") % 4 == 0, "tmp_").otherwise("raw_"), F.lpad(F.col("page_no").cast("string"), 3, "0"), F.lit(".jpg")))
     raw = O.recovered(files, "session_id", "name", F.col("raw_key"))
     both = O.meta_or_raw(meta, raw, "session_id")
-    return both.withColumn("place", F.row_number().over(W.orderBy(F.desc("created"), "session_id")))
+    return both.withColumn("place", F.row_number().over(W.orderBy(F.desc("created"), "session_id")).cast("long"))
 
 
 def recovery_status(spark, d):
@@ -174,7 +174,7 @@ def session_fold(spark, d):
 
 def illegal_transitions(spark, d):
     """Steps that the order idle, preparing, active, processing does not allow."""
-    e = view(spark, d, "signal").withColumn("state", F.length("event_type") % 4)
+    e = view(spark, d, "signal").withColumn("state", F.length("event_type").cast("long") % 4)
     before = F.lag("state").over(W.partitionBy("series_id").orderBy("pos"))
     legal = (F.col("state") == (F.col("before") + 1) % 4) | (F.col("state") == 0)
     return e.withColumn("before", before).filter(F.col("before").isNotNull() & ~legal).groupBy("before", "state").agg(F.count(F.lit(1)).alias("n"))

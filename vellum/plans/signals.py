@@ -76,14 +76,14 @@ def moving_averages(spark, d):
 
 def moving_medians(spark, d):
     s = series(spark, d).select("series_id", F.posexplode(S.moving(F.col("v"), 2, lambda w: S.percentile(F.array_sort(w), 0.5))).alias("i", "m"))
-    return s.select("series_id", (F.col("i") + 1).alias("pos"), r6("m").alias("median"))
+    return s.select("series_id", (F.col("i") + 1).cast("long").alias("pos"), r6("m").alias("median"))
 
 
 def smoothed_twice(spark, d):
     # through one-element arrays each pass is computed once, not once for every neighbour that reads it
     once = F.element_at(F.transform(F.array(F.col("v")), S.smoothed), 1)
     s = series(spark, d).withColumn("once", once).select("series_id", F.posexplode(F.element_at(F.transform(F.array("once"), S.smoothed), 1)).alias("i", "s"))
-    return s.select("series_id", (F.col("i") + 1).alias("pos"), r6("s").alias("value"))
+    return s.select("series_id", (F.col("i") + 1).cast("long").alias("pos"), r6("s").alias("value"))
 
 
 def shoulder_contrast(spark, d):

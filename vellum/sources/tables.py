@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
-ORD = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)"
+ORD = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT)"
 
 
 def share(column: str, steps: int, scale: float = 1.0, low: float = 0.0) -> str:
@@ -66,7 +66,7 @@ VIEWS = {
     "scans": """
 SELECT conv_id AS session_id, turn + 1 AS page_no, conv_id * 1000 + turn AS raw_key, (turn % 4) * 90 AS rotation, role AS side, text, length(text) AS byte_count
 FROM {conversations}""",
-    "signal": "SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value, event_type FROM {events}",
+    "signal": "SELECT user_id AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos, value, event_type FROM {events}",
     "frames": """
 SELECT user_id AS stream_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100 + (event_id % 5) * 40
   + CASE WHEN event_id % 23 = 0 THEN 900 ELSE 0 END AS t_ms, event_type <> 'error' AS detected, value / 100e0 AS confidence
