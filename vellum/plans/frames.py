@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.operators import images as I
+from vellum.operators import vision as V
 from vellum.sources.tables import table, view
 from vellum.streaming.stabilizer import stabilize_batch
 
@@ -66,5 +67,37 @@ def rectified_pages(spark, d):
     return I.per_picture(rows, picture, ink, "vec_id", "ink double, edges double")
 
 
-QUERIES = {f.__name__: f for f in (boundary_stabilizer, spread_raster, image_quality, enhanced_quality, rectified_pages)}
+def detected_pages(spark, d):
+    """Where the page lies in a picture, how much of it it takes, and what its edges are like."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+
+    def scene(row):
+        page = picture(row)
+        desk = np.full((150, 280), 60 + row[0] % 30, np.uint8)
+        desk[15:135, 20:260] = page
+        return desk
+
+    def find(grey):
+        found = V.detect_document(grey)
+        corners = found["corners"].ravel().round(3).tolist() if found else None
+        lines = V.hough_lines(V.canny(grey), 60)
+        return {"share": found["share"] if found else 0.0, "corners": corners, "lines": len(lines), "straight": V.straightness(grey)}
+
+    return I.per_picture(rows, scene, find, "vec_id", "share double, corners array<double>, lines long, straight double")
+
+
+def flattened_pages(spark, d):
+    """Pages bent by a known curve and flattened again: how far the result is from the page."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+
+    def difference(grey):
+        curve = V.edge_taper(np.sin(np.linspace(0, np.pi, grey.shape[1])) * 1.5, 0, grey.shape[1])
+        bent = V.flatten_curve(grey, -curve * 0.5, grey.shape[0])
+        back = V.flatten_curve(bent, curve * 0.5, grey.shape[0])
+        return {"difference": float(np.abs(back.astype(float) - grey).mean()), "ink": float((V.black_white(back) == 0).mean())}
+
+    return I.per_picture(rows, picture, difference, "vec_id", "difference double, ink double")
+
+
+QUERIES = {f.__name__: f for f in (boundary_stabilizer, spread_raster, image_quality, enhanced_quality, rectified_pages, detected_pages, flattened_pages)}
 ORACLE: dict[str, str] = {}

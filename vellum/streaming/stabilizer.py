@@ -47,6 +47,10 @@ def mean_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt((((OUTLINE @ a) - (OUTLINE @ b)) ** 2).sum(axis=1)).mean())
 
 
+def corner_distance(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.sqrt(((a - b) ** 2).sum(axis=1)).mean())
+
+
 def area(q: np.ndarray) -> float:
     n = np.roll(q, -1, axis=0)
     return abs(float((q[:, 0] * n[:, 1] - n[:, 0] * q[:, 1]).sum())) / 2
@@ -81,9 +85,12 @@ class Stabilizer:
     def settle(self, boundary: np.ndarray, now: int) -> None:
         self.stable, self.seen = boundary.ravel().tolist(), now
 
+    def near(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return mean_distance(a, b) <= SIMILAR
+
     def track(self, q: np.ndarray, now: int) -> None:
         c = None if self.candidate is None else np.array(self.candidate).reshape(4, 2)
-        if c is not None and mean_distance(c, q) <= SIMILAR:
+        if c is not None and self.near(c, q):
             q, self.matches = c + (q - c) * SMOOTHING, self.matches + 1
         else:
             self.matches = 1
@@ -130,6 +137,31 @@ class Stabilizer:
                 self.forget_candidate()
 
 
+@dataclass
+class CornerStabilizer(Stabilizer):
+    """The older rules: by corners alone, frames of little confidence count as misses, and shrinking is a move like any other."""
+
+    def update(self, detected: bool, confidence: float, corners: np.ndarray, now: int) -> None:
+        if not detected or confidence < 0.45:
+            self.expire(now)
+            return
+        s = None if self.stable is None else np.array(self.stable).reshape(4, 2)
+        away = None if s is None else corner_distance(s, corners)
+        if away is not None and away <= SIMILAR:
+            self.settle(s + (corners - s) * SMOOTHING, now)
+            return
+        self.track(corners, now)
+        if away is not None and away > SUDDEN:
+            self.expire(now)
+        elif self.matches >= MATCHES:
+            c = np.array(self.candidate).reshape(4, 2)
+            self.settle(c if s is None else s + (c - s) * SMOOTHING, now)
+            self.forget_candidate()
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return corner_distance(a, b) <= SIMILAR
+
+
 def replay(state: Stabilizer, frames: pd.DataFrame) -> pd.DataFrame:
     """One output row a frame, in order of time."""
     frames = frames.sort_values(["t_ms", "event_id"])
