@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -13,21 +12,28 @@ from vellum.functions.numbers import rounded
 LOWEST = 0.62
 
 
-def ranked_lines(lines: DataFrame, *keys: str) -> DataFrame:
-    """Meaningful lines (ord, raw) with their score.  A line too far down counts only where it is a page's first."""
-    line = lines.withColumn("line", T.collapsed(F.col("raw"))).filter(T.is_meaningful(F.col("line"))).withColumn("top", T.title_top(F.col("ord")))
-    first = F.min("ord").over(W.partitionBy(*keys))
-    line = line.withColumn("first", first).filter((F.col("top") <= LOWEST) | (F.col("ord") == F.col("first")))
-    return line.withColumn("score", T.title_score(F.col("line"), F.col("top")))
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a plain projection would be copied into every condition that reads it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def meaningful_lines(lines: DataFrame) -> DataFrame:
+    """Lines (ord, raw) that may be a title, with line, top and score."""
+    df = computed(lines.filter(F.col("raw").rlike(T.LETTER)), "line", T.collapsed(F.col("raw"))).drop("raw").filter(T.is_meaningful(F.col("line")))
+    return df.withColumn("top", T.title_top(F.col("ord"))).withColumn("score", T.title_score(F.col("line"), F.col("top")))
 
 
 def best_titles(lines: DataFrame, *keys: str) -> DataFrame:
     """One row per page that has a meaningful line: its title and score.  Of equal scores the earlier line wins.
 
-    The best line is an arg-max, so pages are aggregated, with partial results, and not sorted.
+    A line too far down counts only where it is a page's first, and then no line above it does: so the best of
+    the lines above, or else the first of all, both by one aggregation that combines before the shuffle.
     """
-    best = ranked_lines(lines, *keys).groupBy(*keys).agg(F.max_by(F.struct("line", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    return best.select(*keys, T.safe_base_name(T.truncated(F.col("b.line"))).alias("title"), rounded("b.score").alias("score"))
+    df = meaningful_lines(lines)
+    value = F.struct("line", "score")
+    best = F.max_by(value, F.when(F.col("top") <= LOWEST, F.struct("score", -F.col("ord"))))
+    found = df.groupBy(*keys).agg(best.alias("b"), F.min_by(value, "ord").alias("f")).select(*keys, F.coalesce("b", "f").alias("b"))
+    return found.select(*keys, T.safe_base_name(T.truncated(F.col("b.line"))).alias("title"), rounded("b.score").alias("score"))
 
 
 def first_titles(lines: DataFrame, key: str, page: str) -> DataFrame:
