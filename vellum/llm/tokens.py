@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ MEMORY = 1_000_000
 PORTION = 16 << 20
 # fixed values: punctuation that may follow a word; apostrophes begin tokens of their own
 MARKS = ".,;:!?|*#$%&+-=_/()[]{}<>~^@"
+PAIRS = [f" {chr(c)}" for c in range(128) if chr(c).isspace()]
 #: Longer pieces are not remembered.
 LONG = 64
 SCHEMA = "part int, place int, first long, last long, documents long, ids long, keys binary, payload binary, ends binary, levels binary, bits binary, fingerprints binary, places binary"
@@ -114,11 +116,12 @@ class Known(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.mark, self.code = lead.translate(self.alphabet), "H" if kind.itemsize == 2 else "I"
         self.bare = Known(tokenizer, kind, "") if lead else self
         self.line_break = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def clear(self) -> None:
         super().clear()
@@ -127,8 +130,9 @@ class Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
-            word = f"{self.lead}{piece}".encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+            # letters of ASCII stand for themselves
+            word = self.mark + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
+            ids = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
         else:
             line, found, rest = piece.partition("\n")
             if found and line and rest and not line[-1].isspace() and not rest[0].isspace():
@@ -156,12 +160,18 @@ class Encoder:
         self.known = Known(self.tokenizer, self.kind) if cut else None
         self.before_word, self.odd_space = re.compile(r" (?=\S)"), re.compile(r" \s|^\s")
 
+    def is_odd(self, text: str) -> bool:
+        """Whether white space follows a space or begins the text."""
+        if not text.isascii():
+            return bool(self.odd_space.search(text))
+        return text[0].isspace() or any(pair in text for pair in PAIRS)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return self.tail
         if not self.cut:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.tail
-        pieces = self.before_word.split(text) if self.odd_space.search(text) else text.split(" ")
+        pieces = self.before_word.split(text) if self.is_odd(text) else text.split(" ")
         first = pieces.pop(0)
         if len(self.known) + len(self.known.bare) > MEMORY:
             self.known.clear()
@@ -173,7 +183,7 @@ class Encoder:
         out: list[bytes] = [self.tail] * len(texts)
         even = []
         for i, text in enumerate(texts):
-            if text and self.cut and not self.odd_space.search(text):
+            if text and self.cut and not self.is_odd(text):
                 even.append(i)
             elif text:
                 out[i] = self.encode(text)
