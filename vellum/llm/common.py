@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all runs in one process (tests), a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -33,11 +36,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words_of(text: Column | str) -> Column:
-    """Words of a text as an array; null counts as empty."""
-    return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed: later columns cannot clash with others that docs has."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])
