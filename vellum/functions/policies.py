@@ -226,7 +226,3 @@ def spread_confidence() -> Column:
 
 def balance(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) <= 0.001, 0.0).otherwise(clamp(F.least(a, b) / F.greatest(a, b)))
-
-
-def col_or(name: str, value: float) -> Column:
-    return F.coalesce(col(name), F.lit(value))

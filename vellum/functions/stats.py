@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.numbers import clamp
 
 
 def total(values: Column) -> Column:
@@ -49,7 +48,3 @@ def smoothed(values: Column) -> Column:
 
 def consistency(positive: Column, negative: Column) -> Column:
     return F.when(positive + negative > 0, F.greatest(positive, negative) / (positive + negative)).otherwise(0.0)
-
-
-def held(values: Column) -> Column:
-    return F.transform(values, lambda v: clamp(v))
