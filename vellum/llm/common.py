@@ -50,10 +50,10 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows to one row per key in groups, where a few keys may hold most rows.
 
-    Groups of at least a thousandth of ``total`` (and 1000 rows) are 1000 at most, so those are
+    Groups of at least a ten-thousandth of ``total`` (and 100 rows) are 10,000 at most, so those are
     broadcast; the remaining keys are small enough to be dealt out by a shuffle.
     """
-    least = max(1000, total // 1000 + 1)
+    least = max(100, total // 10_000 + 1)
     hot = groups.filter(F.col(size) >= least)
     if hot.isEmpty():
         return rows.join(groups, key)
