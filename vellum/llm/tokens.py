@@ -41,7 +41,7 @@ from vellum.llm.common import documents, pick, shared_dir
 BLOCK_IDS = 1 << 20
 BLOCK_DOCUMENTS = 20_000
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 700_000
 #: Bytes of text encoded at once.
 PORTION = 16 << 20
 # fixed values: punctuation that may follow a word; apostrophes begin tokens of their own
