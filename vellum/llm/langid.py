@@ -147,10 +147,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     base = without(docs, *names)
     place = base.columns.index(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes) + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # broadcasts are pickled by reference, so only the model's values go: workers need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, is_letter = shared.value, letters()
+        m, is_letter = Model(**shared.value), letters()
         for batch in batches:
             best, score = [], []
             for value in batch.column(place):
