@@ -6,12 +6,17 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space is what these six ASCII characters are; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Files of a table whose paths are broadcast (some 10 MB); beyond it paths and rows meet in a shuffle.
+BROADCAST_FILES = 100_000
+#: A row's number is its file's number and, in these lower bits, its place in the file.
+PLACE_BITS = 36
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +41,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that stored() wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_rows(docs: DataFrame, name: str = "row", **columns: str) -> DataFrame:
+    """The named columns of docs, renamed (all, as _0, _1, ..., if none is named), and a number of each row.
+
+    The number is the same in every scan, however the scan is split: it is made of the file, by the order of all
+    paths, and the place in the file.  docs has to come straight from files (filters and projections may follow,
+    joins and explodes not); any other table is written to the shared folder first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        paths = docs.select(meta["file_path"].alias("file")).distinct()
+    except AnalysisException:
+        plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+        kept = stored(plain.select(*[plain[f"_{_place(docs, old)}"].alias(new) for new, old in columns.items()]) if columns else plain, "rows")
+        return with_rows(kept, name, **{c: c for c in kept.columns})
+    files = sorted(r["file"] for r in paths.collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
+    if len(files) <= BROADCAST_FILES:
+        numbers = F.broadcast(numbers)
+    wanted = [docs[old].alias(new) for new, old in columns.items()] if columns else [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    told = docs.select(*wanted, meta["file_path"].alias("_file"), meta["row_index"].alias("_place")).join(numbers, "_file")
+    return told.withColumn(name, F.shiftleft("_number", PLACE_BITS) + F.col("_place")).drop("_file", "_number", "_place")
+
+
+def _place(docs: DataFrame, column: str) -> int:
+    return [c.lower() for c in docs.columns].index(column.lower())
+
+
+def plain(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names, of rows that with_rows() made of docs."""
+    return rows.select(*[rows[f"_{i}"].alias(c) for i, c in enumerate(docs.columns)])
+
+
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed: later columns cannot clash with others that docs has."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])
