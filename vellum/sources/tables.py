@@ -59,8 +59,25 @@ SELECT l_orderkey AS page_id, {ORD} AS ord,
   {share("l_partkey", 21, 0.2, 0.8)} AS straight_before, {share("l_suppkey", 23, 0.2, 0.8)} AS straight_after, {share("l_partkey", 11, 0.04)} AS stretch
 FROM {{lineitem}}
 """
+SHEETS = """
+SELECT vec_id AS page_id, CASE vec_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'left' ELSE 'right' END AS side, 1000 AS width, 1400 AS height,
+  100e0 + CAST(vec_id % 5 AS DOUBLE) * 3e0 AS x0, 150e0 + CAST(vec_id % 4 AS DOUBLE) * 2e0 AS y0, 900e0 - CAST(vec_id % 7 AS DOUBLE) * 2e0 AS x1, 150e0 + CAST(vec_id % 6 AS DOUBLE) * 3e0 AS y1,
+  900e0 + CAST(vec_id % 4 AS DOUBLE) * 5e0 AS x2, 1270e0 - CAST(vec_id % 5 AS DOUBLE) * 4e0 AS y2, 100e0 - CAST(vec_id % 3 AS DOUBLE) * 6e0 AS x3, 1270e0 + CAST(vec_id % 8 AS DOUBLE) * 2e0 AS y3
+FROM {embeddings}
+"""
+# sixteen points along each edge of a sheet, moved outward or inward
+OUTLINE = """
+SELECT page_id, pos, o, CASE s WHEN 0 THEN 100e0 + t * 50e0 WHEN 1 THEN 900e0 + o WHEN 2 THEN 900e0 - t * 50e0 ELSE 100e0 - o END AS px,
+  CASE s WHEN 0 THEN 150e0 - o WHEN 1 THEN 150e0 + t * 70e0 WHEN 2 THEN 1270e0 + o ELSE 1270e0 - t * 70e0 END AS py
+FROM (SELECT vec_id AS page_id, x AS pos, CAST(floor(x / 16e0) AS INT) AS s, CAST(x % 16 AS DOUBLE) AS t, (mean - 128e0) * 0.4e0 AS o FROM (PROFILE) p) q
+"""
+# four curves of sixteen offsets: upper edge, lower edge, two lines of text
+CURVES = """
+SELECT vec_id AS page_id, CAST(floor(x / 16e0) AS INT) AS curve, x % 16 AS x, (mean - 128e0) * 0.2e0 + CAST(vec_id % 5 - 2 AS DOUBLE) * 1.5e0 AS off FROM (PROFILE) p
+"""
 VIEWS = {
     "evidence": EVIDENCE,
+    "sheets": SHEETS,
     "candidates": CANDIDATES,
     "quads": QUADS,
     "scans": """
@@ -80,6 +97,8 @@ DUCKDB_VIEWS = VIEWS | {
     "profile": "SELECT vec_id, unnest(range(len(embedding))) AS x, 128e0 + unnest(embedding)::DOUBLE * 200e0 AS mean FROM {embeddings}",
     "lines": "SELECT doc_id, unnest(range(len(ls))) AS ord, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents})",
 }
+for views in (SPARK_VIEWS, DUCKDB_VIEWS):
+    views |= {"outline": OUTLINE.replace("PROFILE", views["profile"]), "curves": CURVES.replace("PROFILE", views["profile"])}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
