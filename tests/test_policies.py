@@ -9,7 +9,7 @@ from vellum.functions import stats as S
 from vellum.functions import text as T
 from vellum.operators import images as I
 from vellum.operators import pages as O
-from vellum.operators import titles
+from vellum.operators import spreads, titles
 from vellum.streaming import stabilizer as Z
 
 
@@ -79,12 +79,14 @@ def raster(width, height, gutter=None, right=True):
     return x
 
 
-def test_spine_and_spreads():
-    assert I.detect_spine(np.full((120, 240), 240, np.uint8)) == (120, 0.15, True)
-    found = I.analyze_spread(raster(240, 120, 132))
-    assert found["layout"] == "spread" and 128 <= found["x"] <= 136 and found["confidence"] >= 0.72
-    assert I.analyze_spread(raster(300, 180, 150, right=False))["reason"] == "one_sided_content"
-    assert I.analyze_spread(raster(120, 240))["reason"] == "not_landscape"
+def test_spine_and_spreads(spark):
+    assert spreads.spine_of(np.full((120, 240), 240.0)) == (120, 0.15, True)
+    pictures = [raster(240, 120, 132), raster(300, 180, 150, right=False), raster(120, 240), np.zeros((5, 5), np.uint8)]
+    rows = spark.createDataFrame([(i, p.tobytes(), p.shape[1]) for i, p in enumerate(pictures)], "id long, pixels binary, width int")
+    found = {r["id"]: r for r in spreads.analyzed(rows, lambda r: np.frombuffer(r[1], np.uint8).reshape(-1, r[2]), "id").collect()}
+    assert found[0]["layout"] == "spread" and 128 <= found[0]["x"] <= 136 and found[0]["confidence"] >= 0.72
+    assert [found[i]["reason"] for i in range(4)] == ["none", "one_sided_content", "not_landscape", "image_too_small"]
+    assert [found[i]["x"] for i in (1, 2, 3)] == [150, 60, 2]
     left, right = I.split_spread(raster(240, 120), 126)
     assert left.shape[1] + right.shape[1] == 248
 
@@ -131,3 +133,26 @@ def test_stream_is_the_replay(spark, tmp_path):
     q.awaitTermination(120)
     times = sorted(r["t_ms"] for r in spark.table("throttled").collect() if r["stream_id"] == 0)
     assert times and all(b - a >= 250 for a, b in zip(times, times[1:], strict=False))
+
+
+def test_titles_of_boxed_lines(spark):
+    """Known answers: the tall line in the middle, nothing but a number, a low first line that still competes, and a height that counts for a fifth of the page at most."""
+    rows = [
+        ("korean", 0, "2024년 1학기", 30.0, 30.0), ("korean", 1, "세 줄 제목", 100.0, 72.0), ("korean", 2, "본문 내용입니다", 420.0, 25.0), ("number", 0, "1234", 10.0, 90.0),
+        ("low", 0, "Bottom Heading", 900.0, 190.0), ("low", 1, "upper words", 600.0, 10.0), ("low", 2, "too low now", 700.0, 190.0), ("tall", 0, "First of them", 0.0, 200.0), ("tall", 1, "Second one here", 10.0, 900.0),
+    ]
+    lines = spark.createDataFrame([(*r, 1000) for r in rows], "page string, ord int, raw string, box_top double, box_height double, page_height int")
+    got = {r["page"]: r["title"] for r in titles.best_titles(lines, "page").collect()}
+    assert got == {"korean": "세 줄 제목", "low": "Bottom Heading", "tall": "First of them"}
+
+
+def test_lengths_are_utf16_units(spark):
+    """An emoji counts for two: in what is long, and in where a title is cut; half a one is left out."""
+    smile = "\U0001F600"
+    cases = [
+        ("a" * 48 + smile, "a" * 48 + smile), ("a" * 49 + smile, "a" * 49), ("a" * 30 + " " + "b" * 30, "a" * 30), ("a" * 20 + " " + "b" * 40, "a" * 20 + " " + "b" * 29),
+        (smile * 12 + " " + "b" * 40, smile * 12 + " " + "b" * 25), (smile * 13 + " " + "b" * 40, smile * 13), ("x" * 24 + smile + " " + "y" * 25, "x" * 24 + smile),
+    ]
+    got = values(spark, [(c,) for c, _ in cases], "s string", T.truncated(F.col("s")))
+    assert got == [(w,) for _, w in cases]
+    assert values(spark, [("n" * 119 + smile,), (smile * 60,), (smile * 61,)], "s string", T.safe_file_name(F.col("s"))) == [("n" * 119 + ".pdf",), (smile * 60 + ".pdf",), (smile * 60 + ".pdf",)]

@@ -15,7 +15,7 @@ PAGE_NUMBER = rf"^(?i:page{BLANK}*)?[0-9]+(?:{BLANK}*/{BLANK}*[0-9]+)?$"
 DATE = rf"^[0-9]{{4}}[./년-]{BLANK}*[0-9]{{1,2}}(?:[./월-]{BLANK}*[0-9]{{1,2}}일?)?$"
 SENTENCE_END = r"[.!?。]$"
 FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'
-TITLE_LENGTH, NAME_LENGTH = 50, 120
+TITLE_LENGTH, NAME_LENGTH, TALLEST = 50, 120, 0.2
 
 
 def units(text: Column) -> Column:
@@ -42,19 +42,26 @@ def looks_like_sentence(line: Column) -> Column:
 
 
 def title_score(line: Column, top: Column, height: Column | float = 0.0, confidence: Column | float = 0.5) -> Column:
-    """Rank of a line as title: high on the page, tall, of a phrase's length, certain, and no sentence."""
+    """Rank of a line as title: high on the page, tall (a fifth of the page at most), of a phrase's length, certain, and no sentence."""
     n = units(line)
     length = cascade(((n >= 4) & (n <= 36), F.lit(1.4)), (n <= TITLE_LENGTH, F.lit(0.7)), otherwise=F.lit(0.1))
     sentence = F.when(looks_like_sentence(line), F.lit(0.8)).otherwise(F.lit(0.0))
-    return (F.lit(1.0) - top) * 4.0 + col(height) * 45.0 + length + col(confidence) * 0.4 - sentence
+    return (F.lit(1.0) - top) * 4.0 + clamp(height, 0.0, TALLEST) * 45.0 + length + F.coalesce(col(confidence), F.lit(0.5)) * 0.4 - sentence
+
+
+def head(text: Column, length: int) -> Column:
+    """The first ``length`` UTF-16 units; a character that would be cut in two is left out."""
+    coded = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(coded, 2 * length - 1, 1))
+    whole = F.when(last.between("D8", "DB"), 2 * length - 2).otherwise(2 * length)
+    return F.when(F.length(text) <= length // 2, text).otherwise(F.decode(F.substring(coded, F.lit(1), whole), "UTF-16BE"))
 
 
 def truncated(text: Column, length: int = TITLE_LENGTH) -> Column:
-    """At most ``length`` characters; cut at the last space if that is past the middle."""
-    head = F.substring(text, 1, length + 1)
-    space = F.lit(length + 1) - F.instr(F.reverse(head), " ")
-    at_space = (F.instr(head, " ") > 0) & (space >= length // 2)
-    cut = F.when(at_space, F.substring(head, F.lit(1), space.cast("int"))).otherwise(F.substring(head, 1, length))
+    """At most ``length`` UTF-16 units; cut at the last space if that is past the middle."""
+    start = head(text, length + 1)
+    before = F.regexp_extract(start, r"(?s)^(.*) ", 1)
+    cut = F.when((F.instr(start, " ") > 0) & (units(before) >= length // 2), before).otherwise(head(text, length))
     return F.when(units(text) <= length, text).otherwise(F.regexp_replace(cut, rf"{BLANK}+$", ""))
 
 
@@ -68,7 +75,7 @@ def safe_file_name(text: Column) -> Column:
     value = trimmed(text)
     value = F.when(F.lower(value).endswith(".pdf"), trimmed(F.substring(value, F.lit(1), F.length(value) - 4))).otherwise(value)
     value = safe_base_name(value)
-    value = F.when(F.length(value) > NAME_LENGTH, F.regexp_replace(F.substring(value, 1, NAME_LENGTH), rf"{BLANK}+$", "")).otherwise(value)
+    value = F.when(units(value) > NAME_LENGTH, F.regexp_replace(head(value, NAME_LENGTH), rf"{BLANK}+$", "")).otherwise(value)
     return F.when(value != "", F.concat(value, F.lit(".pdf")))
 
 

@@ -34,9 +34,9 @@ def robust_edge_fit(samples: DataFrame, edge: str) -> DataFrame:
 
 
 def spine_of_profiles(profiles: DataFrame, key: str) -> DataFrame:
-    """The gutter of each luminance profile (x, mean), as wide as it has columns: x, score, confidence and whether the middle had to do.
+    """The gutter of each luminance profile (x, mean, variance), as wide as it has columns: x, score, confidence and whether the middle had to do.
 
-    Means are smoothed, then each column near the middle is judged by how dark it is, how deep a valley and how central.
+    Means and variances are smoothed, then each column near the middle is judged by how dark it is, how deep a valley, how calm and how central.
     """
     by_x = W.partitionBy(key).orderBy("x")
     size = F.count(F.lit(1)).over(W.partitionBy(key))
@@ -45,20 +45,21 @@ def spine_of_profiles(profiles: DataFrame, key: str) -> DataFrame:
     shoulder, radius = F.greatest(F.lit(2), F.floor(F.col("w") * 0.04 + 0.5)), 1
     p = p.withColumns({"start": start, "end": end, "far": shoulder, "center": F.floor(F.col("w") / 2)})
     p = p.filter((F.col("x") >= F.greatest(F.col("start") - F.col("far"), F.lit(0))) & (F.col("x") <= F.least(F.col("end") + F.col("far"), F.col("w") - 1)))
-    p = p.withColumn("smooth", F.avg("mean").over(by_x.rowsBetween(-radius, radius)))
-    series = p.groupBy(key, "start", "end", "far", "center").agg(F.sort_array(F.collect_list(F.struct("x", "smooth"))).alias("s"))
-    at = series.select(key, "start", "end", "far", "center", "s", F.explode("s").alias("p")).select(key, "start", "end", "far", "center", "s", F.col("p.x").alias("x"), F.col("p.smooth").alias("m"))
+    near = by_x.rowsBetween(-radius, radius)
+    p = p.withColumns({"smooth": F.avg("mean").over(near), "varies": F.avg("variance").over(near)})
+    series = p.groupBy(key, "start", "end", "far", "center").agg(F.sort_array(F.collect_list(F.struct("x", "smooth", "varies"))).alias("s"))
+    at = series.select(key, "start", "end", "far", "center", "s", F.explode("s").alias("p")).select(key, "start", "end", "far", "center", "s", F.col("p.x").alias("x"), F.col("p.smooth").alias("m"), F.col("p.varies").alias("v"))
     first = F.get("s", F.lit(0))["x"]
     at = at.withColumns({"before": F.get("s", (F.col("x") - F.col("far") - first).cast("int"))["smooth"], "after": F.get("s", (F.col("x") + F.col("far") - first).cast("int"))["smooth"]}).drop("s")
     at = at.filter((F.col("x") >= F.col("start")) & (F.col("x") <= F.col("end")))
     all_ = W.partitionBy(key)
-    at = at.withColumns({"low": F.min("m").over(all_), "high": F.max("m").over(all_)})
+    at = at.withColumns({"low": F.min("m").over(all_), "high": F.max("m").over(all_), "calmest": F.min("v").over(all_), "wildest": F.max("v").over(all_)})
     dark = clamp((F.col("high") - F.col("m")) / F.greatest(F.lit(1.0), F.col("high") - F.col("low")))
     valley = clamp(((F.col("before") + F.col("after")) / 2.0 - F.col("m")) / 30.0)
     central = clamp(F.lit(1.0) - F.abs(F.col("x") - F.col("center")) / F.greatest(F.lit(1.0), (F.col("end") - F.col("center")).cast("double")))
-    at = at.withColumns({"dark": dark, "valley": valley, "central": central})
-    # a profile has one value a column, so every column is as calm as can be
-    at = at.withColumn("score", F.col("dark") * 0.38 + F.col("valley") * 0.32 + F.lit(0.0) * 0.18 + F.col("central") * 0.12)
+    calm = clamp((F.col("wildest") - F.col("v")) / F.greatest(F.lit(1.0), F.col("wildest") - F.col("calmest")))
+    at = at.withColumns({"dark": dark, "valley": valley, "calm": calm, "central": central})
+    at = at.withColumn("score", F.col("dark") * 0.38 + F.col("valley") * 0.32 + F.col("calm") * 0.18 + F.col("central") * 0.12)
     best = at.groupBy(key, "center").agg(F.max_by(F.struct("x", "score", "valley", "dark", "central"), F.struct("score", -F.col("x"))).alias("b"))
     sure = clamp(F.col("b.valley") * 0.55 + F.col("b.dark") * 0.30 + F.col("b.central") * 0.15)
     best = best.withColumn("c", sure).withColumn("fallback", (F.col("c") < 0.28) | (F.col("b.valley") < 0.08))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.operators import images as I
+from vellum.operators import spreads
 from vellum.operators import vision as V
 from vellum.sources.tables import table, view
 from vellum.streaming.stabilizer import stabilize_batch
@@ -37,7 +38,7 @@ def picture(row: tuple) -> np.ndarray:
 
 def spread_raster(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return I.per_picture(rows, picture, I.analyze_spread, "vec_id", "layout string, x long, confidence double, reason string")
+    return spreads.analyzed(rows, picture, "vec_id")
 
 
 def image_quality(spark, d):

@@ -134,7 +134,8 @@ def point_deduplication(spark, d):
 
 
 def spine_profiles(spark, d):
-    return O.spine_of_profiles(view(spark, d, "profile"), "vec_id")
+    p = view(spark, d, "profile").withColumn("variance", ((F.col("x") * 37 + F.col("vec_id") * 11) % 97).cast("double"))
+    return O.spine_of_profiles(p, "vec_id")
 
 
 def frame_throttle(spark, d):
@@ -202,11 +203,11 @@ SELECT series_id, {R('x')} AS rows, {R('y')} AS columns FROM (SELECT series_id,
     "point_deduplication": oracle(f"""WITH RECURSIVE s AS (SELECT series_id, pos, value FROM {{signal}}), f AS (SELECT series_id, pos, value AS last, 1 AS kept, value AS total FROM s WHERE pos = 1
   UNION ALL SELECT s.series_id, s.pos, CASE WHEN abs(last - value) > 15 THEN value ELSE last END, kept + CASE WHEN abs(last - value) > 15 THEN 1 ELSE 0 END, total + CASE WHEN abs(last - value) > 15 THEN value ELSE 0e0 END FROM f JOIN s ON s.series_id = f.series_id AND s.pos = f.pos + 1)
 SELECT series_id, arg_max(kept, pos) AS kept, {R('arg_max(total, pos)')} AS total FROM f GROUP BY series_id"""),
-    "spine_profiles": oracle(f"""WITH p AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS w FROM {{profile}}), g AS (SELECT *, floor(w*0.35e0 + 0.5e0) AS s, floor(w*0.65e0 + 0.5e0) AS e, greatest(2, floor(w*0.04e0 + 0.5e0)) AS far, w // 2 AS c FROM p),
-a AS (SELECT *, avg(mean) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM g WHERE x >= greatest(s - far, 0) AND x <= least(e + far, w - 1)),
-b AS (SELECT a.vec_id, a.x, a.m, a.c, a.e, l.m AS m0, r.m AS m1, min(a.m) OVER (PARTITION BY a.vec_id) AS low, max(a.m) OVER (PARTITION BY a.vec_id) AS high FROM a LEFT JOIN a l ON l.vec_id = a.vec_id AND l.x = a.x - a.far LEFT JOIN a r ON r.vec_id = a.vec_id AND r.x = a.x + a.far WHERE a.x BETWEEN a.s AND a.e),
+    "spine_profiles": oracle(f"""WITH p AS (SELECT *, (x*37 + vec_id*11) % 97 AS va, count(*) OVER (PARTITION BY vec_id) AS w FROM {{profile}}), g AS (SELECT *, floor(w*0.35e0 + 0.5e0) AS s, floor(w*0.65e0 + 0.5e0) AS e, greatest(2, floor(w*0.04e0 + 0.5e0)) AS far, w // 2 AS c FROM p),
+a AS (SELECT *, avg(mean) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m, avg(va) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM g WHERE x >= greatest(s - far, 0) AND x <= least(e + far, w - 1)),
+b AS (SELECT a.vec_id, a.x, a.m, a.c, a.e, l.m AS m0, r.m AS m1, a.v, min(a.v) OVER (PARTITION BY a.vec_id) AS vl, max(a.v) OVER (PARTITION BY a.vec_id) AS vh, min(a.m) OVER (PARTITION BY a.vec_id) AS low, max(a.m) OVER (PARTITION BY a.vec_id) AS high FROM a LEFT JOIN a l ON l.vec_id = a.vec_id AND l.x = a.x - a.far LEFT JOIN a r ON r.vec_id = a.vec_id AND r.x = a.x + a.far WHERE a.x BETWEEN a.s AND a.e),
 k AS (SELECT *, least(1e0, greatest(0e0, (high - m)/greatest(1e0, high - low))) AS dark, least(1e0, greatest(0e0, ((m0 + m1)/2e0 - m)/30e0)) AS valley, least(1e0, greatest(0e0, 1e0 - abs(x - c)/greatest(1e0, (e - c)::DOUBLE))) AS central FROM b),
-t AS (SELECT *, dark*0.38e0 + valley*0.32e0 + 0e0*0.18e0 + central*0.12e0 AS score FROM k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, x) = 1), u AS (SELECT *, least(1e0, valley*0.55e0 + dark*0.3e0 + central*0.15e0) AS q FROM t)
+t AS (SELECT *, dark*0.38e0 + valley*0.32e0 + least(1e0, greatest(0e0, (vh - v)/greatest(1e0, vh - vl)))*0.18e0 + central*0.12e0 AS score FROM k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, x) = 1), u AS (SELECT *, least(1e0, valley*0.55e0 + dark*0.3e0 + central*0.15e0) AS q FROM t)
 SELECT vec_id, CASE WHEN q < 0.28e0 OR valley < 0.08e0 THEN c ELSE x END::BIGINT AS x, {R('score')} AS score, {R('q')} AS confidence, q < 0.28e0 OR valley < 0.08e0 AS fallback FROM u"""),
     "frame_throttle": oracle("""WITH RECURSIVE s AS (SELECT stream_id, t_ms, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t_ms, event_id) AS n FROM {frames}), f AS (SELECT stream_id, n, t_ms, event_id, t_ms AS last, true AS kept FROM s WHERE n = 1
   UNION ALL SELECT s.stream_id, s.n, s.t_ms, s.event_id, CASE WHEN s.t_ms - last >= 250 THEN s.t_ms ELSE last END, s.t_ms - last >= 250 FROM f JOIN s ON s.stream_id = f.stream_id AND s.n = f.n + 1)
