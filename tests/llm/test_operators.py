@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import components, decontaminate, dedup, langid, mix, neardup, pii, quality, shards, substrings, tokens
+from vellum.llm.common import with_rows
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -408,25 +409,57 @@ def test_suffix_array():
             assert substrings.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
-def numbered(rows):
-    """Rows of one key have no order of their own: each gets a key."""
-    return [(i, t) for i, (_, t) in enumerate(sorted(rows, key=lambda r: key(r[0])))]
-
-
 @pytest.mark.parametrize("most", [2000, 1])
 def test_substrings(spark, odd, empty, tmp_path, monkeypatch, most):
+    """Repeated keys, nulls, a long text, and a passage that many documents share, with one task's bound and with the least: everything is split."""
     monkeypatch.setattr(substrings, "MOST", most)
     rng = np.random.default_rng(5)
-    rows = numbered(rows_of(odd))
+    rows = rows_of(odd)
     shared = ["".join(rng.choice(list("abcdé "), 400)) for _ in range(4)]
     rows += [(1000 + i, "".join(rng.choice(list("abcd "), 80)) + shared[i % 4][i : 100 + 5 * i] + "".join(rng.choice(list("abcd "), 50)) * (i % 3) + "é" * (i * 4)) for i in range(50)] + [(2000, None), (2001, "ab" * 300)]
+    passage = "".join(rng.choice(list("etaoin shrdlu"), 150))
+    rows += [(3000 + i // 2, "".join(rng.choice(list("xyz "), 3 + i % 60)) + passage + "".join(rng.choice(list("xyz "), 3 + i % 50))) for i in range(300)]
+    if most > 1:
+        monkeypatch.setattr(substrings, "PIECE", 1 << 16)
+        rows.append((4000, "".join(rng.choice(list("abcdefgh "), 300_000)) + passage + shared[0] * 2))
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
-    got = substrings.dedup_substrings(spark.read.parquet(str(tmp_path / "d"))).drop("spans").collect()
-    assert sorted(map(tuple, got)) == sorted(plain_substrings(rows))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    in_order = [(r["doc_id"], r["text"]) for r in with_rows(docs, doc_id="doc_id", text="text").orderBy("row").collect()]
+    got = substrings.dedup_substrings(docs).drop("spans").collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(**dict(zip(got[0].__fields__, r, strict=True)))) for r in plain_substrings(in_order))
     if most > 1:
         assert substrings.dedup_substrings(odd).count() == odd.count() and substrings.dedup_substrings(empty).count() == 0
 
 
+def test_rows_are_the_same_in_every_scan(spark, tmp_path):
+    """However many tasks a scan has: row numbers, and what operators make of them."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(150)]
+    rows = [(i, texts[i % 150] + (" end" if i % 7 else ""), "ab"[i % 2]) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).write.option("parquet.block.size", "8192").parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[::10])], "item_id long, text string")
+    seen, before = [], spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    try:
+        for tasks in ("2", "16"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", tasks)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k" if tasks == "16" else "4m")
+            docs = spark.read.parquet(str(tmp_path / "d"))
+            numbers = {(r["row"], r["doc_id"]) for r in with_rows(docs, doc_id="doc_id").collect()}
+            results = [neardup.near_duplicates(docs), neardup.keep_first(docs), decontaminate.clean(docs, bench), mix.mixed(docs), substrings.dedup_substrings(docs), dedup.dedup(docs)]
+            seen.append((numbers, [sorted(map(str, r.collect())) for r in results]))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 600
+
+
+def test_tables_that_are_not_files_are_numbered_too(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "doc_id long, text string, _file string")
+    assert sorted(r["doc_id"] for r in with_rows(docs, doc_id="doc_id").collect()) == [1, 2]
+    assert with_rows(docs).columns == ["_0", "_1", "_2", "row"]
+
+
 # 10: quality
 
 

@@ -6,9 +6,14 @@ suffixes in, and compare the prefixes of neighbours.
 
 Each string of 100 bytes has an anchor: of its 32-byte substrings the one of least hash, the leftmost of
 equals.  Equal strings have equal anchors at equal places, so only strings of one anchor have to meet.  An
-anchor's run is the stretch of text whose strings it is the anchor of.  Of runs of equal content all but the first
-are repeats as a whole, and a run alone with its anchor has no repeats; suffixes are sorted only of runs that
-share an anchor and differ, which is where copies begin, end or deviate.
+anchor's run is the stretch of text whose strings it is the anchor of.  Of runs of equal content (a 128-bit
+digest) all but the first are repeats as a whole, and a run alone with its anchor has no repeats; suffixes are
+sorted only of runs that share an anchor and differ, which is where copies begin, end or deviate.
+
+A part is an anchor's differing runs.  One with more runs than a task should sort is split: its strings go to
+two parts by the place of the anchor in them, and further by the bytes that all strings of such a half have in
+common.  Every string goes to one part, equal strings to the same.  Halving ends, after seven times at most,
+with parts of one string each, so parts are bounded however common a passage is.
 
 Documents equal to an earlier one are set apart at the start.
 """
@@ -20,25 +25,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from vellum.llm.common import documents, join_hot, pick, stored
+from vellum.llm.common import discard, documents, join_hot, stored, with_rows
 from vellum.llm.neardup import Powers, mix
 
 LENGTH = 100
 #: Long enough that few strings share one by chance.
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-#: Strings whose anchors are found at once.
+#: Strings whose anchors are found at once, and bytes of text that meet their runs at once.
 PIECE = 1 << 20
-#: Bytes of runs that are suffix-sorted together, at least; an anchor of more than MOST runs has its strings dealt out one by one instead.
-BATCH, MOST = 1 << 18, 2000
+#: Bytes of runs that are suffix-sorted together, at least, and runs of one part, at most.
+BATCH, MOST = 1 << 18, 256
 #: Ranges (16 MB) and row numbers (16 MB) broadcast to documents: up to so many; beyond, documents are shuffled.
 BROADCAST_RANGES, BROADCAST_ROWS = 500_000, 2_000_000
 LAST = (1 << 63) - 1
-RUN = "key long, snip long, ord long, row long, lo int, hi int, again boolean"
+#: key: hash of the anchor; salt: see all_runs; left, right: digest of the content; at: the anchor's place from lo.
+RUN = "key long, salt int, left long, right long, ord long, row long, lo int, hi int, at int, again boolean"
+NAMES = [c.split()[0] for c in RUN.split(", ")]
 CHUNK = 200_000
+#: Bytes of short texts whose runs are found together.
+TOGETHER = 1 << 17
+#: Documents that tell which anchors are hot, and anchors that are taken for hot at most.
+SAMPLE, MOST_HOT = 20_000, 10_000
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,61 +65,104 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first string, last string) of each run of a text's bytes."""
-    found: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, len(raw) - LENGTH + 1, PIECE):
-        part = raw[a : a + PIECE + LENGTH - 1]
-        up, down = powers.to(len(part) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])))
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1])
-        place = np.arange(len(grams), dtype=np.uint64)
-        least = sliding_minimum(grams >> np.uint64(22) << np.uint64(22) | place, SPAN)
-        anchor = (least & np.uint64((1 << 22) - 1)).astype(np.int64)
-        lo = np.flatnonzero(np.diff(anchor, prepend=-1))
-        hi = np.append(lo[1:], len(anchor)) - 1
-        at = anchor[lo]
-        content = (sums[hi + LENGTH] - sums[lo]) * down[lo]
-        snip = mix(mix(content + (at - lo).astype(np.uint64)) + (hi - lo).astype(np.uint64))
-        found.append((grams[at].view(np.int64), snip.view(np.int64), (lo + a).astype(np.int32), (hi + a).astype(np.int32)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int32, np.int32))
-
-
-def run_batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """Runs as a batch.  Of equal ones within it all but the first are known to be repeats: they are marked, and dealt out by document instead of by anchor."""
-    key, snip, order, row, lo, hi = (np.concatenate(c) for c in columns)
-    by = np.lexsort((lo, row, order, snip, key))
+def runs_of(raw: np.ndarray, starts: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, digest in two halves, first string, last string, anchor's place from the first) of each run of the texts that raw holds one after the other, from ``starts`` on."""
+    if len(raw) < LENGTH:
+        return tuple(np.empty(0, np.int64) for _ in range(7))
+    up, down = powers.to(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
+    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(raw) - GRAM + 1])
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = sliding_minimum(grams >> np.uint64(22) << np.uint64(22) | place, SPAN)
+    anchor = (least & np.uint64((1 << 22) - 1)).astype(np.int64)
+    # strings that do not leave their text; those that do part the runs of one text from the next one's
+    ends = np.append(starts[1:], len(raw))
+    step = np.zeros(len(raw) + 1, np.int32)
+    long = ends - starts >= LENGTH
+    step[starts[long]] += 1
+    step[ends[long] - LENGTH + 1] -= 1
+    whole = np.cumsum(step)[: len(anchor)] > 0
+    turn = np.append(True, (anchor[1:] != anchor[:-1]) | ~whole[:-1])
+    lo = np.flatnonzero(whole & turn)
+    hi = np.flatnonzero(whole & np.append(turn[1:] | ~whole[1:], True))
+    view = memoryview(raw)
+    digests = b"".join([xxh3_128_digest(view[i:j]) for i, j in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    text = np.searchsorted(starts, lo, "right") - 1
+    at = anchor[lo]
+    return text, grams[at].view(np.int64), halves[:, 0], halves[:, 1], lo - starts[text], hi - starts[text], at - lo
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(bytes, first text, texts) of stretches of a column's texts that are worked on together; a long text comes in pieces of its own, first -1 - its number and its place instead of texts."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(column):
+        k = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOGETHER, "right")) - 1)
+        if offsets[k] - offsets[i] <= PIECE:
+            yield raw[offsets[i] : offsets[k]], i, k - i
+        else:
+            for at in range(int(offsets[i]), int(offsets[k]) - LENGTH + 1, PIECE):
+                yield raw[at : min(at + PIECE + LENGTH - 1, int(offsets[k]))], -1 - i, at - int(offsets[i])
+        i = k
+
+
+def run_batch(columns: list[list[np.ndarray]], hot: np.ndarray) -> pa.RecordBatch:
+    """Runs as a batch.  Of equal ones within it all but the first are known to be repeats: they are marked, and dealt out at random instead of by anchor."""
+    key, left, right, order, row, lo, hi, at = (np.concatenate(c) for c in columns)
+    by = np.lexsort((lo, row, order, right, left, key))
     again = np.zeros(len(key), bool)
-    again[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (snip[by[1:]] == snip[by[:-1]])
-    key[again] = row[again]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, snip, order, row, lo, hi, again)], [c.split()[0] for c in RUN.split(", ")])
+    again[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (left[by[1:]] == left[by[:-1]]) & (right[by[1:]] == right[by[:-1]])
+    key[again] = mix((row[again] + lo[again]).view(np.uint64)).view(np.int64)
+    salt = np.where(np.isin(key, hot), 1 + (left & 0x3FF), 0)
+    values = [key, salt.astype(np.int32), left, right, order, row, *(c.astype(np.int32) for c in (lo, hi, at)), again]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in values], NAMES)
+
 
+def all_runs(docs: DataFrame, hot: list[int]) -> DataFrame:
+    """Runs of all texts; salt is 0, or for anchors in ``hot`` a number that the content gives."""
 
-def all_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, columns, pending = Powers(), [[] for _ in range(6)], 0
+        powers, columns, pending, crowded = Powers(), [[] for _ in range(8)], 0, np.array(hot, np.int64)
         for batch in batches:
-            for order, row, value in zip(batch.column("ord").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                got = runs_of(np.frombuffer(value.as_buffer(), np.uint8), powers)
-                n = len(got[0])
-                for column, x in zip(columns, (got[0], got[1], np.full(n, order, np.int64), np.full(n, row, np.int64), got[2], got[3]), strict=True):
+            order, row, text = (batch.column(c) for c in ("ord", "row", "text"))
+            order, row = order.to_numpy(), row.to_numpy()
+            offsets = np.append(0, np.cumsum(pc.binary_length(text).to_numpy()))
+            for raw, first, more in texts_of(text):
+                starts = np.zeros(1, np.int64) if first < 0 else offsets[first : first + more] - offsets[first]
+                number, *found, lo, hi, at = runs_of(raw, starts, powers)
+                number, far = (number - 1 - first, more) if first < 0 else (number + first, 0)
+                for column, x in zip(columns, (*found, order[number], row[number], lo + far, hi + far, at), strict=True):
                     column.append(x)
-                pending += n
+                pending += len(lo)
                 if pending >= CHUNK:
-                    yield run_batch(columns)
-                    columns, pending = [[] for _ in range(6)], 0
+                    yield run_batch(columns, crowded)
+                    columns, pending = [[] for _ in range(8)], 0
         if pending:
-            yield run_batch(columns)
+            yield run_batch(columns, crowded)
 
     return docs.select("ord", "row", "text").mapInArrow(run, RUN)
 
 
+def hot_anchors(docs: DataFrame, total: int) -> list[int]:
+    """Anchors that many runs share, as a sample of documents tells: they are dealt out by content too.  What is in the list changes no result."""
+    share = min(1.0, SAMPLE / max(1, total))
+    some = all_runs(docs.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20))), []).filter("not again")
+    found = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").orderBy(F.desc("n"), "key").limit(MOST_HOT)
+    return [r["key"] for r in found.collect()]
+
+
 def sift(runs: DataFrame) -> DataFrame:
-    """Runs sorted by anchor, content and order: repeats (again: true), and firsts of anchors with several contents (false).  Runs alone with their anchor go."""
+    """Runs sorted by anchor, content and order: repeats (again: true), and firsts of anchors with several contents (false).  Runs alone with their anchor go.
+
+    A hot anchor's runs are dealt out by content over many tasks, so they all stay.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = snip = held = None
-        place = [c.split()[0] for c in RUN.split(", ")].index("again")
+        key = left = right = held = None
+        place = NAMES.index("again")
         for batch in batches:
             known = batch.column(place).to_numpy(zero_copy_only=False)
             if known.any():
@@ -114,13 +170,13 @@ def sift(runs: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
-            k, s = batch.column("key").to_numpy(), batch.column("snip").to_numpy()
+            k, salt, a, b = (batch.column(c).to_numpy() for c in ("key", "salt", "left", "right"))
             new_key = np.append(k[0] != key if key is not None else True, k[1:] != k[:-1])
-            new = new_key | np.append(s[0] != snip if snip is not None else True, s[1:] != s[:-1])
+            new = new_key | np.append(key is None or a[0] != left or b[0] != right, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             firsts = np.flatnonzero(new)
             starts = new_key[firsts]
             # the first of an anchor goes out once a second content follows
-            wanted = ~starts
+            wanted = ~starts | (salt[firsts] > 0)
             wanted[:-1] |= ~starts[1:]
             if held is not None and len(firsts) and not starts[0]:
                 yield held
@@ -129,9 +185,9 @@ def sift(runs: DataFrame) -> DataFrame:
             keep = np.sort(np.concatenate((np.flatnonzero(~new), firsts[wanted])))
             if len(keep):
                 yield batch.take(pa.array(keep)).set_column(place, "again", pa.array(~new[keep]))
-            key, snip = k[-1], s[-1]
+            key, left, right = k[-1], a[-1], b[-1]
 
-    return runs.repartition("key").sortWithinPartitions("key", "snip", "ord", "row", "lo").mapInArrow(scan, RUN)
+    return runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "left", "right", "ord", "row", "lo").mapInArrow(scan, RUN)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -200,10 +256,10 @@ def as_ranges(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[begin], at[begin], at[end]
 
 
-def sorted_parts(snippets: DataFrame) -> DataFrame:
-    """Ranges of repeated strings among runs (key, ord, row, lo, content), anchor by anchor, by suffix sorting."""
+def sorted_parts(parts: DataFrame) -> DataFrame:
+    """Ranges of repeated strings among runs (part, ord, row, lo, content), part by part, by suffix sorting."""
 
-    def part(rows: list[tuple]) -> pa.RecordBatch:
+    def ranges(rows: list[tuple]) -> pa.RecordBatch:
         _, ords, ids, los, contents = zip(*rows, strict=True)
         ords, ids, los = np.array(ords), np.array(ids), np.array(los)
         hits = repeats_in(list(contents), ords, ids, los)
@@ -213,78 +269,124 @@ def sorted_parts(snippets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "ord", "row", "lo", "content")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("part", "ord", "row", "lo", "content")], strict=True):
                 if size >= BATCH and row[0] != rows[-1][0]:
-                    yield part(rows)
+                    yield ranges(rows)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[4])
         if rows:
-            yield part(rows)
+            yield ranges(rows)
+
+    return parts.select("part", "ord", "row", "lo", "content").repartition("part").sortWithinPartitions("part").mapInArrow(run, "row long, lo int, hi int")
+
+
+def with_counts(runs: DataFrame, total: int) -> DataFrame:
+    """Runs of parts that have several, with n, how many the part has."""
+    counts = stored(runs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    return join_hot(runs, counts, "part", "n", total)
+
+
+def halved(runs: DataFrame, block: int) -> DataFrame:
+    """Runs cut so that the anchor's place in their strings, divided by block, is one number; with the part that their strings belong to."""
+    least = F.col("at") - (F.octet_length("content") - LENGTH)
+    cut = runs.select("*", least.alias("least"), F.explode(F.sequence(F.floor(least / block), F.floor(F.col("at") / block))).alias("half"))
+    low, high = F.greatest("least", F.col("half") * block), F.least("at", F.col("half") * block + (block - 1))
+
+    def piece(of: str, start: Column, length: Column) -> Column:
+        return F.substring(of, (start + 1).cast("int"), length.cast("int"))
 
-    return snippets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, lo int, hi int")
+    cut = cut.select("part", "ord", "row", "half", (F.col("lo") + F.col("at") - high).cast("int").alias("lo"), high.cast("int").alias("at"), piece("content", F.col("at") - high, high - low + LENGTH).alias("content"))
+    common = piece("content", F.col("at") - F.col("half") * block, F.lit(LENGTH - block + 1))
+    return cut.select(F.xxhash64("part", "half", common).alias("part"), "ord", "row", "lo", "at", "content")
 
 
-def single_strings(snippets: DataFrame, total: int) -> DataFrame:
-    """The same for anchors of very many runs: each string is dealt out by its hash, and only minima are gathered."""
-    strings = snippets.select("ord", "row", "lo", "content", F.posexplode(F.sequence(F.lit(1), F.octet_length("content") - LENGTH + 1)).alias("i", "from"))
-    strings = strings.select("ord", "row", (F.col("lo") + F.col("i")).alias("at"), F.unhex(F.sha2(F.substring("content", F.col("from"), F.lit(LENGTH)), 256)).alias("string"))
-    firsts = strings.groupBy("string").agg(F.min(F.struct("ord", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = join_hot(strings, stored(firsts, "firsts"), "string", "n", total).filter(F.struct("ord", "row", "at") != F.col("first"))
-    return again.select("row", F.col("at").cast("int").alias("lo"), F.col("at").cast("int").alias("hi"))
+def repeated_ranges(runs: DataFrame, total: int) -> DataFrame:
+    """(row, lo, hi) of repeated strings among runs (part, ord, row, lo, at, content) whose contents differ within a part."""
+    found, block = [], SPAN
+    rest = stored(with_counts(runs, total), "parts")
+    while True:
+        found.append(sorted_parts(rest.filter(F.col("n") <= MOST)))
+        large = rest.filter(F.col("n") > MOST)
+        if large.isEmpty():
+            break
+        block = (block + 1) // 2
+        pieces = stored(halved(large, block).withColumn("same", F.struct("part", "content")), "pieces")
+        firsts = stored(pieces.groupBy("same").agg(F.min(F.struct("ord", "row", "lo", "at")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+        copies = join_hot(pieces, firsts.filter("copies > 1"), "same", "copies", total).filter(F.struct("ord", "row", "lo") != F.struct("first.ord", "first.row", "first.lo"))
+        found.append(copies.select("row", "lo", (F.col("lo") + F.octet_length("content") - LENGTH).cast("int").alias("hi")))
+        rest = stored(with_counts(firsts.select("same.part", "first.*", "same.content"), total), "parts")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def contents(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The bytes of runs (key, ord, row, lo, hi): most documents have some, so documents and runs are dealt out by row."""
-    asked = runs.groupBy("row").agg(F.collect_list(F.struct("key", "ord", "lo", "hi")).alias("asked"))
-    found = docs.select("row", "text").join(asked, "row").select("row", F.col("text").cast("binary").alias("raw"), F.explode("asked").alias("a"))
-    return found.select("a.key", "a.ord", "row", "a.lo", F.substring("raw", F.col("a.lo") + 1, F.col("a.hi") - F.col("a.lo") + LENGTH).alias("content"))
+    """The bytes of runs (key, ord, row, lo, hi, at): most documents have some, so runs and pieces of documents meet in a shuffle."""
+    asked = runs.groupBy("row", F.floor(F.col("lo") / PIECE).alias("piece")).agg(F.collect_list(F.struct("key", "ord", "lo", "hi", "at")).alias("asked"))
+    raw = docs.select("row", F.col("text").cast("binary").alias("raw"))
+    pieces = raw.select("row", "raw", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("raw") / PIECE))).alias("piece"))
+    pieces = pieces.select("row", "piece", F.substring("raw", (F.col("piece") * PIECE + 1).cast("int"), F.lit(PIECE + SPAN + LENGTH)).alias("raw"))
+    found = pieces.join(asked, ["row", "piece"]).select("row", "piece", "raw", F.explode("asked").alias("a"))
+    start = (F.col("a.lo") - F.col("piece") * PIECE + 1).cast("int")
+    return found.select(F.col("a.key").alias("part"), "a.ord", "row", "a.lo", "a.at", F.substring("raw", start, F.col("a.hi") - F.col("a.lo") + LENGTH).alias("content"))
+
+
+def merged(marks: DataFrame) -> DataFrame:
+    """(row, start, end) of the unions of strings (row, lo, hi) that overlap or touch; one sorted pass, a document's marks are never gathered."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(row, start, end):
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["row", "start", "end"])
+
+        open_ = np.empty((3, 0), np.int64)
+        for batch in batches:
+            here = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("row", "lo", "hi")])
+            here[2] += LENGTH
+            row, start, end = np.concatenate((open_, here), axis=1)
+            if not len(row):
+                continue
+            turn = np.cumsum(np.append(False, row[1:] != row[:-1]))
+            # as turns grow, no end of an earlier row counts in a later one
+            far = np.maximum.accumulate(turn << 33 | end)
+            fresh = np.append(True, (turn[1:] != turn[:-1]) | (turn[1:] << 33 | start[1:] > far[:-1]))
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(row)) - 1
+            spans = np.stack((row[first], start[first], far[last] & ((1 << 33) - 1)))
+            yield done(*spans[:, :-1])
+            open_ = spans[:, -1:]
+        yield done(*open_)
+
+    return marks.repartition("row").sortWithinPartitions("row", "lo", "hi").mapInArrow(merge, "row long, start int, end int")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges, ends exclusive).
 
     Null counts as empty; texts under 100 bytes lose nothing.  Earlier means of smaller key (null keys last,
-    repeated keys by row), or the same document and an earlier place.  Keys are integers.  docs has to be read from
-    files: row is the place in them.
+    repeated keys by row), or the same document and an earlier place.  Keys are integers.  docs has to come
+    straight from files (see with_rows).
     """
-    flat = pick(docs, doc_id=key, text=text).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")
-    ).withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
+    flat = with_rows(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "row")
+    flat = flat.withColumn("ord", F.coalesce("doc_id", F.lit(LAST)))
     sums = stored(flat.select("row", "ord", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     total = sums.count()
     firsts = sums.groupBy("digest").agg(F.min(F.struct("ord", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    copies = join_hot(sums.select("row", "n", "digest"), stored(firsts, "copied"), "digest", "copies", total).filter("row <> first.row")
-    copies = stored(copies.select("row", "n"), "copies")
+    firsts = stored(firsts, "copied")
+    copies = stored(join_hot(sums.select("row", "n", "digest"), firsts, "digest", "copies", total).filter("row <> first.row").select("row", "n"), "copies")
+    discard(sums, firsts)
     apart = F.broadcast(copies.select("row")) if copies.count() <= BROADCAST_ROWS else copies.select("row")
 
-    sifted = stored(sift(all_runs(flat.join(apart, "row", "left_anti"))), "runs")
-    unlike = sifted.filter("not again")
-    crowds = stored(unlike.groupBy("key").count().filter(F.col("count") > MOST).select("key"), "crowds")
-    snippets = stored(contents(flat, unlike), "contents")
-    marks = sifted.filter("again").select("row", "lo", "hi").unionByName(copies.filter(F.col("n") >= LENGTH).select("row", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi")))
-    if crowds.isEmpty():
-        marks = marks.unionByName(sorted_parts(snippets))
-    else:
-        # at most one anchor in MOST runs is crowded
-        marks = marks.unionByName(sorted_parts(snippets.join(crowds, "key", "left_anti")))
-        marks = marks.unionByName(single_strings(snippets.join(crowds, "key", "left_semi"), total))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ranges in batch.column("marks").to_pylist():
-                spans: list[list[int]] = []
-                for lo, hi in sorted((m["lo"], m["hi"] + LENGTH) for m in ranges):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
-                    else:
-                        spans.append([lo, hi])
-                out.append([{"start": s, "end": e} for s, e in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["row", "spans"])
-
-    spans = stored(marks.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).mapInArrow(merge, "row long, spans array<struct<start: int, end: int>>"), "removed")
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_RANGES
+    single = flat.join(apart, "row", "left_anti")
+    sifted = stored(sift(all_runs(single, hot_anchors(single, total))), "runs")
+    marks = sifted.filter("again").select("row", "lo", "hi")
+    marks = marks.unionByName(copies.filter(F.col("n") >= LENGTH).select("row", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi")))
+    runs = stored(contents(flat, sifted.filter("not again")), "contents")
+    ranges = stored(merged(marks.unionByName(repeated_ranges(runs, total))), "ranges")
+    discard(sifted, copies, runs)
+    few = ranges.count() <= BROADCAST_RANGES
+    spans = ranges.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     marked = flat.select("doc_id", "text", "row").join(F.broadcast(spans) if few else spans, "row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
