@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, pick, stored
+from vellum.llm.common import documents, pick, plain, stored, with_rows
 
 # fixed values: the masks, found by search
 MASKS = ("11111", "1101011", "111011")
@@ -27,35 +27,22 @@ def words(text: str) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def places(size: Column, mask: str, stride: int) -> Column:
-    """How many places the mask is laid on."""
-    return F.when(size < len(mask), 0).otherwise(F.floor((size - len(mask)) / stride) + 1).cast("int")
+def seeds(rows: DataFrame, tokens: str, stride: int) -> DataFrame:
+    """rows without tokens, one row for each place and mask that fits there: n (words), place, seed.
 
-
-def seeds(tokens: str, stride: int) -> Column:
-    """Seeds of all masks, one mask's after the other's."""
-
-    def seed(hashes: Column, number: int, kept: list[int]):
-        return lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + k) for k in kept])
-
-    def of(hashes: Column) -> Column:
-        found = []
-        for number, mask in enumerate(MASKS):
-            kept = [k for k, c in enumerate(mask) if c == "1"]
-            count = places(F.size(hashes), mask, stride)
-            at = F.when(count > 0, F.sequence(F.lit(0), (count - 1) * stride, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-            found.append(F.transform(at, seed(hashes, number, kept)))
-        return F.concat(*found)
-
-    # through a one-element array the hashes are computed once and not again for every place
-    return F.element_at(F.transform(F.array(F.transform(F.col(tokens), lambda t: F.xxhash64(t))), of), 1)
-
-
-def place_of(index: Column, size: Column, stride: int) -> Column:
-    """The place of the seed of this index."""
-    first = places(size, MASKS[0], stride)
-    second = first + places(size, MASKS[1], stride)
-    return stride * F.when(index < first, index).when(index < second, index - first).otherwise(index - second)
+    Places are rows and seeds plain columns of words' hashes, so all of it is generated code.
+    """
+    others = [c for c in rows.columns if c != tokens]
+    hashed = rows.select(*others, F.transform(tokens, lambda t: F.xxhash64(t)).alias("hashes"))
+    shortest = min(map(len, MASKS))
+    hashed = hashed.filter(F.size("hashes") >= shortest)
+    placed = hashed.select(*others, "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - shortest, F.lit(stride))).alias("place"))
+    found = []
+    for number, mask in enumerate(MASKS):
+        kept = [k for k, c in enumerate(mask) if c == "1"]
+        seed = F.xxhash64(F.lit(number), *[F.get("hashes", F.col("place") + k) for k in kept])
+        found.append(F.when(F.col("place") + len(mask) <= F.size("hashes"), seed))
+    return placed.select(*others, F.size("hashes").alias("n"), "place", F.explode(F.array(*found)).alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -63,24 +50,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     n_item is the item's number of words, agree the most equal words in a window.  Items of fewer than 8
     words match nothing, as do null and empty texts; items of 8 to 11 words are one window, with one exception.
-    Rows that repeat a key, and items that repeat an id, are documents and items of their own.  docs has to be
-    read from files: row is the place in them.
+    Rows that repeat a key, and items that repeat an id, are documents and items of their own.  docs has to come
+    straight from files (see with_rows).
     """
-    flat = pick(docs, doc_id=key, text=text).withColumn("row", F.monotonically_increasing_id())
+    flat = with_rows(docs, doc_id=key, text=text)
     items = pick(benchmark, item_id=item, text=item_text).withColumn("item", F.monotonically_increasing_id())
     items = stored(items.select("item", "item_id", words("text").alias("its")).filter(F.size("its") >= SHORTEST), "items")
-    wanted = items.select("item", F.size("its").alias("n"), F.posexplode(seeds("its", 1)).alias("index", "seed"))
-    wanted = stored(wanted.select("seed", "item", place_of(F.col("index"), F.col("n"), 1).alias("at_item")), "seeds")
+    wanted = stored(seeds(items.select("item", "its"), "its", 1).select("seed", "item", F.col("n").alias("n_item"), F.col("place").alias("at_item")), "seeds")
 
-    spread = flat.select("row", words("text").alias("tokens")).select("row", F.size("tokens").alias("n"), seeds("tokens", STRIDE).alias("seeds"))
-    spread = spread.select("row", "n", F.posexplode("seeds").alias("index", "seed"))
+    spread = seeds(flat.select("row", words("text").alias("tokens")), "tokens", STRIDE).select("row", "place", "seed")
     hits = spread.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted, "seed")
-    hits = hits.select("row", "item", (place_of(F.col("index"), F.col("n"), STRIDE) - F.col("at_item")).alias("shift"))
-    hits = stored(hits.distinct(), "hits")
+    hits = stored(hits.select("row", "item", "n_item", (F.col("place") - F.col("at_item")).alias("shift")).distinct(), "hits")
 
     rows = hits.select("row").distinct()
     some = flat.join(F.broadcast(rows) if hits.count() <= BROADCAST_ROWS else rows, "row", "left_semi").select("row", "doc_id", words("text").alias("tokens"))
-    laid = some.join(hits, "row").join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "item")
+    # of a document's words only those that lie along the item go on
+    along = F.slice("tokens", F.greatest(F.lit(0), F.col("shift")) + 1, F.greatest(F.lit(0), F.col("n_item") + F.least(F.lit(0), F.col("shift"))))
+    laid = some.join(hits, "row").select("row", "doc_id", "item", F.least(F.lit(0), F.col("shift")).alias("shift"), along.alias("tokens"))
+    laid = laid.join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "item")
     start = F.greatest(F.lit(0), -F.col("shift"))
     end = F.least(F.size("its"), F.size("tokens") - F.col("shift"))
     equal = F.transform(F.sequence(start, end - 1), lambda q: (F.get("tokens", q + F.col("shift")) == F.get("its", q)).cast("int"))
@@ -94,11 +81,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that overlap with an item; all columns stay."""
-    gone = stored(overlaps(docs, benchmark, key, text).select(F.col("row").alias("_row")).distinct(), "gone")
+    gone = stored(overlaps(docs, benchmark, key, text).select("row").distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    numbered = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return plain(with_rows(docs).join(gone, "row", "left_anti"), docs)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
