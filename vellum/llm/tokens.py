@@ -23,6 +23,8 @@ fingerprint stored under that number tells strangers.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -42,8 +44,10 @@ BLOCK_IDS = 1 << 20
 BLOCK_DOCUMENTS = 20_000
 #: Pieces of text whose ids a worker remembers.
 MEMORY = 700_000
-#: Bytes of text encoded at once.
-PORTION = 16 << 20
+#: Bytes of text encoded at once, and bytes of text in a range of keys (one task), about.
+PORTION, PART = 16 << 20, 64 << 20
+#: Blocks whose starts are broadcast (24 bytes each); beyond it blocks are shuffled.
+BROADCAST_BLOCKS = 1_000_000
 # fixed values: punctuation that may follow a word; apostrophes begin tokens of their own
 MARKS = ".,;:!?|*#$%&+-=_/()[]{}<>~^@"
 PAIRS = [f" {chr(c)}" for c in range(128) if chr(c).isspace()]
@@ -209,10 +213,8 @@ class Encoder:
 
 
 def encoder_of(path: str, cut: bool, end: int | None) -> Encoder:
-    """A worker process keeps its encoder from task to task, on the library's module, the one place that stays."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    """A worker process keeps its encoder from task to task, in a module of its own: functions come anew with each task."""
+    kept = sys.modules.setdefault("_vellum_encoders", types.ModuleType("_vellum_encoders")).__dict__
     if (path, cut, end) not in kept:
         kept[path, cut, end] = Encoder(path, cut, end)
     return kept[path, cut, end]
@@ -247,8 +249,10 @@ def blocks(docs: DataFrame, tokenizer: str, end: int | None = 2, cut: bool = Tru
     key follow one another; the index leads to the first of them.  Keys are integers.
     """
     flat = pick(docs, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    size = flat.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // PART + 1)
     # repeated keys may span parts: the text's hash goes with the key
-    ordered = flat.repartitionByRange(F.col("key"), F.xxhash64("text")).sortWithinPartitions(F.col("key"), F.xxhash64("text"))
+    ordered = flat.repartitionByRange(parts, F.col("key"), F.xxhash64("text")).sortWithinPartitions(F.col("key"), F.xxhash64("text"))
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +283,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kept = spark.read.schema(SCHEMA).parquet(path)
     before = W.orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
     starts = kept.select("part", "place", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    return kept.join(starts, ["part", "place"])
+    return kept.join(F.broadcast(starts) if kept.count() <= BROADCAST_BLOCKS else starts, ["part", "place"])
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndarray]:
