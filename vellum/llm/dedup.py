@@ -3,10 +3,14 @@
 Pass one counts, per filter cell, none, one, or more of the hashes that fall on it.  A hash whose cells
 all hold more than one is possibly repeated; pass two lets only rows with such hashes shuffle, where
 equality of the full SHA-256 decides, and all other rows pass straight through as groups of one.
+
+A filter has 16 cells a row.  Where that is more than executors should hold, the hashes are written in as many
+ranges as keep each range's filter small, and both passes go range by range.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE, documents, join_hot, pick, stored
+from vellum.llm.common import SPACE, documents, join_hot, shared_dir, stored, with_rows
 
-#: The filter has this many cells a row, up to MAX_CELLS: 32 MB of bits then go to executors.  Beyond that more rows shuffle; results stay exact.
+#: A filter has this many cells a row, and MAX_CELLS (32 MB of bits) at most: beyond that there are several, one for each range of hashes.
 CELLS_PER_ROW = 16
 MAX_CELLS = 1 << 28
 HASHES = 3
@@ -109,6 +113,24 @@ def flag_repeated(df: DataFrame, column: str, rows: int, name: str = "maybe") ->
     return df.mapInArrow(flag, schema)
 
 
+def flagged(digests: DataFrame, column: str, name: str = "maybe") -> DataFrame:
+    """flag_repeated() of a table of digests, written; range by range of their last byte where one filter does not hold them all."""
+    spark, kept = digests.sparkSession, stored(digests, "digests")
+    rows = kept.count()
+    ranges = 1
+    while ranges < 256 and rows * CELLS_PER_ROW > MAX_CELLS * ranges:
+        ranges *= 2
+    if ranges == 1:
+        return stored(flag_repeated(kept, column, rows, name), "flagged")
+    last = F.conv(F.hex(F.substring(column, -1, 1)), 16, 10).cast("int")
+    dealt = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    kept.withColumn("range", F.floor(last * ranges / 256).cast("int")).write.partitionBy("range").parquet(dealt)
+    path, found = f"{shared_dir(spark)}/flagged-{uuid.uuid4().hex}", spark.read.parquet(dealt)
+    for r in range(ranges):
+        flag_repeated(found.filter(F.col("range") == r).select(*kept.columns), column, -(-rows // ranges), name).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
@@ -120,16 +142,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     null and empty texts are equal.  Of equal texts the row of the smallest key stays; a null key comes
     after all others, and of rows that repeat a key exactly one stays.
     """
-    digests = pick(docs, doc_id=key, text=text).select(
-        "doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")
-    )
-    digests = stored(digests, "digests")
-    rows = digests.count()
-    flagged = stored(flag_repeated(digests, "digest", rows), "flagged")
-    alone = flagged.filter(~F.col("maybe")).select(
+    digests = with_rows(docs, doc_id=key, text=text).select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), "row")
+    told = flagged(digests, "digest")
+    rows = told.count()
+    alone = told.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
-    some = flagged.filter("maybe")
+    some = told.filter("maybe")
     groups = some.groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
