@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WORD, documents, pick, stored
+from vellum.llm.common import WORD, documents, plain, stored, with_rows
 
 #: Rows that one sorting group has on average.
 GROUP_ROWS = 5_000
@@ -48,10 +48,10 @@ def targets(sizes: DataFrame, share: float, repeats: int, weights: tuple[int, ..
 
 def queue(docs: DataFrame, key: str, text: str, source: str, share: float, repeats: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """(documents by row number, their copies with virtual finish time and the tokens sent until then)."""
-    flat = pick(docs, doc_id=key, text=text, source=source)
+    flat = with_rows(docs, doc_id=key, text=text, source=source)
     flat = flat.withColumn("size", F.regexp_count("text", F.lit(WORD))).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    flat = stored(flat.select("doc_id", "source", "size", order.alias("turn"), F.monotonically_increasing_id().alias("row")), "sizes")
+    flat = stored(flat.select("doc_id", "source", "size", order.alias("turn"), "row"), "sizes")
     by_source = flat.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = stored(targets(by_source.select("source", "source_size"), share, repeats, weights), "targets")
 
@@ -103,16 +103,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.  docs has to be read from files: rows are known by their place.
+    """The rows of docs, each as often as the mix takes it.  docs has to come straight from files (see with_rows).
 
     Documents without words cost nothing and follow the same cut.
     """
-    times = stored(mix(docs, **options).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "taken")
+    times = stored(mix(docs, **options).filter("copies > 0").select("row", F.col("copies").alias("_copies")), "taken")
     if times.count() <= BROADCAST_ROWS:
         times = F.broadcast(times)
-    numbered = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row"))
-    again = numbered.join(times, "_row").select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_again"))
-    return again.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    again = with_rows(docs).join(times, "row").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return plain(again, docs)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
