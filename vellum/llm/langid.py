@@ -21,6 +21,8 @@ UNDETERMINED = "und"
 MAX_LABELS = 200
 SAMPLE_PER_LABEL = 600
 SAMPLE = 4000
+#: Of each document of the sample one stretch of so many characters, wherever a hash of the document says.
+SAMPLE_CHARS = 50_000
 #: Of labelled documents at most this share may be rejected, and none of a confidence of a half or more.
 REJECTED = 0.001
 
@@ -121,9 +123,9 @@ def train(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.6, se
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Learns from at most ``per_label`` documents, chosen by hash of their key, of each of the MAX_LABELS commonest labels, SAMPLE in all.
+    """Learns from at most ``per_label`` documents, chosen by a hash of key and text, of each of the MAX_LABELS commonest labels, SAMPLE in all.
 
-    Only documents that are not held out and have a text with a letter and a non-null label count.
+    At most SAMPLE_CHARS characters of each count.  Only documents that are not held out and have a text with a letter and a non-null label count.
     """
     labelled = pick(docs, key=key, text=text, label=label).filter(~held_out(F.col("key")) & F.col("label").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
@@ -131,8 +133,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     per_label = max(1, min(per_label, SAMPLE // len(counts)))
     chance = F.create_map(*[F.lit(x) for c in counts for x in (c["label"], min(1.0, 1.3 * per_label / c["count"]))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.filter(draw < F.try_element_at(chance, F.col("label"))).select("label", "text", draw.alias("draw"))
+    mark = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "text")
+    draw = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.filter(draw < F.try_element_at(chance, F.col("label"))).select("label", "text", draw.alias("draw"), mark.alias("mark"))
+    start = F.pmod(F.col("mark"), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    drawn = drawn.select("label", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "draw")
     taken: dict[str, list] = {}
     for row in drawn.collect():
         taken.setdefault(row["label"], []).append((row["draw"], row["text"]))

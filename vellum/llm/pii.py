@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Four exact patterns give the base spans.  Besides, looser patterns propose candidate spans (written-out
-addresses, numbers without prefix, keys and passwords).  Labelers - patterns, gazetteers and the words
+addresses, numbers without prefix or of unknown check digit, long network addresses).  Labelers - patterns, gazetteers and the words
 before a span - vote on each candidate; expectation-maximisation estimates how reliable each labeler is, and
 from its posteriors a logistic span classifier is trained, which decides on every candidate.  The labelers
 vote on base spans too, so that there are sure cases to learn from; base spans stay whatever is decided.
