@@ -2,9 +2,10 @@
 and the maximum are kept, so a signature takes half the hash evaluations.
 
 Bands of signature values propose pairs; links are confirmed on full shingle sets.  Documents of equal sets
-are one node.  In each bucket of a band all nodes are first held against one of them; a bucket whose nodes
-are then in several components is searched pair by pair, in blocks of bounded size that return only the
-links which join components.
+are one node.  In each bucket of a band all nodes are first held against one of them, its centre.  That joins most
+nodes of a bucket; where several components are left, a node can only have a link to another one if it
+shares enough shingles with nodes outside its component.  The nodes that do are held against the centre with most
+links; then those outside the largest component of their bucket against all of the bucket, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,20 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, join_hot, pick, stored, without
+from vellum.llm.common import discard, documents, join_dealt, join_hot, plain, stored, with_rows
 from vellum.llm.components import components
 
 SHINGLE = 5
 PERMUTATIONS = 60
 #: Values in a band, bands: two documents of similarity 0.85 share a band but for a chance of 8 in 10 million, of 0.8 but for 7 in 100,000.
 ROWS, BANDS = 5, 24
-#: Nodes in a block of a bucket that is searched pair by pair.
-BLOCK = 1000
-#: Signatures that agree on fewer values than this share below the similarity asked for (six standard deviations) are not compared further.
-MARGIN = 0.19
+#: Nodes in a block of a bucket that is searched pair by pair, and cells of the table of their shingles that is in memory at once.
+BLOCK, CELLS = 256, 1 << 24
 #: Row numbers are broadcast up to this many (16 MB), beyond it shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -143,15 +142,85 @@ def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "row long, set array<long>")
 
 
-def similar(percent: int, a: str = "set_a", b: str = "set_b"):
-    shared = F.size(F.array_intersect(a, b))
+def similar(percent: int, a: str = "set_a", b: str = "set_b") -> Column:
+    shared = F.size(F.array_intersect(a, b)).cast("long")
     return F.lit(100) * shared >= F.lit(percent) * (F.size(a) + F.size(b) - shared)
 
 
+def centre_links(members: DataFrame, sets: DataFrame, percent: int, total: int, links: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of nodes (bucket, rep, n) to one node of their bucket: the one with most ``links`` so far, else any, another one in each bucket."""
+    held = members.select("bucket", "rep", "n")
+    if links is None:
+        held = held.withColumn("links", F.lit(0).cast("long"))
+    else:
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        held = held.join(ends, "rep", "left").fillna(0, ["links"])
+    centre = F.max(F.struct("links", F.xxhash64("bucket", "rep").alias("order"), "rep", "n")).alias("centre")
+    centres = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), centre), "centres")
+    fits = F.lit(100) * F.least("n", "centre.n") >= F.lit(percent) * F.greatest("n", "centre.n")
+    pairs = join_hot(members.select("bucket", "rep", "n"), centres, "bucket", "held", total).filter((F.col("rep") != F.col("centre.rep")) & fits)
+    pairs = stored(pairs.select(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).distinct(), "pairs")
+    of_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
+    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asked")).join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
+    return join_dealt(of_a, of_b, "b", "asked", total).filter(similar(percent)).select("a", "b")
+
+
+def still_open(members: DataFrame, star: DataFrame, total: int) -> DataFrame:
+    """members (bucket, rep, n) with the component of their node, of buckets whose nodes are in several."""
+    placed = members.join(star, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return join_hot(placed, stored(several.select("bucket", "held"), "open"), "bucket", "held", total)
+
+
+def reachable(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes (rep) of nodes (rep, component) that may have a link to another component: a link takes ``percent`` of a set's shingles, so a set of which fewer also occur in other components has none."""
+    held = nodes.join(sets.withColumnRenamed("row", "rep"), "rep")
+    total = held.agg(F.sum(F.size("set").cast("long"))).first()[0] or 0
+    each = held.select("rep", "component", F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
+    known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = join_hot(each.drop("component"), stored(known.filter("low < high").select("shingle", "often"), "shared"), "shingle", "often", total)
+    return shared.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).filter(F.lit(100) * F.col("shared") >= F.col("n") * percent).select("rep")
+
+
+def in_blocks(rest: DataFrame, total: int) -> DataFrame:
+    """Nodes (bucket, rep, component, held) with the blocks (bucket, i, j) where they are compared.
+
+    Nodes outside the bucket's largest component meet all nodes: block i, j has the i-th part of the former and
+    the j-th part of all.
+    """
+    parts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy("bucket").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("largest"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("held"))
+    told = join_hot(rest.drop("held"), size, "bucket", "held", total)
+    chunks, outer = F.ceil(F.col("held") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+    told = told.select("bucket", "rep", "component", (F.col("component") != F.col("largest")).alias("out"), chunks.alias("chunks"), outer.alias("outer"))
+    own, own_out = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("outer")).cast("int")
+    told = told.withColumns({"own": own, "own_out": own_out})
+    among = told.select("bucket", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("own").alias("j"))
+    across = told.filter(F.col("out") & (F.col("chunks") > 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter((F.col("j") != F.col("own")))
+    return among.unionByName(across.select("bucket", "rep", "component", F.col("own_out").alias("i"), "j"))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share: products of tables of sets by shingles, so many shingles at a time that a table has CELLS cells."""
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    kept = (often > 1)[place]
+    which, place = which[kept], number[place[kept]]
+    by = np.argsort(place, kind="stable")
+    which, place = which[by], place[by]
+    shared, width = np.zeros((len(sets), len(sets)), np.int64), max(1, CELLS // len(sets))
+    for at in range(0, int(number[-1]) + 1, width):
+        low, high = np.searchsorted(place, [at, at + width])
+        table = np.zeros((len(sets), min(width, int(number[-1]) + 1 - at)), np.float32)
+        table[which[low:high], place[low:high] - at] = 1
+        shared += np.rint(table @ table.T).astype(np.int64)
+    return shared
+
+
 def joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between nodes of one block pair, as many as join components that were apart."""
-    a, b = permutations()
-    rows, parent = group["rep"].to_numpy(), {}
+    """Links between nodes of one block, as many as join components that were apart."""
+    rows, comps, parent = group["rep"].to_numpy(), group["component"].to_numpy(), {}
 
     def root(x):
         while parent.get(x, x) != x:
@@ -159,24 +228,15 @@ def joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    comps, arrays = group["component"].to_list(), [np.asarray(s, np.int64) for s in group["set"]]
-    sigs = np.stack([signature(s.view(np.uint64), a, b) for s in arrays])
-    sizes = np.array([len(s) for s in arrays])
-    sets: dict[int, frozenset] = {}
-    least, out = (percent / 100 - MARGIN) * sigs.shape[1], []
-    for i in range(len(rows) - 1):
-        size = sizes[i + 1 :]
-        fits = 100 * np.minimum(size, sizes[i]) >= percent * np.maximum(size, sizes[i])
-        agree = (sigs[i + 1 :] == sigs[i]).sum(axis=1) * fits
-        for j in (i + 1 + np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]).tolist():
+    sets = [np.asarray(s, np.int64) for s in group["set"]]
+    sizes = np.array([len(s) for s in sets])
+    out = []
+    if (comps != comps[0]).any():
+        shared = common_counts(sets)
+        linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (comps[:, None] != comps[None, :])
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
             x, y = root(comps[i]), root(comps[j])
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = frozenset(arrays[k].tolist())
-            shared = len(sets[i] & sets[j])
-            if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+            if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((rows[i], rows[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -188,9 +248,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     Documents are linked if ``percent`` of the union of their shingles, or more, are shared; component_id is
     the smallest key reachable, kept whether it is the document's own.  ``first`` is true for exactly one row of
     each component, that of the smallest key (null keys last, repeated keys by row).  A null or blank text has
-    no shingles and no links.  docs has to be read from files: row is the place in them.
+    no shingles and no links.  docs has to come straight from files (see with_rows).
     """
-    flat = pick(docs, doc_id=key, text=text).withColumn("row", F.monotonically_increasing_id())
+    flat = with_rows(docs, doc_id=key, text=text)
     seen = stored(measured(flat), "signatures")
     total = seen.count()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
@@ -198,33 +258,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
         seen.filter("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("size"), best), "classes"
     )
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("center")).filter("size > 1")
-    buckets = stored(buckets.select("bucket", "size", F.col("center.rep").alias("center"), F.col("center.n").alias("n_center")), "buckets")
+    buckets = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     crowded = stored(join_hot(members, buckets, "bucket", "size", total * BANDS), "members")
-
-    fits = F.lit(100) * F.least("n", "n_center") >= F.lit(percent) * F.greatest("n", "n_center")
-    pairs = crowded.filter((F.col("rep") != F.col("center")) & fits).select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     sets = stored(sets_of(flat, crowded.select(F.col("rep").alias("row")).distinct()), "sets")
-    of_a = sets.select(F.col("row").alias("a"), F.col("set").alias("set_a"))
-    of_b = sets.select(F.col("row").alias("b"), F.col("set").alias("set_b"))
-    links = pairs.join(of_a, "a").join(of_b, "b").filter(similar(percent)).select("a", "b")
-    star = stored(components(links), "stars")
 
-    # buckets whose nodes are still in several components, and that have pairs not yet compared
-    open_ = crowded.filter("size > 2").join(star, F.col("rep") == F.col("node"), "left").select("bucket", "size", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = join_hot(open_, apart.select("bucket", "n", chunks.alias("chunks")), "bucket", "n", total * BANDS)
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    rest = rest.select("bucket", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rest = rest.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rest = rest.join(sets.select(F.col("row").alias("rep"), "set"), "rep")
-    more = rest.groupBy("bucket", "i", "j").applyInPandas(lambda group: joining_links(group, percent), "a long, b long")
-    edges = star.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(edges)
+    links = stored(centre_links(crowded, sets, percent, total * BANDS), "links")
+    star = stored(components(links), "stars")
+    # buckets that have pairs not yet compared, of nodes in several components
+    open_ = stored(still_open(crowded.filter("size > 2"), star, total * BANDS), "open")
+    near = reachable(open_.select("rep", "component").distinct(), sets, percent)
+    rest = stored(open_.select("bucket", "rep", "n").join(near, "rep"), "near")
+    links = links.unionByName(stored(centre_links(rest, sets, percent, total * BANDS, links), "links"))
+    star = stored(components(links), "stars")
+    rest = stored(still_open(rest, star, total * BANDS), "rest")
+    blocks = in_blocks(rest, total * BANDS).join(sets.withColumnRenamed("row", "rep"), "rep")
+    more = stored(blocks.groupBy("bucket", "i", "j").applyInPandas(lambda group: joining_links(group, percent), "a long, b long"), "links")
+    final = components(star.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.select("digest", "rep", "size", "best").join(final, F.col("rep") == F.col("node"), "left").select("digest", "size", "best", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
+    discard(crowded, sets, open_, rest, more, star)
     heads = named.groupBy("component").agg(F.min("best").alias("head"), F.count(F.lit(1)).alias("classes"))
     named = join_hot(named, heads, "component", "classes", total).select("digest", "size", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
     linked = join_hot(seen.filter("n > 0").select("row", "doc_id", "n", "digest"), stored(named, "heads"), "digest", "size", total)
@@ -235,11 +288,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
 def keep_first(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one document of each group of near-duplicates; all columns stay."""
-    gone = stored(near_duplicates(docs, percent, key, text).filter(~F.col("first")).select(F.col("row").alias("_row")), "gone")
+    gone = stored(near_duplicates(docs, percent, key, text).filter(~F.col("first")).select("row"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    numbered = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return plain(with_rows(docs).join(gone, "row", "left_anti"), docs)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
