@@ -2,6 +2,9 @@
 
 A boundary is shown once three frames agree on it, follows small moves, and is forgotten after 750 ms without being
 seen.  The same state serves a stream (state kept per key by Spark) and a replay of stored frames.
+
+In a stream, time is the frames' own: frames older than the last one of their camera are left out, as are those ten
+minutes behind all others, and a camera that has been silent for an hour is forgotten.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # fixed values
@@ -22,10 +26,12 @@ SMOOTHING = 0.28
 RETENTION_MS = 750
 SHRINK = 0.28
 SAMPLES = 24
+#: How far frames may lag behind the latest, and how long a camera may be silent before its state goes.
+LATENESS, SILENCE_MS = "10 minutes", 3_600_000
 
 FRAME = ("t_ms", "event_id", "detected", "confidence", *[f"{a}{k}" for k in range(4) for a in ("x", "y")])
 OUTPUT = "stream_id long, t_ms long, event_id long, stable boolean, left double, top double, right double, bottom double, matches int"
-STATE = "candidate array<double>, matches int, candidate_t long, stable array<double>, seen long"
+STATE = "candidate array<double>, matches int, candidate_t long, stable array<double>, seen long, last long"
 
 
 def outline_weights() -> np.ndarray:
@@ -44,7 +50,8 @@ OUTLINE = outline_weights()
 
 
 def mean_distance(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.sqrt((((OUTLINE @ a) - (OUTLINE @ b)) ** 2).sum(axis=1)).mean())
+    d = OUTLINE @ (a - b)
+    return float(np.sqrt((d * d).sum(axis=1)).mean())
 
 
 def corner_distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -52,8 +59,8 @@ def corner_distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def area(q: np.ndarray) -> float:
-    n = np.roll(q, -1, axis=0)
-    return abs(float((q[:, 0] * n[:, 1] - n[:, 0] * q[:, 1]).sum())) / 2
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = q.tolist()
+    return abs(ax * by - bx * ay + bx * cy - cx * by + cx * dy - dx * cy + dx * ay - ax * dy) / 2
 
 
 def crosses(a, b, c, d) -> bool:
@@ -64,7 +71,8 @@ def crosses(a, b, c, d) -> bool:
 
 
 def is_valid(q: np.ndarray) -> bool:
-    return bool(np.isfinite(q).all()) and area(q) > 1e-6 and not crosses(*q) and not crosses(q[1], q[2], q[3], q[0])
+    a, b, c, d = q.tolist()
+    return bool(np.isfinite(q).all()) and area(q) > 1e-6 and not crosses(a, b, c, d) and not crosses(b, c, d, a)
 
 
 @dataclass
@@ -163,48 +171,82 @@ class CornerStabilizer(Stabilizer):
 
 
 def replay(state: Stabilizer, frames: pd.DataFrame) -> pd.DataFrame:
-    """One output row a frame, in order of time."""
-    frames = frames.sort_values(["t_ms", "event_id"])
+    """One output row a frame; frames are of one stream and in order of time."""
+    columns = [frames[c].tolist() for c in ("stream_id", "t_ms", "event_id", "detected", "confidence")]
+    corners = frames[list(FRAME[4:])].to_numpy(float).reshape(-1, 4, 2)
     out = []
-    for row in frames[["stream_id", *FRAME]].itertuples(index=False):
-        corners = np.array(row[5:13], float).reshape(4, 2)
-        state.update(bool(row.detected), float(row.confidence), corners, int(row.t_ms))
-        shown = state.stable or state.candidate
-        box = [None] * 4
+    for stream, now, event, detected, confidence, q in zip(*columns, corners, strict=True):
+        state.update(bool(detected), float(confidence), q, int(now))
+        shown, box = state.stable or state.candidate, [None] * 4
         if shown:
-            q = np.array(shown).reshape(4, 2)
-            box = [round(float(v), 6) for v in (*q.min(axis=0), *q.max(axis=0))]
-        out.append((row.stream_id, row.t_ms, row.event_id, state.stable is not None, *box, state.matches))
+            xs, ys = shown[::2], shown[1::2]
+            box = [round(v, 6) for v in (min(xs), min(ys), max(xs), max(ys))]
+        out.append((stream, now, event, state.stable is not None, *box, state.matches))
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def stabilize_batch(frames: DataFrame) -> DataFrame:
-    """A replay of stored frames; a stream's frames meet in one task, in bounded number as streams are of one camera each."""
-    return frames.groupBy("stream_id").applyInPandas(lambda pdf: replay(Stabilizer(), pdf), OUTPUT)
+    """A replay of stored frames: one pass along each task's streams in order of time, which holds one state and one batch of frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            for stream, part in batch.groupby("stream_id", sort=False):
+                if stream != at:
+                    at, state = stream, Stabilizer()
+                yield replay(state, part)
+
+    return frames.select("stream_id", *FRAME).repartition("stream_id").sortWithinPartitions("stream_id", "t_ms", "event_id").mapInPandas(run, OUTPUT)
+
+
+def timed(frames: DataFrame) -> DataFrame:
+    """Frames with their time as a timestamp, and the watermark on it (which is 0 at first, and what is not after it is late)."""
+    return frames.withColumn("time", F.timestamp_millis(F.col("t_ms") + 1)).withWatermark("time", LATENESS)
+
+
+def forget_later(state: GroupState, last: int | None) -> None:
+    state.setTimeoutTimestamp(max(last or 0, state.getCurrentWatermarkMs()) + SILENCE_MS)
+
+
+def in_time(parts: Iterator[pd.DataFrame], last: int | None) -> pd.DataFrame:
+    """Frames of a micro-batch in order, without those that come too late."""
+    frames = pd.concat(list(parts)).sort_values(["t_ms", "event_id"])
+    return frames if last is None else frames[frames["t_ms"] >= last]
 
 
 def stabilize_stream(frames: DataFrame) -> DataFrame:
     """The same on a stream: the state of each camera is kept by Spark between micro-batches."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = Stabilizer(*state.get) if state.exists else Stabilizer()
-        yield replay(s, pd.concat(list(parts)))
-        state.update(astuple(s))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *kept, last = state.get if state.exists else (*astuple(Stabilizer()), None)
+        s, part = Stabilizer(*kept), in_time(parts, last)
+        if len(part):
+            yield replay(s, part)
+            last = int(part["t_ms"].iloc[-1])
+        state.update((*astuple(s), last))
+        forget_later(state, last)
 
-    return frames.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return timed(frames).groupBy("stream_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_stream(frames: DataFrame, interval_ms: int = 250) -> DataFrame:
     """Frames that start so long after the last one that was analysed."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (last,) = state.get if state.exists else (None,)
         kept = []
-        for row in pd.concat(list(parts)).sort_values(["t_ms", "event_id"]).itertuples(index=False):
+        for row in in_time(parts, last).itertuples(index=False):
             if last is None or row.t_ms - last >= interval_ms:
                 last = int(row.t_ms)
                 kept.append((row.stream_id, row.t_ms, row.event_id))
         yield pd.DataFrame(kept, columns=["stream_id", "t_ms", "event_id"])
         state.update((last,))
+        forget_later(state, last)
 
-    return frames.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, t_ms long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return timed(frames).groupBy("stream_id").applyInPandasWithState(step, "stream_id long, t_ms long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
