@@ -69,6 +69,21 @@ def test_binary_files(spark, tmp_path):
     assert O.scan_folder(spark, str(tmp_path)).count() == 2
 
 
+def test_imported_pages(spark, tmp_path):
+    good = b"\xff\xd8 picture \xff\xd9"
+    rows = [(1, "b", len(good), good, len(good)), (1, "a", len(good), good, len(good)), (2, "a", len(good), good, len(good)), (2, "b", 5, good[:5], 5), (3, "a", len(good), good, 7)]
+    files = spark.createDataFrame(rows, "session int, path string, length long, content binary, expected long")
+    assert sorted(tuple(r) for r in O.imported_pages(files, 4).collect()) == [(1, "a", "page_004.jpg"), (1, "b", "page_005.jpg")]
+
+
+def test_numbers_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE_ROWS", 7)
+    rows = [(i, i * 37 % 50) for i in range(300)]
+    got = [(r["id"], r["place"]) for r in O.numbered(spark.createDataFrame(rows, "id long, at long"), "at", "id", "place").collect()]
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert sorted(got, key=lambda r: r[1]) == [(i, k + 1) for k, (i, _) in enumerate(want)]
+
+
 def raster(width, height, gutter=None, right=True):
     x = np.full((height, width), 245, np.uint8)
     x[15 : height - 15 : 8, width // 16 : width * 7 // 16] = 60

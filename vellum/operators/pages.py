@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a range that is sorted in one task, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 200_000, 1_000
+
 
 def renumbered(pages: DataFrame, session: str, order: Column) -> DataFrame:
     return pages.withColumn("place", F.row_number().over(W.partitionBy(session).orderBy(order)).cast("long"))
@@ -88,6 +91,23 @@ def meta_or_raw(meta: DataFrame, raw: DataFrame, session: str) -> DataFrame:
     return both.select(session, *[F.coalesce(F.col(f"m.{c}"), F.col(f"r.{c}")).alias(c) for c in ("created", "pages")])
 
 
+def numbered(df: DataFrame, newest: str, tie: str, name: str) -> DataFrame:
+    """df with the place of each row, from 1, by a whole number (the largest first) and a key that breaks ties.
+
+    Rows are cut into ranges of about RANGE_ROWS by quantiles of the number; a range is sorted in one task, and what the
+    ranges before it hold is added.  Quantiles only say where to cut, so no place depends on how exact they are.
+    """
+    rows = df.count()
+    cuts = min(MOST_RANGES, rows // RANGE_ROWS)
+    bounds = sorted({v for v in df.approxQuantile(newest, [i / (cuts + 1) for i in range(1, cuts + 1)], 0.0005)}) if cuts else []
+    group = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col(newest)))
+    ranged = df.withColumn("_range", group)
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(F.desc(newest), tie))
+    return ranged.withColumn(name, place).join(F.broadcast(before), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def recovered_state(state: Column, has_file: Column) -> Column:
     return F.when((state == "processing") | ((state == "completed") & ~has_file), "failed").otherwise(state)
 
@@ -97,6 +117,18 @@ def scan_folder(spark, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "modificationTime", "length")
 
 
+def imported_pages(files: DataFrame, first: int = 1) -> DataFrame:
+    """Names (page_001.jpg and on, by path) of scanned pictures that are taken into a session; none at all if one of them is no whole JPEG.
+
+    Files: path, length and content as binaryFile gives them, session, and expected (bytes that were announced).
+    """
+    start, end = F.substring("content", 1, 2), F.expr("substring(content, length(content) - 1, 2)")
+    whole = (F.col("length") == F.col("expected")) & (F.col("length") > 4) & (start == F.unhex(F.lit("FFD8"))) & (end == F.unhex(F.lit("FFD9")))
+    by_session = W.partitionBy("session")
+    told = files.select("session", "path", "length", whole.alias("whole")).withColumns({"all": F.min("whole").over(by_session), "place": F.row_number().over(by_session.orderBy("path"))})
+    return told.filter("all").select("session", "path", F.concat(F.lit("page_"), F.lpad((F.col("place") + first - 1).cast("string"), 3, "0"), F.lit(".jpg")).alias("name"))
+
+
 def valid_pdf(files: DataFrame) -> DataFrame:
     """Whether each of binaryFile's rows is a PDF: eight bytes or more, with its header."""
     return files.select("path", ((F.col("length") >= 8) & (F.substring("content", 1, 5) == F.encode(F.lit("%PDF-"), "UTF-8"))).alias("valid"))

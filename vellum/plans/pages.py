@@ -144,7 +144,7 @@ def recoverable_sessions(spark, d):
     files = s.withColumn("name", F.concat(F.when(F.col("page_no") % 4 == 0, "tmp_").otherwise("raw_"), F.lpad(F.col("page_no").cast("string"), 3, "0"), F.lit(".jpg")))
     raw = O.recovered(files, "session_id", "name", F.col("raw_key"))
     both = O.meta_or_raw(meta, raw, "session_id")
-    return both.withColumn("place", F.row_number().over(W.orderBy(F.desc("created"), "session_id")).cast("long"))
+    return O.numbered(both, "created", "session_id", "place")
 
 
 def recovery_status(spark, d):
@@ -182,7 +182,7 @@ def illegal_transitions(spark, d):
 
 def deletion_sets(spark, d):
     """Files to delete with a page: those it names and those named after it, each once."""
-    s = scans(spark, d).filter("page_no = 2")
+    s = scans(spark, d)
     named = s.select("raw_key", F.explode(F.array(F.concat(F.lit("raw_"), "raw_key"), F.concat(F.lit("corrected_"), "raw_key"))).alias("file"))
     found = scans(spark, d).select("session_id", F.concat(F.lit("corrected_"), "raw_key").alias("file")).filter(F.col("file").rlike("^corrected_[0-9]+$"))
     own = s.select("session_id", "raw_key").join(found, "session_id").filter(F.col("file") == F.concat(F.lit("corrected_"), F.col("raw_key"))).select("raw_key", "file")
@@ -264,7 +264,7 @@ SELECT *, row_number() OVER (ORDER BY created DESC, session_id) AS place FROM r"
   arg_max(value, pos) FILTER (event_type = 'purchase') AS last_purchase FROM {signal} GROUP BY series_id"""),
     "illegal_transitions": oracle("""WITH t AS (SELECT series_id, length(event_type) % 4 AS state, lag(length(event_type) % 4) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM {signal})
 SELECT before, state, count(*) AS n FROM t WHERE before IS NOT NULL AND state <> (before + 1) % 4 AND state <> 0 GROUP BY before, state"""),
-    "deletion_sets": oracle("SELECT raw_key, unnest(['raw_' || raw_key, 'corrected_' || raw_key]) AS file FROM {scans} WHERE page_no = 2"),
+    "deletion_sets": oracle("SELECT raw_key, unnest(['raw_' || raw_key, 'corrected_' || raw_key]) AS file FROM {scans}"),
     "raw_file_matches": oracle("SELECT session_id, page_no, 'raw_' || lpad(page_no::VARCHAR, 3, '0') || CASE WHEN raw_key % 2 = 0 THEN '_b.jpg' ELSE '.jpg' END AS file FROM {scans}"),
     "stage_reports": oracle("SELECT series_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {signal} GROUP BY series_id"),
     "log_records": oracle("SELECT series_id, 'scan' AS category, event_type AS route, pos::INTEGER AS pos, floor(value)::INTEGER AS value FROM {signal}"),

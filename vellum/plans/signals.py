@@ -10,6 +10,10 @@ from vellum.functions.numbers import rounded as r6
 from vellum.functions.numbers import rounded_sql as R
 from vellum.operators import signals as O
 from vellum.sources.tables import oracle, view
+from vellum.streaming.stabilizer import throttle_batch
+
+#: A series is the samples along one edge; longer ones are refused, as each is held as one array.
+LONGEST = 1 << 20
 
 
 def signal(spark, d):
@@ -19,7 +23,8 @@ def signal(spark, d):
 def series(spark, d):
     """Each series as an array in order, and sorted."""
     s = signal(spark, d).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"))
-    return s.select("series_id", F.col("p.value").alias("v")).withColumn("o", F.array_sort("v"))
+    fits = F.when(F.size("p") <= LONGEST, F.col("p")).otherwise(F.raise_error(F.lit("a series is too long")))
+    return s.select("series_id", fits.alias("p")).select("series_id", F.col("p.value").alias("v")).withColumn("o", F.array_sort("v"))
 
 
 def window():
@@ -126,11 +131,15 @@ def grid_coverage(spark, d):
 
 
 def point_deduplication(spark, d):
-    """Values that differ by more than a limit from the last that was kept: in order, so it is one fold along the array."""
-    kept = F.aggregate(
-        "v", F.array().cast("array<double>"), lambda a, v: F.when((F.size(a) == 0) | (F.abs(F.element_at(a, -1) - v) > 15.0), F.concat(a, F.array(v))).otherwise(a)
-    )
-    return series(spark, d).filter(F.size("v") > 0).select("series_id", F.size(kept).alias("kept"), r6(S.total(kept)).alias("total"))
+    """Values that differ by more than a limit from the last that was kept: in order, so it is one fold along the samples."""
+    start = F.struct(F.lit(0).alias("kept"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("total"))
+
+    def step(a, v):
+        new = F.struct((a["kept"] + 1).alias("kept"), v.alias("last"), (a["total"] + v).alias("total"))
+        return F.when(a["last"].isNull() | (F.abs(a["last"] - v) > 15.0), new).otherwise(a)
+
+    folded = F.aggregate("v", start, step)
+    return series(spark, d).filter(F.size("v") > 0).select("series_id", folded.alias("f")).select("series_id", "f.kept", r6("f.total").alias("total"))
 
 
 def spine_profiles(spark, d):
@@ -140,11 +149,7 @@ def spine_profiles(spark, d):
 
 def frame_throttle(spark, d):
     """Frames that are analysed: 250 ms at least after the last that was."""
-    f = view(spark, d, "frames").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("t_ms", "event_id"))).alias("f"))
-    kept = F.aggregate(
-        "f", F.array().cast("array<struct<t_ms: bigint, event_id: bigint>>"), lambda a, x: F.when((F.size(a) == 0) | (x["t_ms"] - F.element_at(a, -1)["t_ms"] >= 250), F.concat(a, F.array(x))).otherwise(a)
-    )
-    return f.select("stream_id", F.explode(kept).alias("k")).select("stream_id", "k.t_ms", "k.event_id")
+    return throttle_batch(view(spark, d, "frames"))
 
 
 def snapshot_asof(spark, d):

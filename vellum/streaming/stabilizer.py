@@ -232,6 +232,27 @@ def stabilize_stream(frames: DataFrame) -> DataFrame:
     return timed(frames).groupBy("stream_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def throttle_batch(frames: DataFrame, interval_ms: int = 250) -> DataFrame:
+    """Stored frames that start so long after the last one that was analysed: one pass in order of time that jumps from one to the next."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for batch in batches:
+            for stream, part in batch.groupby("stream_id", sort=False):
+                if stream != at:
+                    at, last = stream, None
+                times, kept = part["t_ms"].to_numpy(), []
+                k = 0 if last is None else int(np.searchsorted(times, last + interval_ms))
+                while k < len(times):
+                    kept.append(k)
+                    last = int(times[k])
+                    k = int(np.searchsorted(times, last + interval_ms))
+                yield part.iloc[kept]
+
+    ordered = frames.select("stream_id", "t_ms", "event_id").repartition("stream_id").sortWithinPartitions("stream_id", "t_ms", "event_id")
+    return ordered.mapInPandas(run, ordered.schema)
+
+
 def throttle_stream(frames: DataFrame, interval_ms: int = 250) -> DataFrame:
     """Frames that start so long after the last one that was analysed."""
 
