@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, pick, stored, without
+from vellum.llm.common import documents, stored, with_rows, without
 
 #: Rows that one sorting group of the slot numbering has on average.
 GROUP_ROWS = 5_000
@@ -58,27 +58,27 @@ def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 bytes of the text (null: none) plus 8.  slot numbers a shard's rows from 0 without
-    gaps.  The numbering sorts groups of about GROUP_ROWS rows, dealt by key, text and row, and adds each
+    gaps.  The numbering sorts groups of about GROUP_ROWS rows, dealt by row, and adds each
     group's offset, so neither a shard nor a repeated key has to fit one task.  Repeated rows get slots of
-    their own; a null key counts as the empty string.
+    their own; a null key counts as the empty string.  docs has to come straight from files (see with_rows).
     """
     rows = docs.count()
     groups = max(1, -(-rows // (shards * GROUP_ROWS)))
     body = F.coalesce(F.col("text"), F.lit(""))
-    flat = pick(docs, doc_id=key, text=text).select(
+    flat = with_rows(docs, doc_id=key, text=text).select(
         "doc_id",
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         shard_of(F.col("doc_id"), shards).alias("shard"),
         shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("part"),
+        "row",
     )
-    dealt = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "part"), F.lit(groups)).cast("int")
+    dealt = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
     flat = stored(flat.withColumn("grp", dealt), "shards")
     sizes = flat.groupBy("shard", "grp").count()
     before = W.partitionBy("shard").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("shard", "grp", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    order = W.partitionBy("shard", "grp").orderBy("doc_id", "text_crc32", "size", "part")
+    order = W.partitionBy("shard", "grp").orderBy("doc_id", "row")
     return (
         flat.withColumn("rank", F.row_number().over(order))
         .join(offsets, ["shard", "grp"])
