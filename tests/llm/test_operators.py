@@ -49,6 +49,18 @@ def test_language_learns_and_rejects(spark, odd, tmp_path):
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in blank} == {("und", 0.0, True)}
 
 
+def test_language_of_held_out_documents(spark):
+    """Four languages of made-up words that share letters: documents kept from training, of which none was seen, are told nine times in ten."""
+    rng = np.random.default_rng(3)
+    lexicon = {lang: ["".join(rng.choice(list("abdeiklmnorstu"), rng.integers(3, 8))) for _ in range(80)] for lang in ("aa", "bb", "cc", "dd")}
+    rows = [(i, " ".join(rng.choice(lexicon[lang], rng.integers(8, 40))), lang) for i in range(1200) for lang in [("aa", "bb", "cc", "dd")[i % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in langid.predict(docs, langid.fit(docs)).collect() if is_held_out(r["doc_id"])]
+    assert len(got) > 150 and sum(r["lang_pred"] == r["lang"] for r in got) > 0.9 * len(got)
+    same = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert len(langid.fit(same).labels) in (0, 4) and len(langid.fit(docs.withColumn("doc_id", F.lit(3).cast("long"))).labels) == 4
+
+
 def test_language_odd_and_empty(odd, empty):
     got = langid.predict(odd, langid.fit(odd))
     assert got.count() == odd.count() and {"lang_pred", "score", "rejected"} <= set(got.columns)
@@ -114,6 +126,15 @@ def test_dedup(odd, empty):
     assert dedup.dedup(empty).count() == 0
 
 
+def test_dedup_by_ranges(spark, odd, monkeypatch):
+    """Many small filters instead of one find the same groups."""
+    want = sorted(map(str, dedup.dedup(odd).collect()))
+    monkeypatch.setattr(dedup, "MAX_CELLS", 64)
+    monkeypatch.setattr(dedup, "SEGMENT", 64)
+    assert dedup.cells_for(1000) == 64
+    assert sorted(map(str, dedup.dedup(odd).collect())) == want
+
+
 def test_bloom_filter_finds_all_repeats(spark):
     rows = [(hashlib.sha256(str(i % 700).encode()).digest(),) for i in range(1000)]
     df = spark.createDataFrame(rows, "digest binary").repartition(5)
@@ -198,6 +219,18 @@ def test_personal_data(spark, odd, empty):
     assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0
 
 
+def test_personal_data_adds_spans(spark):
+    """Written-out addresses and numbers after their cues are added, at their places; numbers of chapters and orders are not."""
+    rows = []
+    for i in range(400):
+        rows.append((i, f"please contact mail ann{i}@mail.example.org or call phone +1 310 555 {1000 + i} about card 4111 1111 1111 1111 at host 10.0.0.{i % 250}"))
+    rows += [(1000, "é contact mail ann [at] site [dot] com today"), (1001, "call phone (212) 555-0187 now"), (1002, "see chapter 12, order 4711 and page 9"), (1003, None)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000]["spans"] == "email:15:38" and got[1001]["spans"] == "phone:11:25"
+    assert got[1002]["spans"] == "" and got[1003]["spans"] == "" and got[1000]["n_email"] == 0
+    assert all(got[i]["n_spans"] == 4 for i in range(400))
+
+
 def test_expectation_maximisation_trusts_those_who_agree():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
@@ -253,8 +286,11 @@ def test_near_duplicates(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_first(empty).count() == 0
 
 
-def test_near_duplicates_that_drift(spark, tmp_path):
-    """A chain of copies of copies: neighbours are alike, the ends are not, and no pair with the first of all may be enough."""
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_that_drift(spark, tmp_path, monkeypatch, block):
+    """A chain of copies of copies: neighbours are alike, the ends are not, and no pair with the first of all may be enough; in one block or in many."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CELLS", block * 10)
     rng = np.random.default_rng(3)
     words = [f"w{rng.integers(10**6)}" for _ in range(150)]
     rows = []

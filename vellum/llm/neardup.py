@@ -2,10 +2,11 @@
 and the maximum are kept, so a signature takes half the hash evaluations.
 
 Bands of signature values propose pairs; links are confirmed on full shingle sets.  Documents of equal sets
-are one node.  In each bucket of a band all nodes are first held against one of them, its centre.  That joins most
-nodes of a bucket; where several components are left, a node can only have a link to another one if it
-shares enough shingles with nodes outside its component.  The nodes that do are held against the centre with most
-links; then those outside the largest component of their bucket against all of the bucket, in blocks of bounded size.
+are one node.  In each bucket of a band all nodes are first held against one of them, its centre.  A bucket whose
+nodes are then in several components is searched pair by pair, in one block if it is small.  In a large one a node can
+only have a link to another component if it shares enough shingles with nodes outside its own; the nodes that do are
+held against the centre with most links, and then those outside the bucket's largest component against all of the
+bucket, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SHINGLE = 5
 PERMUTATIONS = 60
 #: Values in a band, bands: two documents of similarity 0.85 share a band but for a chance of 8 in 10 million, of 0.8 but for 7 in 100,000.
 ROWS, BANDS = 5, 24
-#: Nodes in a block of a bucket that is searched pair by pair, and cells of the table of their shingles that is in memory at once.
-BLOCK, CELLS = 256, 1 << 24
+#: Nodes in a block of a bucket that is searched pair by pair, their shingles, and cells of the table of these that is in memory at once.
+BLOCK, SHINGLES, CELLS = 512, 1 << 22, 1 << 22
 #: Row numbers are broadcast up to this many (16 MB), beyond it shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -148,14 +149,14 @@ def similar(percent: int, a: str = "set_a", b: str = "set_b") -> Column:
 
 
 def centre_links(members: DataFrame, sets: DataFrame, percent: int, total: int, links: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of nodes (bucket, rep, n) to one node of their bucket: the one with most ``links`` so far, else any, another one in each bucket."""
+    """Links (a, b) of nodes (bucket, rep, n) to one node of their bucket: the one with most ``links`` so far, of equals the first."""
     held = members.select("bucket", "rep", "n")
     if links is None:
         held = held.withColumn("links", F.lit(0).cast("long"))
     else:
         ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
         held = held.join(ends, "rep", "left").fillna(0, ["links"])
-    centre = F.max(F.struct("links", F.xxhash64("bucket", "rep").alias("order"), "rep", "n")).alias("centre")
+    centre = F.max(F.struct("links", (-F.col("rep")).alias("order"), "rep", "n")).alias("centre")
     centres = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), centre), "centres")
     fits = F.lit(100) * F.least("n", "centre.n") >= F.lit(percent) * F.greatest("n", "centre.n")
     pairs = join_hot(members.select("bucket", "rep", "n"), centres, "bucket", "held", total).filter((F.col("rep") != F.col("centre.rep")) & fits)
@@ -166,10 +167,14 @@ def centre_links(members: DataFrame, sets: DataFrame, percent: int, total: int,
 
 
 def still_open(members: DataFrame, star: DataFrame, total: int) -> DataFrame:
-    """members (bucket, rep, n) with the component of their node, of buckets whose nodes are in several."""
+    """members (bucket, rep, n) with the component of their node, of buckets whose nodes are in several; with held and shingles of the bucket."""
     placed = members.join(star, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return join_hot(placed, stored(several.select("bucket", "held"), "open"), "bucket", "held", total)
+    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return join_hot(placed, stored(several.select("bucket", "held", "shingles"), "open"), "bucket", "held", total)
+
+
+def is_small() -> Column:
+    return (F.col("held") <= BLOCK) & (F.col("shingles") <= SHINGLES)
 
 
 def reachable(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,16 +188,19 @@ def reachable(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(rest: DataFrame, total: int) -> DataFrame:
-    """Nodes (bucket, rep, component, held) with the blocks (bucket, i, j) where they are compared.
+    """Nodes (bucket, rep, component, held, shingles) with the blocks (bucket, i, j) where they are compared.
 
     Nodes outside the bucket's largest component meet all nodes: block i, j has the i-th part of the former and
     the j-th part of all.
     """
-    parts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    size = parts.groupBy("bucket").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("largest"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("held"))
-    told = join_hot(rest.drop("held"), size, "bucket", "held", total)
-    chunks, outer = F.ceil(F.col("held") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
-    told = told.select("bucket", "rep", "component", (F.col("component") != F.col("largest")).alias("out"), chunks.alias("chunks"), outer.alias("outer"))
+    parts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    size = parts.groupBy("bucket").agg(
+        F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("largest"), F.sum("n").alias("held"), F.sum("shingles").alias("shingles"), (F.sum("n") - F.max("n")).alias("outside")
+    )
+    told = join_hot(rest.drop("held", "shingles"), size, "bucket", "held", total)
+    chunks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
+    outer = F.ceil(F.col("outside") * F.col("chunks") / F.col("held")).cast("int")
+    told = told.withColumn("chunks", chunks).select("bucket", "rep", "component", (F.col("component") != F.col("largest")).alias("out"), "chunks", outer.alias("outer"))
     own, own_out = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("outer")).cast("int")
     told = told.withColumns({"own": own, "own_out": own_out})
     among = told.select("bucket", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("own").alias("j"))
@@ -266,18 +274,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     star = stored(components(links), "stars")
     # buckets that have pairs not yet compared, of nodes in several components
     open_ = stored(still_open(crowded.filter("size > 2"), star, total * BANDS), "open")
-    near = reachable(open_.select("rep", "component").distinct(), sets, percent)
-    rest = stored(open_.select("bucket", "rep", "n").join(near, "rep"), "near")
-    links = links.unionByName(stored(centre_links(rest, sets, percent, total * BANDS, links), "links"))
-    star = stored(components(links), "stars")
-    rest = stored(still_open(rest, star, total * BANDS), "rest")
+    large = open_.filter(~is_small())
+    if large.isEmpty():
+        rest = open_
+    else:
+        near = reachable(large.select("rep", "component").distinct(), sets, percent)
+        rest = stored(large.select("bucket", "rep", "n").join(near, "rep"), "near")
+        links = links.unionByName(stored(centre_links(rest, sets, percent, total * BANDS, links), "links"))
+        star = stored(components(links), "stars")
+        small = open_.filter(is_small()).select("bucket", "rep", "n")
+        rest = stored(still_open(small.unionByName(rest.select("bucket", "rep", "n")), star, total * BANDS), "rest")
     blocks = in_blocks(rest, total * BANDS).join(sets.withColumnRenamed("row", "rep"), "rep")
     more = stored(blocks.groupBy("bucket", "i", "j").applyInPandas(lambda group: joining_links(group, percent), "a long, b long"), "links")
     final = components(star.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.select("digest", "rep", "size", "best").join(final, F.col("rep") == F.col("node"), "left").select("digest", "size", "best", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")
-    discard(crowded, sets, open_, rest, more, star)
+    discard(crowded, sets, open_, more, star)
     heads = named.groupBy("component").agg(F.min("best").alias("head"), F.count(F.lit(1)).alias("classes"))
     named = join_hot(named, heads, "component", "classes", total).select("digest", "size", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
     linked = join_hot(seen.filter("n > 0").select("row", "doc_id", "n", "digest"), stored(named, "heads"), "digest", "size", total)
