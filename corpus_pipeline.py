@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import decontaminate, langid, mix, neardup, shards
-from vellum.llm.common import documents, shared_dir
+from vellum.llm.common import discard, documents, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path, before = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}", docs
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
