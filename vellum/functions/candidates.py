@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.numbers import cascade, clamp, weighted
 
+# fixed values: the weights, thresholds and names in this module's expressions have to be these for results to be right
 INELIGIBLE = -1.0
 
 

@@ -117,6 +117,9 @@ class Quad:
         return Quad([turned(k, 0) for k in range(4)], [turned(k, 1) for k in range(4)])
 
 
+# fixed values: the extents and areas in the rules below have to be these for results to be right
+
+
 def is_sane(unit: Quad, single: Column, clipping: Number, capture: bool = False) -> Column:
     """Large enough within the frame to be a page; sides of a spread may be narrower, live captures have to be larger."""
     sane = unit.inside(0, 1, 1) & (unit.width >= F.when(single, 0.46).otherwise(0.42)) & (unit.height >= 0.48) & (unit.area >= F.when(single, 0.24).otherwise(0.22)) & (col(clipping) < 0.88)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vellum.functions.geometry import Quad, distance
 from vellum.functions.numbers import cascade, clamp, weighted
 
+# fixed values: the weights, thresholds and names in this module's expressions have to be these for results to be right
+
 
 def occupancy(area: Column, single: Column) -> Column:
     return F.when(single, clamp((area - 0.14) / (0.72 - 0.14))).otherwise(clamp((area - 0.24) / (0.68 - 0.24)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions.geometry import Quad, distance
 from vellum.functions.numbers import cascade, clamp, col, ratio, weighted
 
+# fixed values: the weights, thresholds and names in this module's expressions have to be these for results to be right
 SPINE_LIMIT, OUTWARD_LIMIT = 0.055, 0.10
 
 

@@ -32,20 +32,20 @@ def collapsed(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, rf"{BLANK}+", " "))
 
 
-def is_meaningful(line: Column) -> Column:
-    """Two characters or more with a letter, and neither a number, a page number nor a date."""
-    return (units(line) >= 2) & line.rlike(LETTER) & ~line.rlike(DIGITS) & ~line.rlike(PAGE_NUMBER) & ~line.rlike(DATE)
+def is_meaningful(line: Column, n: Column | None = None) -> Column:
+    """Two characters or more with a letter, and neither a number, a page number nor a date.  ``n``: the line's units, where they are known."""
+    return ((units(line) if n is None else n) >= 2) & line.rlike(LETTER) & ~line.rlike(DIGITS) & ~line.rlike(PAGE_NUMBER) & ~line.rlike(DATE)
 
 
-def looks_like_sentence(line: Column) -> Column:
-    return (units(line) > 40) | line.rlike(SENTENCE_END)
+def looks_like_sentence(line: Column, n: Column | None = None) -> Column:
+    return ((units(line) if n is None else n) > 40) | line.rlike(SENTENCE_END)
 
 
-def title_score(line: Column, top: Column, height: Column | float = 0.0, confidence: Column | float = 0.5) -> Column:
+def title_score(line: Column, top: Column, height: Column | float = 0.0, confidence: Column | float = 0.5, n: Column | None = None) -> Column:
     """Rank of a line as title: high on the page, tall (a fifth of the page at most), of a phrase's length, certain, and no sentence."""
-    n = units(line)
+    n = units(line) if n is None else n
     length = cascade(((n >= 4) & (n <= 36), F.lit(1.4)), (n <= TITLE_LENGTH, F.lit(0.7)), otherwise=F.lit(0.1))
-    sentence = F.when(looks_like_sentence(line), F.lit(0.8)).otherwise(F.lit(0.0))
+    sentence = F.when(looks_like_sentence(line, n), F.lit(0.8)).otherwise(F.lit(0.0))
     return (F.lit(1.0) - top) * 4.0 + clamp(height, 0.0, TALLEST) * 45.0 + length + F.coalesce(col(confidence), F.lit(0.5)) * 0.4 - sentence
 
 

@@ -24,14 +24,16 @@ def meaningful_lines(lines: DataFrame) -> DataFrame:
     Lines have ord (reading order) and raw; where they have the columns box_top, box_height and page_height, place and
     size come from these (null or no page height: from the reading order, no size), and confidence counts if there.
     """
-    df = computed(lines.filter(F.col("raw").rlike(T.LETTER)), "line", T.collapsed(F.col("raw"))).drop("raw").filter(T.is_meaningful(F.col("line")))
+    df = computed(lines.filter(F.col("raw").rlike(T.LETTER)), "line", T.collapsed(F.col("raw"))).drop("raw")
+    n = F.col("units")
+    df = computed(df, "units", T.units(F.col("line"))).filter(T.is_meaningful(F.col("line"), n))
     confidence = F.col("confidence") if "confidence" in lines.columns else 0.5
     if "box_top" not in lines.columns:
-        return df.withColumn("top", T.title_top(F.col("ord"))).withColumn("score", T.title_score(F.col("line"), F.col("top"), 0.0, confidence))
+        return df.withColumn("top", T.title_top(F.col("ord"))).withColumn("score", T.title_score(F.col("line"), F.col("top"), 0.0, confidence, n))
     boxed = F.col("box_top").isNotNull() & (F.col("page_height") > 0)
     height = F.when(boxed, F.col("box_height") / F.col("page_height")).otherwise(0.0)
     df = df.withColumn("top", T.title_top(F.col("ord"), F.col("box_top"), F.col("page_height")))
-    return df.withColumn("score", T.title_score(F.col("line"), F.col("top"), height, confidence))
+    return df.withColumn("score", T.title_score(F.col("line"), F.col("top"), height, confidence, n))
 
 
 def best_titles(lines: DataFrame, *keys: str) -> DataFrame:
