@@ -91,3 +91,28 @@ def test_older_stabilizer():
     assert s.stable is not None
     s.update(True, 0.4, box, 1000)
     assert s.stable is None
+
+
+def test_png_and_pdf_files(spark):
+    import struct
+    import zlib
+
+    from vellum.operators import exports, images
+    from vellum.operators.pages import valid_pdf
+
+    for x in (np.arange(60, dtype=np.uint8).reshape(6, 10), np.arange(90, dtype=np.uint8).reshape(5, 6, 3)):
+        file, at, data = images.png(x), 8, b""
+        while at < len(file):
+            (n,), kind = struct.unpack(">I", file[at : at + 4]), file[at + 4 : at + 8]
+            assert struct.unpack(">I", file[at + 8 + n : at + 12 + n])[0] == zlib.crc32(file[at + 4 : at + 8 + n])
+            data += file[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += 12 + n
+        rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(x.shape[0], -1)
+        assert (rows[:, 0] == 0).all() and (rows[:, 1:].reshape(x.shape) == x).all()
+    pages = [(7, 2, b"second", 100, 200), (7, 1, b"first", 200, 100), (8, 1, b"only", 10, 10)]
+    made = exports.pdf_documents(spark.createDataFrame(pages, "document long, place int, content binary, width int, height int"))
+    got = {r["document"]: bytes(r["content"]) for r in made.collect()}
+    assert got[7].index(b"first") < got[7].index(b"second") and b"/Count 2" in got[7] and b"MediaBox [0 0 841.89 420.95]" in got[7]
+    place = int(got[8].split(b"startxref\n")[1].split(b"\n")[0])
+    assert got[8][place : place + 4] == b"xref" and got[8].endswith(b"%%EOF\n")
+    assert all(r["valid"] for r in valid_pdf(made.selectExpr("cast(document as string) as path", "length(content) as length", "content")).collect())

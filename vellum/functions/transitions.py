@@ -198,5 +198,16 @@ def session_fate(event: Column, active: Column, created: Column, pages: Column)
     )
 
 
-def unit(x: Column) -> Column:
-    return F.coalesce(clamp(x), F.lit(0.0))
+def scene_scale(width: Column, height: Column, longest: float = 1200.0) -> Column:
+    """By how much a picture shrinks so that its longer edge fits a scene; never grows."""
+    edge = F.greatest(width, height).cast("double")
+    return F.when(edge <= longest, 1.0).otherwise(F.lit(longest) / edge)
+
+
+def to_scene(x: Column, y: Column, scale: Column) -> tuple[Column, Column]:
+    return x * scale, y * scale
+
+
+def to_source(x: Column, y: Column, scale: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Back from the scene; what lies beside the picture comes to its border."""
+    return clamp(x / scale, 0.0, width.cast("double")), clamp(y / scale, 0.0, height.cast("double"))

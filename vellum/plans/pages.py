@@ -189,6 +189,15 @@ def deletion_sets(spark, d):
     return named.unionByName(own).distinct()
 
 
+def pdf_validity(spark, d):
+    """Which of the files that stand for exported documents are PDF files: by their size and first bytes."""
+    s = view(spark, d, "scans")
+    start = F.element_at(F.array(*[F.lit(x) for x in ("%PDF-1.4 ", "%PDF-", "%PDF", " %PDF-1.7", "")]), (F.col("raw_key") % 5 + 1).cast("int"))
+    content = F.concat(start, F.when(F.col("page_no") % 2 == 0, F.col("text")).otherwise(""))
+    files = s.select(F.col("raw_key").cast("string").alias("path"), F.octet_length(content).alias("length"), F.encode(content, "UTF-8").alias("content"))
+    return O.valid_pdf(files)
+
+
 def raw_file_matches(spark, d):
     """Files that belong to a page by the start of their name."""
     s = scans(spark, d)
@@ -219,7 +228,7 @@ QUERIES = {
     for f in (
         export_by_set, export_by_order, unreferenced_files, renumber_after_delete, reorder_pages, replace_range, preserve_order, preserve_selection, toggle_selection, spread_explode, spread_restore,
         spread_siblings, display_paths, unique_names, next_raw_index, session_validity, session_json, recoverable_sessions, recovery_status, retake_pages, session_fold, illegal_transitions, deletion_sets,
-        raw_file_matches, stage_reports, log_records,
+        pdf_validity, raw_file_matches, stage_reports, log_records,
     )
 }
 ORACLE = {
@@ -265,6 +274,8 @@ SELECT *, row_number() OVER (ORDER BY created DESC, session_id) AS place FROM r"
     "illegal_transitions": oracle("""WITH t AS (SELECT series_id, length(event_type) % 4 AS state, lag(length(event_type) % 4) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM {signal})
 SELECT before, state, count(*) AS n FROM t WHERE before IS NOT NULL AND state <> (before + 1) % 4 AND state <> 0 GROUP BY before, state"""),
     "deletion_sets": oracle("SELECT raw_key, unnest(['raw_' || raw_key, 'corrected_' || raw_key]) AS file FROM {scans}"),
+    "pdf_validity": oracle("""SELECT raw_key::VARCHAR AS path, CASE raw_key % 5 WHEN 0 THEN true WHEN 1 THEN page_no % 2 = 0 AND strlen(text) >= 3 WHEN 2 THEN page_no % 2 = 0 AND text LIKE '-%' AND strlen(text) >= 4
+  WHEN 4 THEN page_no % 2 = 0 AND text LIKE '\x25PDF-%' AND strlen(text) >= 8 ELSE false END AS valid FROM {scans}""".replace("\\x25", "%")),
     "raw_file_matches": oracle("SELECT session_id, page_no, 'raw_' || lpad(page_no::VARCHAR, 3, '0') || CASE WHEN raw_key % 2 = 0 THEN '_b.jpg' ELSE '.jpg' END AS file FROM {scans}"),
     "stage_reports": oracle("SELECT series_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM {signal} GROUP BY series_id"),
     "log_records": oracle("SELECT series_id, 'scan' AS category, event_type AS route, pos::INTEGER AS pos, floor(value)::INTEGER AS value FROM {signal}"),

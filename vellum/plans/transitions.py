@@ -132,6 +132,15 @@ def failure_records(spark, d):
     return e.select(*KEYS, *[v.alias(n) for n, v in T.failure_record(reason, F.col("side"), {"coverage": F.col("paper_score"), "source_width": F.when(F.col("agree"), F.col("before_w"))}).items()])
 
 
+def scene_points(spark, d):
+    """A corner in the scene of an editor, and another scene point back in the picture."""
+    q = view(spark, d, "quads").withColumns({"w": F.col("width") + (F.col("page_id") % 500), "h": F.lit(700) + F.col("ord") * 150})
+    scale = T.scene_scale(F.col("w"), F.col("h"))
+    scene = T.to_scene(F.col("x1"), F.col("y1"), F.col("scale"))
+    source = T.to_source(F.col("x2") * 1.2 - 150.0, F.col("y2") - 900.0, F.col("scale"), F.col("w"), F.col("h"))
+    return q.withColumn("scale", scale).select(*KEYS, r6("scale").alias("scale"), *[r6(v).alias(n) for n, v in zip(("scene_x", "scene_y", "source_x", "source_y"), (*scene, *source), strict=True)])
+
+
 def session_fates(spark, d):
     """Sessions after the last thing that happened to them; those that were deleted leave with all their pages."""
     s = view(spark, d, "scans").groupBy("session_id").agg(F.count(F.lit(1)).alias("pages"))
@@ -146,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_transitions, curve_adoptions, correction_results, spread_results, curve_boundaries, curve_improvements, enhancement_problems, policy_problems, native_problems, inset_regions, boundary_points, content_crops,
-        failure_records, session_fates,
+        failure_records, scene_points, session_fates,
     )
 }
 P = "p AS (" + PAGES + ")"
@@ -198,6 +207,8 @@ SELECT page_id, ord, n, {R("list_reduce(list_concat([a], flatten(mid), [bx, b2])
   {R("CASE WHEN convex THEN evidence ELSE 0e0 END")} AS components, {R("CASE WHEN convex THEN border ELSE 0e0 END")} AS margin FROM {{evidence}}"""),
     "failure_records": oracle("""SELECT page_id, ord, false AS success, CASE WHEN has_corners THEN 'inference_failed' ELSE 'model_missing' END AS failure_reason, coalesce(side, 'single') AS page_side, coalesce(paper_score, 0e0) AS coverage,
   CASE WHEN agree THEN before_w ELSE 0e0 END AS source_width FROM {evidence} WHERE NOT (has_corners AND in_bounds)"""),
+    "scene_points": oracle(f"""WITH s AS (SELECT *, width + page_id % 500 AS w, 700 + ord*150 AS h FROM {{quads}}), k AS (SELECT *, CASE WHEN greatest(w, h) > 1200 THEN 1200e0/greatest(w, h) ELSE 1e0 END AS k FROM s)
+SELECT page_id, ord, {R("k")} AS scale, {R("x1*k")} AS scene_x, {R("y1*k")} AS scene_y, {R("least(greatest((x2*1.2e0 - 150e0)/k, 0e0), w)")} AS source_x, {R("least(greatest((y2 - 900e0)/k, 0e0), h)")} AS source_y FROM k"""),
     "session_fates": oracle("""WITH s AS (SELECT session_id, session_id % 6 AS e, session_id % 4 = 1 AS bare, ['restore', 'discard', 'cancel', 'exported', 'delete', 'capture'][session_id % 6 + 1] AS event FROM {scans} GROUP BY session_id)
 SELECT session_id, event, CASE WHEN e = 0 AND session_id % 5 = 0 THEN 'error' WHEN e = 1 THEN 'kept' ELSE 'active' END AS fate FROM s WHERE e IN (0, 5) OR e = 1 AND NOT (bare AND session_id % 3 > 0)"""),
 }
