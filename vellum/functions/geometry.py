@@ -103,6 +103,14 @@ class Quad:
     def inside(self, low: Number, width: Number, height: Number) -> Column:
         return (self.left >= col(low)) & (self.top >= col(low)) & (self.right <= col(width)) & (self.bottom <= col(height))
 
+    def holds(self, x: Column, y: Column) -> Column:
+        """Whether a point lies inside: a ray from it crosses an odd number of edges."""
+        crossed = F.lit(0)
+        for k in range(4):
+            (cx, cy), (px, py) = self.point(k), self.point(k + 3)
+            crossed = crossed + F.when((cy > y) != (py > y), (x < (px - cx) * (y - cy) / (py - cy) + cx).cast("int")).otherwise(0)
+        return crossed % 2 == 1
+
     def distances(self, other: Quad) -> list[Column]:
         return [distance(*self.point(k), *other.point(k)) for k in range(4)]
 

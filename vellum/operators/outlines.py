@@ -224,12 +224,7 @@ def lattice(sheets: DataFrame) -> DataFrame:
     box = sheets.withColumns({"x_low": edge(q.left, "width"), "x_high": edge(q.right, "width"), "y_low": edge(q.top, "height"), "y_high": edge(q.bottom, "height")})
     cells = box.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
     cells = cells.withColumns({"x": (F.col("x_low") + F.floor((F.col("x_high") - F.col("x_low")) * F.col("j") / 20)).cast("int"), "y": (F.col("y_low") + F.floor((F.col("y_high") - F.col("y_low")) * F.col("i") / 20)).cast("int")})
-    crossed = F.lit(0)
-    for k in range(4):
-        (cx, cy), (px, py) = q.point(k), q.point(k + 3)
-        apart = (cy > F.col("y")) != (py > F.col("y"))
-        crossed = crossed + F.when(apart, (F.col("x") < (px - cx) * (F.col("y") - cy) / (py - cy) + cx).cast("int")).otherwise(0)
-    return cells.filter(crossed % 2 == 1).select("page_id", "x", "y")
+    return cells.filter(q.holds(F.col("x"), F.col("y"))).select("page_id", "x", "y")
 
 
 def region_signals(samples: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import boundaries, candidates, frames, native, outlines, pages, refinement, signals, titles, transitions
+from vellum.plans import boundaries, candidates, evidence, frames, native, outlines, pages, refinement, signals, titles, transitions
 
-PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames, native, outlines, transitions)
+PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames, native, outlines, transitions, evidence)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in PARTS for name, text in part.ORACLE.items()}
