@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space is what these six ASCII characters are; a word is a run of anything else.
@@ -64,9 +65,9 @@ def with_rows(docs: DataFrame, name: str = "row", **columns: str) -> DataFrame:
         plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
         kept = stored(plain.select(*[plain[f"_{_place(docs, old)}"].alias(new) for new, old in columns.items()]) if columns else plain, "rows")
         return with_rows(kept, name, **{c: c for c in kept.columns})
-    files = sorted(r["file"] for r in paths.collect())
-    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
-    if len(files) <= BROADCAST_FILES:
+    # one row a file: a table that is as small as the list of files that Spark itself keeps
+    numbers = stored(paths.select(F.col("file").alias("_file"), (F.row_number().over(W.orderBy("file")) - 1).cast("long").alias("_number")), "files")
+    if numbers.count() <= BROADCAST_FILES:
         numbers = F.broadcast(numbers)
     wanted = [docs[old].alias(new) for new, old in columns.items()] if columns else [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)]
     told = docs.select(*wanted, meta["file_path"].alias("_file"), meta["row_index"].alias("_place")).join(numbers, "_file")
