@@ -45,7 +45,7 @@ BLOCK_DOCUMENTS = 20_000
 #: Pieces of text whose ids a worker remembers.
 MEMORY = 700_000
 #: Bytes of text encoded at once, and bytes of text in a range of keys (one task), about.
-PORTION, PART = 16 << 20, 64 << 20
+PORTION, PART = 8 << 20, 32 << 20
 #: Blocks whose starts are broadcast (24 bytes each); beyond it blocks are shuffled.
 BROADCAST_BLOCKS = 1_000_000
 # fixed values: punctuation that may follow a word; apostrophes begin tokens of their own
@@ -313,17 +313,19 @@ def read_documents(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
+            for i in range(batch.num_rows):
+                # the batch's own memory: a block is not copied
+                b = {c: batch.column(c)[i].as_buffer() for c in ("keys", "payload", "ends", "levels", "bits", "fingerprints", "places")}
                 ends, keys = np.frombuffer(b["ends"], np.int64), np.frombuffer(b["keys"], np.int64)
                 starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-                ids = np.frombuffer(b["payload"], f"<u{len(b['payload']) // int(ends[-1])}" if ends[-1] else "<u2")
+                ids = np.frombuffer(b["payload"], f"<u{b['payload'].size // int(ends[-1])}" if ends[-1] else "<u2")
                 crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
                 nulls = len(ends) - len(keys)
                 distinct, first = np.unique(keys, return_index=True)
                 if (Index(b["levels"], b["bits"], b["fingerprints"], b["places"]).find(distinct) != first + nulls).any():
                     raise ValueError("the index does not lead to the documents of its keys")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * nulls + keys.tolist(), pa.int64()), pa.array(b["start"] + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([None] * nulls + keys.tolist(), pa.int64()), pa.array(batch.column("start")[i].as_py() + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
