@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import geometry as G
 from vellum.functions import stats as S
 from vellum.functions import text as T
 from vellum.operators import images as I
@@ -171,3 +172,18 @@ def test_lengths_are_utf16_units(spark):
     got = values(spark, [(c,) for c, _ in cases], "s string", T.truncated(F.col("s")))
     assert got == [(w,) for _, w in cases]
     assert values(spark, [("n" * 119 + smile,), (smile * 60,), (smile * 61,)], "s string", T.safe_file_name(F.col("s"))) == [("n" * 119 + ".pdf",), (smile * 60 + ".pdf",), (smile * 60 + ".pdf",)]
+
+
+def test_narrow_places_and_outer_offsets(spark):
+    """A valley between two pages, an outline beyond a tight boundary, and one extreme that points inward."""
+    rows = [([10.0, 95.0, 98.0, 100.0, 96.0, 24.0, 94.0, 99.0, 97.0, 12.0],), ([90.0, 95.0, 98.0, 100.0, 96.0, 80.0, 94.0, 99.0],), ([10.0, 95.0, 24.0],)]
+    assert values(spark, rows, "v array<double>", S.narrow_place(F.col("v"))) == [(5,), (None,), (None,)]
+    rows = [([-4.0, 2.0, 7.0, 8.0, 9.0, 10.0, 11.0],), ([8.0, 10.0, 12.0, 14.0, 11.0, -35.0, 9.0],), ([-1.0],)]
+    got = [r[0] for r in values(spark, rows, "v array<double>", S.outer_offset(F.col("v")))]
+    assert got[0] > 8 and got[1] > 11 and got[2] == 0.0
+
+
+def test_corners_of_a_turned_preview(spark):
+    q = G.Quad([F.lit(x) for x in (0.1, 0.9, 0.9, 0.1)], [F.lit(y) for y in (0.2, 0.2, 0.8, 0.8)]).rotated(F.col("d"))
+    ((tlx, tly, brx, bry),) = values(spark, [(90,)], "d int", q.xs[0], q.ys[0], q.xs[2], q.ys[2])
+    assert abs(tlx - 0.2) < 1e-4 and abs(tly - 0.1) < 1e-4 and abs(brx - 0.8) < 1e-4 and abs(bry - 0.9) < 1e-4

@@ -47,3 +47,18 @@ def smoothed(values: Column) -> Column:
 
 def consistency(positive: Column, negative: Column) -> Column:
     return F.when(positive + negative > 0, F.greatest(positive, negative) / (positive + negative)).otherwise(0.0)
+
+
+def narrow_place(values: Column) -> Column:
+    """Where widths are narrowest, counted from 0, if that is narrow against their upper quarter; an eighth at each end does not count.  Null under eight values."""
+    n = F.size(values)
+    cut = F.greatest(F.lit(1), F.floor(n * 0.12 + 0.5)).cast("int")
+    core = F.slice(values, cut + 1, F.greatest(n - cut * 2, F.lit(0)))
+    low, high = F.array_min(core), percentile(F.array_sort(core), 0.75)
+    return F.when((n >= 8) & (high > 0) & (low / high <= 0.42), cut + F.array_position(core, low).cast("int") - 1)
+
+
+def outer_offset(values: Column) -> Column:
+    """How far an outline reaches beyond an edge: a high percentile of what lies outside, 0 if nothing does."""
+    outside = F.array_sort(F.filter(values, lambda v: v >= 0))
+    return F.when(F.size(outside) > 0, percentile(outside, 0.88)).otherwise(0.0)

@@ -99,11 +99,8 @@ def shoulder_contrast(spark, d):
 
 def valley_places(spark, d):
     """The lowest place of the core of a series if it is low against the upper quarter: a narrow connection."""
-    cut = F.greatest(F.lit(1), F.floor(F.size("v") * 0.12 + 0.5)).cast("int")
-    s = series(spark, d).filter(F.size("v") >= 8).withColumn("cut", cut).withColumn("core", F.slice("v", F.col("cut") + 1, F.size("v") - F.col("cut") * 2))
-    low = F.array_min("core")
-    ref = S.percentile(F.array_sort("core"), 0.75)
-    return s.select("series_id", F.when((ref > 0) & (low / ref <= 0.42), F.col("cut") + F.array_position("core", low).cast("int") - 1).alias("place"))
+    # through a one-element array the place is computed once
+    return series(spark, d).filter(F.size("v") >= 8).select("series_id", F.element_at(F.transform(F.array("v"), S.narrow_place), 1).alias("place"))
 
 
 def systematic_samples(spark, d):
