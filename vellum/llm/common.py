@@ -109,9 +109,14 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
 
 
+def wide(table: DataFrame) -> DataFrame:
+    """A table of wide rows, to be joined by shuffle and sort: it grows with the input and is never broadcast, however little of it there is at hand."""
+    return table.hint("merge")
+
+
 def join_dealt(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 1000) -> DataFrame:
     """join_hot() for groups that are too wide to broadcast: a group is copied once for every ``most`` of its rows, and the rows are dealt out over the copies."""
     told = join_hot(rows, groups.select(key, F.ceil(F.col(size) / most).cast("int").alias("_copies"), F.col(size).alias("_size")), key, "_size", total)
     told = told.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.col("_copies")).cast("int")).drop("_copies", "_size")
     copies = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / most).cast("int") - 1)))
-    return told.join(copies, [key, "_copy"]).drop("_copy")
+    return told.join(wide(copies), [key, "_copy"]).drop("_copy")

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import join_hot, stored
 
+#: Of so many links (some 16 MB) no node can have more than one task bears: they are joined without a look for hot nodes.
+FEW = 1_000_000
+
 
 def round_of(pairs: DataFrame, links: int, large: bool) -> DataFrame:
     """One star operation on pairs (a, b), a > b: only minima are gathered of a node's neighbours, never their list."""
     if large:
         pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_hot(pairs, least, "a", "n", links)
+    joined = pairs.join(least, "a") if links <= FEW else join_hot(pairs, least, "a", "n", links)
     if large:
         new = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

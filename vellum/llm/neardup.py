@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, documents, join_dealt, join_hot, plain, stored, with_rows
+from vellum.llm.common import discard, documents, join_dealt, join_hot, plain, stored, wide, with_rows
 from vellum.llm.components import components
 
 SHINGLE = 5
@@ -161,8 +161,8 @@ def centre_links(members: DataFrame, sets: DataFrame, percent: int, total: int,
     fits = F.lit(100) * F.least("n", "centre.n") >= F.lit(percent) * F.greatest("n", "centre.n")
     pairs = join_hot(members.select("bucket", "rep", "n"), centres, "bucket", "held", total).filter((F.col("rep") != F.col("centre.rep")) & fits)
     pairs = stored(pairs.select(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).distinct(), "pairs")
-    of_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
-    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asked")).join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
+    of_a = pairs.join(wide(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a"))), "a")
+    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("asked")).join(wide(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b"))), "b")
     return join_dealt(of_a, of_b, "b", "asked", total).filter(similar(percent)).select("a", "b")
 
 
@@ -179,7 +179,7 @@ def is_small() -> Column:
 
 def reachable(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Nodes (rep) of nodes (rep, component) that may have a link to another component: a link takes ``percent`` of a set's shingles, so a set of which fewer also occur in other components has none."""
-    held = nodes.join(sets.withColumnRenamed("row", "rep"), "rep")
+    held = nodes.join(wide(sets.withColumnRenamed("row", "rep")), "rep")
     total = held.agg(F.sum(F.size("set").cast("long"))).first()[0] or 0
     each = held.select("rep", "component", F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
     known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
         star = stored(components(links), "stars")
         small = open_.filter(is_small()).select("bucket", "rep", "n")
         rest = stored(still_open(small.unionByName(rest.select("bucket", "rep", "n")), star, total * BANDS), "rest")
-    blocks = in_blocks(rest, total * BANDS).join(sets.withColumnRenamed("row", "rep"), "rep")
+    blocks = in_blocks(rest, total * BANDS).join(wide(sets.withColumnRenamed("row", "rep")), "rep")
     more = stored(blocks.groupBy("bucket", "i", "j").applyInPandas(lambda group: joining_links(group, percent), "a long, b long"), "links")
     final = components(star.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
