@@ -36,14 +36,15 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LOOSE = (
     ("assign", re.compile(r"(?<![A-Za-z])(?:pass_?phrase|pwd|credentials?|auth_?key|access_?key|private_?key|signing_?key|client_?id|bearer|basic)[\"']?[\x20\t]*(?::=|=>|[:=]|\x20)[\x20\t]*[\"']?(?P<v>[A-Za-z0-9+/_.=~-]{12,512})", re.ASCII | re.IGNORECASE)),
     ("assign", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._%+-]{1,64}:(?P<v>[^\s:@/\"'<>]{8,128})@")),
-    ("access", re.compile(r"(?<![A-Za-z0-9])(?P<v>(?:gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|sk_live_|rk_live_|sk-|AIza|ASIA|SG\.|npm_|pypi-|dop_v1_)[A-Za-z0-9_.-]{14,512})")),
-    ("access", re.compile(r"(?<![A-Za-z0-9_-])(?P<v>eyJ[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,1024})")),
     ("access", re.compile(r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----\s*(?P<v>[A-Za-z0-9+/=\s]{32,8192}?)\s*-----END")),
+    ("access", re.compile(r"(?<![A-Za-z0-9_-])(?P<v>eyJ[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,2048}\.[A-Za-z0-9_-]{10,1024})")),
+    ("access", re.compile(r"(?<![A-Za-z0-9])(?P<v>(?:gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|sk_live_|rk_live_|sk-|AIza|ASIA|SG\.|npm_|pypi-|dop_v1_)[A-Za-z0-9_.-]{14,512})")),
     ("hex", re.compile(r"(?<![A-Za-z0-9])(?P<v>[0-9A-F]{32,512})(?![A-Za-z0-9])")),
     ("access", re.compile(r"(?<![A-Za-z0-9+/_=.-])(?P<v>[A-Za-z0-9+/_=-]{24,512})(?![A-Za-z0-9+/_=-])")),
 )
-# fixed values: what a text needs, in lower case, for the first two, which are tried at every letter
-NEEDED = (("phrase", "pwd", "credential", "key", "client", "bearer", "basic"), ("://",))
+# fixed values: what a text needs, in lower case, for each of them to match at all; and how long its longest word has to be
+NEEDED = (("phrase", "pwd", "credential", "key", "client", "bearer", "basic"), ("://",), ("-----begin",), ("eyj",), (), (), ())
+LONG = (12, 12, 7, 32, 17, 32, 24)
 # fixed values: parts of placeholders
 PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "change_me", "your", "xxxx", "test", "12345678", "abcdef", "redacted", "000000", "insert", "todo", "none", "null")
 #: A value of so many owners and so many repositories is a copied example.
@@ -55,13 +56,14 @@ ENTROPY = 3.0
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value), by start, then kind; a match that fails its check is dropped, not tried again."""
     found = []
-    low = text.lower()
+    low, longest = text.lower(), max(map(len, text.split()), default=0)
     if any(n in low for n in NAMES):
         found += [("assign", *m.span(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
     if "AKIA" in text:
         found += [("access", *m.span(), m.group()) for m in ACCESS.finditer(text) if len(m.group()) >= 18]
     # a run of fewer than 16 fails as a whole, so the bound may stand in the pattern
-    found += [("hex", *m.span(), m.group()) for m in HEX.finditer(text)]
+    if longest >= 16:
+        found += [("hex", *m.span(), m.group()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -81,28 +83,26 @@ def mixed(value: str) -> bool:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """What the looser patterns find outside the base spans; of two that overlap, the earlier pattern's."""
-    low, found = text.lower(), []
-    taken = sorted((s, e) for _, s, e, _ in base)
+    """What the looser patterns find outside the base spans; of two that overlap, the earlier pattern's.  A key in capital hex digits may stand in an assignment."""
+    low, longest, found = text.lower(), max(map(len, text.split()), default=0), []
     for k, (kind, pattern) in enumerate(LOOSE):
-        if k < len(NEEDED) and not any(n in low for n in NEEDED[k]):
+        if longest < LONG[k] or NEEDED[k] and not any(n in low for n in NEEDED[k]):
             continue
-        new, at, reach = [], 0, 0
+        taken = sorted((s, e) for t, s, e, _ in base + found if kind != "hex" or t == kind)
+        at, reach = 0, 0
         for m in pattern.finditer(text):
             start, end = m.span()
             while at < len(taken) and taken[at][0] < end:
                 reach = max(reach, taken[at][1])
                 at += 1
             if reach <= start and (k < len(LOOSE) - 1 or mixed(m["v"])):
-                new.append((kind, start, end, m["v"]))
-        found += new
-        if new:
-            taken = sorted(taken + [(s, e) for _, s, e, _ in new])
+                found.append((kind, start, end, m["v"]))
     return found
 
 
 def digest(value: str) -> bytes:
-    return hashlib.sha256(value.encode()).digest()[:16]
+    """The hash that stands for a value; hex digits count alike in either case."""
+    return hashlib.sha256((value.lower() if re.fullmatch(r"[0-9A-Fa-f]+", value) else value).encode()).digest()[:16]
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -160,5 +160,5 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     text = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = {f"n_{k}": F.size(F.filter("secrets", lambda s, k=k: s["standing"] == k)).cast("long") for k in ("live", "copied")}
+    count = {f"n_{k}": F.expr(f"CAST(size(filter(secrets, s -> s.standing = '{k}')) AS LONG)") for k in ("live", "copied")}
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size("secrets").cast("long").alias("n_spans"), *[c.alias(n) for n, c in count.items()])
