@@ -467,6 +467,18 @@ def test_substrings(spark, odd, empty, tmp_path, monkeypatch, most):
         assert substrings.dedup_substrings(odd).count() == odd.count() and substrings.dedup_substrings(empty).count() == 0
 
 
+def test_substrings_of_texts_longer_than_a_piece(spark, tmp_path):
+    """At the constants as shipped: a text of several pieces, with copies across the ends of pieces, within it, and in short texts."""
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefghijklmnop "), 2_300_000))
+    around = [long[(k << 20) - 400 : (k << 20) + 400] for k in (1, 2)]
+    rows = [(1, "x" * 30 + around[0]), (2, None), (3, long + long[5000:5600]), (4, "short " * 3), (5, around[1] + "y"), (6, long[1_500_000:1_500_300])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    got = substrings.dedup_substrings(spark.read.parquet(str(tmp_path / "d"))).drop("spans").collect()
+    assert len(long) > 2 * substrings.PIECE
+    assert sorted(tuple(r) for r in got) == sorted(plain_substrings(rows))
+
+
 def test_rows_are_the_same_in_every_scan(spark, tmp_path):
     """However many tasks a scan has: row numbers, and what operators make of them."""
     rng = np.random.default_rng(6)

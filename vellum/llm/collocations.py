@@ -40,6 +40,8 @@ LISTED = 1_000_000
 SPLIT = 100_000
 #: Words that a task holds at once.
 CHUNK = 1_000_000
+#: Bits of a word's hash that count; fewer only in tests, where words then share theirs.
+BITS = -1
 #: Ids of words beyond the list have this bit.
 BEYOND = 1 << 62
 #: One byte for each byte: A-Z in lower case, every separator of pieces a full stop.
@@ -75,7 +77,7 @@ def vocabulary(flat: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return flat.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")).withColumn("h", F.xxhash64("lang", "word"))
+    return flat.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")).withColumn("h", F.xxhash64("lang", "word").bitwiseAND(F.lit(BITS).cast("long")))
 
 
 class Order:
@@ -119,7 +121,7 @@ def ids_of(sent: tuple, lang: str, words: list[bytes]) -> np.ndarray:
     """The id of each word: its rank, or its hash with BEYOND; 0 for what is known to be too rare."""
     hashes, ranks, hidden, alone, whole, _ = sent
     seed = xxh64_intdigest(lang.encode(), 42)
-    h = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)).astype(np.int64)
+    h = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)).astype(np.int64) & BITS
     found = np.zeros(len(h), np.int64) if whole else (h & (BEYOND - 1)) | BEYOND
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)

@@ -100,8 +100,8 @@ def texts_of(column: pa.Array) -> Iterator[tuple[np.ndarray, int, int]]:
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(column):
-        k = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOGETHER, "right")) - 1)
-        if offsets[k] - offsets[i] <= PIECE:
+        k = max(i + 1, int(np.searchsorted(offsets, offsets[i] + min(TOGETHER, PIECE), "right")) - 1)
+        if k > i + 1 or offsets[k] - offsets[i] <= PIECE:
             yield raw[offsets[i] : offsets[k]], i, k - i
         else:
             for at in range(int(offsets[i]), int(offsets[k]) - LENGTH + 1, PIECE):
