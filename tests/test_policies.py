@@ -12,6 +12,7 @@ from vellum.operators import images as I
 from vellum.operators import pages as O
 from vellum.operators import spreads, titles
 from vellum.streaming import stabilizer as Z
+from vellum.streaming import throttle as TH
 
 
 def values(spark, rows, schema, *columns):
@@ -132,23 +133,62 @@ def test_stabilizer_needs_three_frames_and_forgets():
     assert s.stable is None
 
 
-def test_stream_is_the_replay(spark, tmp_path):
+@pytest.mark.parametrize("rules, strict", [(Z.OUTLINE_RULES, False), (Z.OUTLINE_RULES, True), (Z.CORNER_RULES, False)])
+def test_stream_is_the_replay(spark, tmp_path, rules, strict):
+    """Frames and shutters in six files, the stream stopped and started again in between: what it gave is the replay of all, and its states can be read."""
     rng = np.random.default_rng(1)
-    rows = [(i % 3, i * 90, i, bool(i % 9), float(rng.uniform(0.1, 1)), *(BOX + rng.normal(0, 0.02)).ravel().tolist()) for i in range(120)]
+    rows = [(i % 3, i * 90 + (1500 if i > 70 else 0), i, bool(i % 9), float(rng.uniform(0.1, 1)), *(BOX + rng.normal(0, 0.02)).ravel().tolist()) for i in range(120)]
+    rows += [(i % 3, i * 90 + (2200 if i > 68 else 40), 1000 + i, None, None, *[None] * 8) for i in range(0, 120, 4)]
+    rows.sort(key=lambda r: r[1])
     names = ["stream_id", *Z.FRAME]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 3 + ["boolean"] + ["double"] * 9, strict=True))
-    for k in range(3):
-        spark.createDataFrame(pd.DataFrame(rows[k * 40 : k * 40 + 40], columns=names), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stored = spark.read.schema(schema).parquet(str(tmp_path / "in"))
-    want = sorted(map(tuple, Z.stabilize_batch(stored).collect()))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = Z.stabilize_stream(stream).writeStream.format("memory").queryName("stable").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("stable").collect())) == want
-    q = Z.throttle_stream(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+
+    def arrive(k):
+        spark.createDataFrame(rows[k * 25 : k * 25 + 25], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = Z.stabilize_stream(stream, rules, strict).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        out.trigger(availableNow=True).start().awaitTermination(120)
+
+    for k in (0, 1, 2):
+        arrive(k)
+    run()
+    for k in (3, 4, 5):
+        arrive(k)
+    run()
+    want = sorted(map(str, Z.stabilize_batch(spark.read.schema(schema).parquet(str(tmp_path / "in")), rules, strict).collect()))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.collect())) == want and len(want) == 150
+    last = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "c"))
+    newest = {s: max(r[1] for r in rows if r[0] == s) for s in range(3)}
+    assert {r["key"]["stream_id"]: r["value"]["t_ms"] for r in last.collect()} == newest
+
+
+def test_shutters_find_what_was_seen_lately(spark):
+    frames = [(1, t, t, True, 0.9, *BOX.ravel().tolist()) for t in (0, 100, 200)]
+    shutters = [(1, t, t, None, None, *[None] * 8) for t in (50, 250, 950, 951)]
+    schema = "stream_id long, t_ms long, event_id long, detected boolean, confidence double, " + ", ".join(f"{a}{k} double" for k in range(4) for a in "xy")
+    for strict in (False, True):
+        got = {r["event_id"]: (r["stable"], r["left"] is not None) for r in Z.stabilize_batch(spark.createDataFrame(frames + shutters, schema), strict=strict).collect()}
+        assert [got[t] for t in (50, 250, 950, 951)] == [(False, False), (True, True), (True, True), (False, False)]
+
+
+def test_throttle_waits_for_the_analysis(spark, tmp_path):
+    rows = [(s, i * 40, i, (i * 53) % 400) for s in (1, 2) for i in range(100)]
+    frames = spark.createDataFrame(rows, "stream_id long, t_ms long, event_id long, work_ms long")
+    want, free = [], 0
+    for _, t, i, work in rows[:100]:
+        if t >= free:
+            want.append((t, i))
+            free = t + max(250, work)
+    for s in (1, 2):
+        assert sorted((r["t_ms"], r["event_id"]) for r in TH.throttle_batch(frames).collect() if r["stream_id"] == s) == want
+    frames.repartitionByRange(3, "t_ms").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    q = TH.throttle_stream(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    times = sorted(r["t_ms"] for r in spark.table("throttled").collect() if r["stream_id"] == 0)
-    assert times and all(b - a >= 250 for a, b in zip(times, times[1:], strict=False))
+    assert sorted((r["t_ms"], r["event_id"]) for r in spark.table("throttled").collect() if r["stream_id"] == 2) == want
 
 
 def test_titles_of_boxed_lines(spark):

@@ -9,7 +9,7 @@ from vellum.operators import images as I
 from vellum.operators import spreads
 from vellum.operators import vision as V
 from vellum.sources.tables import table, view
-from vellum.streaming.stabilizer import stabilize_batch
+from vellum.streaming.stabilizer import CORNER_RULES, stabilize_batch
 
 
 def frames_with_corners(spark, d):
@@ -25,6 +25,19 @@ def boundary_stabilizer(spark, d):
     return stabilize_batch(frames_with_corners(spark, d))
 
 
+def corner_stabilizer(spark, d):
+    """The older rules, by corners alone."""
+    return stabilize_batch(frames_with_corners(spark, d), CORNER_RULES)
+
+
+def shutter_boundaries(spark, d):
+    """What each shutter finds: the boundary shown, unless it was last seen more than 750 ms ago.  Shutters come 300 ms after some frames, whether or not a frame does."""
+    f = frames_with_corners(spark, d)
+    blank = {c: F.lit(None).cast(t) for c, t in f.dtypes if c not in ("stream_id", "t_ms", "event_id")}
+    shutters = f.filter("event_id % 6 = 0").withColumns({"t_ms": F.col("t_ms") + 300, "event_id": -F.col("event_id"), **blank})
+    return stabilize_batch(f.unionByName(shutters), strict=True).filter("event_id < 0 OR event_id IS NULL")
+
+
 def picture(row: tuple) -> np.ndarray:
     """A grey picture of an open book, drawn from a row's vector: its values shade the columns, lines of text follow."""
     profile = np.interp(np.linspace(0, 63, 240), np.arange(64), np.asarray(row[1], float))
@@ -100,5 +113,5 @@ def flattened_pages(spark, d):
     return I.per_picture(rows, picture, difference, "vec_id", "difference double, ink double")
 
 
-QUERIES = {f.__name__: f for f in (boundary_stabilizer, spread_raster, image_quality, enhanced_quality, rectified_pages, detected_pages, flattened_pages)}
+QUERIES = {f.__name__: f for f in (boundary_stabilizer, corner_stabilizer, shutter_boundaries, spread_raster, image_quality, enhanced_quality, rectified_pages, detected_pages, flattened_pages)}
 ORACLE: dict[str, str] = {}

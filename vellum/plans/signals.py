@@ -10,7 +10,7 @@ from vellum.functions.numbers import rounded as r6
 from vellum.functions.numbers import rounded_sql as R
 from vellum.operators import signals as O
 from vellum.sources.tables import oracle, view
-from vellum.streaming.stabilizer import throttle_batch
+from vellum.streaming.throttle import throttle_batch
 
 #: A series is the samples along one edge; longer ones are refused, as each is held as one array.
 LONGEST = 1 << 20
