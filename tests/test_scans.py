@@ -77,7 +77,7 @@ def test_requests(spark, large):
 def test_hot_key_is_cut(spark):
     rows = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * 3).alias("t"), F.col("id").alias("i"))
     cut, any_cut = O.stretched(rows, "k", "t", 1000)
-    sizes = [r["count"] for r in cut.groupBy("_stretch").count().collect()]
+    sizes = [r["count"] for r in cut.groupBy("_scan_stretch").count().collect()]
     assert any_cut and len(sizes) > 100 and max(sizes) < 200
 
 

@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# fixed values: the longest edge of a page is the height of an A4 sheet, in points
-LONGEST_EDGE = 841.89
-#: Pages of a document; a scan has no more.
-MOST_PAGES = 20
+from vellum.sources.files import Pdf
 
 
 def pdf(pictures: list[tuple[bytes, int, int]]) -> bytes:
     """A PDF file with one JPEG picture (bytes, width, height) on each page; colour is what their headers say."""
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (3 + 3 * k) for k in range(len(pictures))), len(pictures))]
-    for k, (content, width, height) in enumerate(pictures):
-        scale = LONGEST_EDGE / max(width, height)
-        w, h = b"%.2f" % (width * scale), b"%.2f" % (height * scale)
-        drawing = b"q %s 0 0 %s 0 0 cm /P Do Q" % (w, h)
-        objects += [
-            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %s %s] /Resources << /XObject << /P %d 0 R >> >> /Contents %d 0 R >>" % (w, h, 5 + 3 * k, 4 + 3 * k),
-            b"<< /Length %d >>\nstream\n%s\nendstream" % (len(drawing), drawing),
-            b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode /Length %d >>\nstream\n%s\nendstream" % (width, height, len(content), content),
-        ]
-    out, places = b"%PDF-1.4\n", []
-    for number, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
-    table = b"".join(b"%010d 00000 n \n" % p for p in places)
-    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table, len(objects) + 1, len(out))
+    out = io.BytesIO()
+    file = Pdf(out)
+    for picture in pictures:
+        file.page(*picture)
+    file.end()
+    return out.getvalue()
 
 
 def pdf_documents(pages: DataFrame) -> DataFrame:
-    """(document, pages, content) of pages (document, place, content, width, height): each document as one PDF, its pages by place.
+    """(document, pages, content) of pages (document, place, content, width, height): each document as one PDF in one value, its pages by place.
 
-    Documents of more than MOST_PAGES pages fail the job: one document is put together in one task.
+    A value has 2 GB at most; ``vellum.sources.files.write_pdfs`` writes documents of any size as files.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_PAGES:
-            raise ValueError(f"a document has more than {MOST_PAGES} pages")
         ordered = group.sort_values("place")
         content = pdf([(bytes(c), int(w), int(h)) for c, w, h in zip(ordered["content"], ordered["width"], ordered["height"], strict=True)])
         return pd.DataFrame({"document": [ordered["document"].iloc[0]], "pages": [len(ordered)], "content": [content]})

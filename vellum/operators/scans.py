@@ -28,38 +28,38 @@ BROADCAST_KEYS = 10_000
 
 
 def stretched(rows: DataFrame, key: str, at: str, large: int | None = None) -> tuple[DataFrame, bool]:
-    """(rows with _stretch, whether any key is cut): stretches follow each other in ``at``, equal values share one.
+    """(rows with _scan_stretch, whether any key is cut): stretches follow each other in ``at``, equal values share one.
 
     The cuts are approximate quantiles: they say where to cut, and no result depends on how exact they are.
     """
-    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (LARGE if large is None else large)).select(F.col(key).alias("_key"))
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_scan_n")).filter(F.col("_scan_n") > (LARGE if large is None else large)).select(F.col(key).alias("_scan_key"))
     number = many.count()
     if not number:
-        return rows.withColumn("_stretch", F.lit(0)), False
+        return rows.withColumn("_scan_stretch", F.lit(0)), False
     if number <= BROADCAST_KEYS:
         many = F.broadcast(many)
     shares = F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])
-    cuts = rows.join(many, rows[key].eqNullSafe(many["_key"])).groupBy("_key").agg(F.array_distinct(F.percentile_approx(at, shares, 20 * STRETCHES)).alias("_cuts"))
+    cuts = rows.join(many, rows[key].eqNullSafe(many["_scan_key"])).groupBy("_scan_key").agg(F.array_distinct(F.percentile_approx(at, shares, 20 * STRETCHES)).alias("_scan_cuts"))
     if number <= BROADCAST_KEYS:
         cuts = F.broadcast(cuts)
-    told = rows.join(cuts, rows[key].eqNullSafe(cuts["_key"]), "left")
-    stretch = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(at))), F.lit(0))
-    return told.withColumn("_stretch", F.when(F.col("_cuts").isNull(), 0).otherwise(stretch)).drop("_key", "_cuts"), True
+    told = rows.join(cuts, rows[key].eqNullSafe(cuts["_scan_key"]), "left")
+    stretch = F.coalesce(F.size(F.filter("_scan_cuts", lambda c: c < F.col(at))), F.lit(0))
+    return told.withColumn("_scan_stretch", F.when(F.col("_scan_cuts").isNull(), 0).otherwise(stretch)).drop("_scan_key", "_scan_cuts"), True
 
 
 def running(rows: DataFrame, key: str, order: list[str], value: Column, name: str, how: str = "sum", large: int | None = None) -> DataFrame:
     """rows with the sum or maximum of value over the rows of their key up to their own, in order.  Nulls count for nothing; a null key is a key."""
     add = {"sum": F.sum, "max": F.max}[how]
-    cut, any_cut = stretched(rows.withColumn("_value", value), key, order[0], large)
-    local = cut.withColumn(name, add("_value").over(W.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    cut, any_cut = stretched(rows.withColumn("_scan_value", value), key, order[0], large)
+    local = cut.withColumn(name, add("_scan_value").over(W.partitionBy(key, "_scan_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     if not any_cut:
-        return local.drop("_value", "_stretch")
-    totals = cut.groupBy(key, "_stretch").agg(add("_value").alias("_total"))
-    ahead = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), add("_total").over(ahead).alias("_before"))
-    joined = local.join(before, local[key].eqNullSafe(before["_key"]) & (F.col("_stretch") == F.col("_at")))
-    both = F.greatest(name, "_before") if how == "max" else F.when(F.col("_before").isNull(), F.col(name)).otherwise(F.coalesce(name, F.lit(0)) + F.col("_before"))
-    return joined.withColumn(name, both).drop("_value", "_stretch", "_key", "_at", "_before", "_total")
+        return local.drop("_scan_value", "_scan_stretch")
+    totals = cut.groupBy(key, "_scan_stretch").agg(add("_scan_value").alias("_scan_total"))
+    ahead = W.partitionBy(key).orderBy("_scan_stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(F.col(key).alias("_scan_key"), F.col("_scan_stretch").alias("_scan_at"), add("_scan_total").over(ahead).alias("_scan_before"))
+    joined = local.join(before, local[key].eqNullSafe(before["_scan_key"]) & (F.col("_scan_stretch") == F.col("_scan_at")))
+    both = F.greatest(name, "_scan_before") if how == "max" else F.when(F.col("_scan_before").isNull(), F.col(name)).otherwise(F.coalesce(name, F.lit(0)) + F.col("_scan_before"))
+    return joined.withColumn(name, both).drop("_scan_value", "_scan_stretch", "_scan_key", "_scan_at", "_scan_before", "_scan_total")
 
 
 def queued(jobs: DataFrame, key: str, order: list[str], service: str, large: int | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def stepped(rows: DataFrame, key: str, order: list[str], event: str, steps: list
     states, kinds = table.shape
     cut, _ = stretched(rows, key, order[0], large)
     wanted = [f"`{c}`" for c in rows.columns]
-    schema = cut.select(*wanted, "_stretch").schema
+    schema = cut.select(*wanted, "_scan_stretch").schema
     identity = np.arange(states)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def stepped(rows: DataFrame, key: str, order: list[str], event: str, steps: list
             what = pc.fill_null(batch.column(event).cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
             own = np.where(((what >= 0) & (what < kinds))[:, None], table.T[np.clip(what, 0, kinds - 1)], identity)
             names = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            stretch = batch.column("_stretch").to_numpy(zero_copy_only=False)
+            stretch = batch.column("_scan_stretch").to_numpy(zero_copy_only=False)
             first = (batch.column(key)[0].as_py(), int(stretch[0]))
             heads = np.append(True, (names[1:] != names[:-1]) | (stretch[1:] != stretch[:-1]))
             if first == last:
@@ -128,18 +128,18 @@ def stepped(rows: DataFrame, key: str, order: list[str], event: str, steps: list
             if first == last:
                 before[0] = carry
             last, carry = (batch.column(key)[-1].as_py(), int(stretch[-1])), after[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed(before)), pa.array(packed(after))], [*batch.schema.names, "_before", "_after"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed(before)), pa.array(packed(after))], [*batch.schema.names, "_scan_before", "_scan_after"])
 
-    out = StructType([*schema.fields]).add("_before", LongType()).add("_after", LongType())
-    dealt = cut.select(*wanted, "_stretch").repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", *order)
+    out = StructType([*schema.fields]).add("_scan_before", LongType()).add("_scan_after", LongType())
+    dealt = cut.select(*wanted, "_scan_stretch").repartition(key, "_scan_stretch").sortWithinPartitions(key, "_scan_stretch", *order)
     mapped = dealt.mapInArrow(scan, out)
-    totals = mapped.groupBy(key, "_stretch").agg(F.max_by("_after", F.struct(*order)).alias("code"))
-    per_key = totals.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("_stretch", "code"))).alias("parts"))
+    totals = mapped.groupBy(key, "_scan_stretch").agg(F.max_by("_scan_after", F.struct(*order)).alias("code"))
+    per_key = totals.groupBy(F.col(key).alias("_scan_key")).agg(F.array_sort(F.collect_list(F.struct("_scan_stretch", "code"))).alias("parts"))
     # the state before each stretch of a key: some hundred at most
-    begun = per_key.select("_key", F.expr("""inline(aggregate(parts, named_struct('state', 0, 'done', CAST(array() AS ARRAY<STRUCT<_at: INT, _state: INT>>)), (a, p) -> named_struct(
-        'state', CAST(shiftright(p.code, 4 * a.state) & 15 AS INT), 'done', array_append(a.done, named_struct('_at', p._stretch, '_state', a.state))), a -> a.done))"""))
-    joined = mapped.join(begun, mapped[key].eqNullSafe(begun["_key"]) & (F.col("_stretch") == F.col("_at")))
-    state = {name: F.expr(f"CAST(shiftright({code}, 4 * _state) & 15 AS INT)") for name, code in (("before", "_before"), ("after", "_after"))}
+    begun = per_key.select("_scan_key", F.expr("""inline(aggregate(parts, named_struct('state', 0, 'done', CAST(array() AS ARRAY<STRUCT<_scan_at: INT, _scan_state: INT>>)), (a, p) -> named_struct(
+        'state', CAST(shiftright(p.code, 4 * a.state) & 15 AS INT), 'done', array_append(a.done, named_struct('_scan_at', p._scan_stretch, '_scan_state', a.state))), a -> a.done))"""))
+    joined = mapped.join(begun, mapped[key].eqNullSafe(begun["_scan_key"]) & (F.col("_scan_stretch") == F.col("_scan_at")))
+    state = {name: F.expr(f"CAST(shiftright({code}, 4 * _scan_state) & 15 AS INT)") for name, code in (("before", "_scan_before"), ("after", "_scan_after"))}
     return joined.withColumns(state).select(*wanted, "before", "after")
 
 

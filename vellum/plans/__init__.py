@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import boundaries, candidates, edits, evidence, frames, native, outlines, pages, refinement, scans, signals, titles, transitions
+from vellum.plans import boundaries, candidates, edits, evidence, frames, names, native, outlines, pages, refinement, scans, signals, titles, transitions
 
-PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames, native, outlines, transitions, evidence, scans, edits)
+PARTS = (titles, candidates, refinement, boundaries, pages, signals, frames, names, native, outlines, transitions, evidence, scans, edits, names)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: text for part in PARTS for name, text in part.ORACLE.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, name: str = "vellum", **options: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling, states of streams in RocksDB; on a cluster leave ``master`` to spark-submit."""
+    """UTC, adaptive execution with skew handling, states of streams in RocksDB, filters pushed to Python sources; on a cluster leave ``master`` to spark-submit."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -15,6 +15,7 @@ def session(master: str | None = None, name: str = "vellum", **options: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for key, value in (settings | options).items():
