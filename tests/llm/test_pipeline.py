@@ -63,6 +63,6 @@ def test_empty(spark, empty, tmp_path):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(e.queries()) and set(ORACLE_SQL) <= set(e.oracle_sql())
     assert key(None) > key(5)

@@ -15,6 +15,8 @@ from vellum.llm.common import WORD, documents, plain, stored, with_rows
 
 #: Rows that one sorting group has on average.
 GROUP_ROWS = 5_000
+#: Keys whose rows are shuffled one by one, at most.
+MOST_CROWDED = 10_000
 #: Virtual time is 1 where every source has sent its target.
 SHARES = (3, 1, 2)
 #: A table of row numbers and counts of so many rows (16 MB) is broadcast, a larger one shuffled.
@@ -26,7 +28,8 @@ def targets(sizes: DataFrame, share: float, repeats: int, weights: tuple[int, ..
 
     Sources take the weights in turn, by code point, null last, and share ``share`` of all tokens.  A target
     stops at ``repeats`` times its source's size.  A source is at its limit exactly if the level at which
-    those with a smaller limit for their weight are full, and the others share the rest, reaches its own.
+    those with a smaller limit for their weight are full, and the others share the rest, reaches its own.  The first that is
+    not has the level of all that are not; the levels of those after it only fall.
     """
     turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -40,7 +43,7 @@ def targets(sizes: DataFrame, share: float, repeats: int, weights: tuple[int, ..
         .withColumn("left", F.sum("weight").over(by_limit.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("level", (F.col("budget") - F.col("full")) / F.col("left"))
         .withColumn("at_limit", F.col("level") * F.col("weight") >= F.col("most"))
-        .withColumn("level", F.min(F.when(~F.col("at_limit"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(~F.col("at_limit"), F.col("level"))).over(everything))
         .withColumn("target", F.when(F.col("at_limit"), F.col("most")).otherwise(F.col("level") * F.col("weight")))
     )
     return t.select("source", "place", "source_size", "target")
@@ -50,8 +53,12 @@ def queue(docs: DataFrame, key: str, text: str, source: str, share: float, repea
     """(documents by row number, their copies with virtual finish time and the tokens sent until then)."""
     flat = with_rows(docs, doc_id=key, text=text, source=source)
     flat = flat.withColumn("size", F.regexp_count("text", F.lit(WORD))).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    flat = stored(flat.select("doc_id", "source", "size", order.alias("turn"), "row"), "sizes")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    flat = stored(flat.select("doc_id", "source", "size", F.md5(name.cast("binary")).alias("turn"), "row"), "sizes")
+    # rows of a key that many rows share take turns of their own; at least a ten-thousandth of all rows each, those keys are few
+    crowd = flat.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(GROUP_ROWS, flat.count() // MOST_CROWDED)).select("turn", F.lit(True).alias("crowded"))
+    own = F.md5(F.concat_ws(":", "turn", F.col("row").cast("string")).cast("binary"))
+    flat = flat.join(F.broadcast(crowd), "turn", "left").withColumn("turn", F.when(F.col("crowded"), own).otherwise(F.col("turn"))).drop("crowded")
     by_source = flat.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = stored(targets(by_source.select("source", "source_size"), share, repeats, weights), "targets")
 
@@ -76,7 +83,8 @@ def queue(docs: DataFrame, key: str, text: str, source: str, share: float, repea
     rows = flat.count()
     ranges = max(1, rows // GROUP_ROWS + 1)
     # beyond 2, where only sources far over their target have copies left, widths grow with the time
-    finish = F.coalesce("finish", F.lit(0.0))
+    # a source without words sends nothing: its copies may stand anywhere before the cut
+    finish = F.coalesce("finish", F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") / float(1 << 32))
     scaled = F.when(finish < 2, finish).otherwise(F.log2(F.greatest(finish, F.lit(2.0))) + 1)
     copies = copies.withColumn("range", F.floor(scaled * F.lit(float(ranges))))
     loads = copies.groupBy("range").agg(F.sum("size").alias("tokens"))
@@ -91,7 +99,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     size is the number of words (null text: 0), taken the words the mix takes of the document, repeats
     counted.  Null is a source of its own, the last.  A source without words has target 0.  Rows that repeat
-    a key are documents of their own; the shuffle orders documents by the hash of their key, so reruns agree.
+    a key are documents of their own; the shuffle orders documents by the hash of their key (of key and row number, for keys
+    that more than GROUP_ROWS rows share), so reruns agree.
     """
     f, copies = queue(docs, key, text, source, share, repeats, weights)
     total = f.agg(F.sum("size")).first()[0] or 0
@@ -127,7 +136,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(place - 1) % 3 + 1] AS
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 g AS (SELECT *, lv * weight >= most AS at_limit FROM l),
-t AS (SELECT source, place, source_size, CASE WHEN at_limit THEN most ELSE (min(lv) FILTER (NOT at_limit) OVER ()) * weight END AS target FROM g),
+t AS (SELECT source, place, source_size, CASE WHEN at_limit THEN most ELSE (max(lv) FILTER (NOT at_limit) OVER ()) * weight END AS target FROM g),
 q AS (SELECT d.doc_id, d.size, d.turn, t.place, t.source_size, t.target, sum(d.size) OVER (PARTITION BY t.place ORDER BY d.turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS sent
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, (sent + again * source_size) / target AS finish FROM q, (VALUES (0), (1)) a(again)),
