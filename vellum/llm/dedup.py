@@ -4,7 +4,7 @@ Pass one counts, per filter cell, none, one, or more of the hashes that fall on
 all hold more than one is possibly repeated; pass two lets only rows with such hashes shuffle, where
 equality of the full SHA-256 decides, and all other rows pass straight through as groups of one.
 
-A filter has 16 cells a row.  Where that is more than executors should hold, the hashes are written in as many
+A filter has 16 cells a row; while it is counted, a task holds two bits a cell (64 MB at most).  Where that is more than executors should hold, the hashes are written in as many
 ranges as keep each range's filter small, and both passes go range by range.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +48,18 @@ def count_cells(digests: DataFrame, column: str, cells: int) -> DataFrame:
     """One row per partition and segment that has hashes: the cells with one or more, and with two or more, as packed bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(cells, np.uint8)
+        once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
         for batch in batches:
-            if batch.num_rows:
-                for row in positions(words_of_digests(batch.column(0)), cells):
-                    at, n = np.unique(row, return_counts=True)
-                    held[at] = np.minimum(2, held[at] + n)
-        for k in np.flatnonzero(held.reshape(-1, SEGMENT).any(axis=1)):
-            part = held[k * SEGMENT : (k + 1) * SEGMENT]
-            packed = zlib.compress(np.packbits(part > 0).tobytes() + np.packbits(part > 1).tobytes(), 1)
+            for row in positions(words_of_digests(batch.column(0)), cells) if batch.num_rows else ():
+                cell, n = np.unique(row, return_counts=True)
+                place, first = np.unique(cell >> 3, return_index=True)
+                bit = np.uint8(128) >> (cell & 7).astype(np.uint8)
+                hit, again = np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(n > 1, bit, np.uint8(0)), first)
+                twice[place] |= once[place] & hit | again
+                once[place] |= hit
+        size = SEGMENT // 8
+        for k in np.flatnonzero(once.reshape(-1, size).any(axis=1)):
+            packed = zlib.compress(once[k * size : (k + 1) * size].tobytes() + twice[k * size : (k + 1) * size].tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([packed], pa.binary())], ["segment", "bits"])
 
     return digests.select(column).mapInArrow(count, "segment int, bits binary")
@@ -86,7 +90,7 @@ def merge_cells(parts: DataFrame) -> DataFrame:
     return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
 
 
-def repeated_filter(digests: DataFrame, column: str, rows: int):
+def repeated_filter(digests: DataFrame, column: str, rows: int) -> tuple[int, Broadcast]:
     """A broadcast filter of MAX_CELLS bits at most: bits of the cells that two hashes or more fall on."""
     cells = cells_for(rows)
     twice = np.zeros(cells // 8, np.uint8)
@@ -97,7 +101,10 @@ def repeated_filter(digests: DataFrame, column: str, rows: int):
 
 def flag_repeated(df: DataFrame, column: str, rows: int, name: str = "maybe") -> DataFrame:
     """df with a boolean: false means that no other row has this digest (a binary of 16 bytes or more)."""
-    cells, shared = repeated_filter(df, column, rows)
+    return with_flags(df, column, *repeated_filter(df, column, rows), name)
+
+
+def with_flags(df: DataFrame, column: str, cells: int, shared: Broadcast, name: str) -> DataFrame:
     place = df.columns.index(column)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` boolean"
 
@@ -121,13 +128,19 @@ def flagged(digests: DataFrame, column: str, name: str = "maybe") -> DataFrame:
     while ranges < 256 and rows * CELLS_PER_ROW > MAX_CELLS * ranges:
         ranges *= 2
     if ranges == 1:
-        return stored(flag_repeated(kept, column, rows, name), "flagged")
+        cells, shared = repeated_filter(kept, column, rows)
+        told = stored(with_flags(kept, column, cells, shared, name), "flagged")
+        shared.destroy()
+        return told
     last = F.conv(F.hex(F.substring(column, -1, 1)), 16, 10).cast("int")
     dealt = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
     kept.withColumn("range", F.floor(last * ranges / 256).cast("int")).write.partitionBy("range").parquet(dealt)
     path, found = f"{shared_dir(spark)}/flagged-{uuid.uuid4().hex}", spark.read.parquet(dealt)
     for r in range(ranges):
-        flag_repeated(found.filter(F.col("range") == r).select(*kept.columns), column, -(-rows // ranges), name).write.mode("append").parquet(path)
+        part = found.filter(F.col("range") == r).select(*kept.columns)
+        cells, shared = repeated_filter(part, column, -(-rows // ranges))
+        with_flags(part, column, cells, shared, name).write.mode("append").parquet(path)
+        shared.destroy()
     return spark.read.parquet(path)
 
 
