@@ -41,6 +41,11 @@ CUES = {
     "phone": ("phone", "tel", "telephone", "call", "fax", "mobile", "cell", "telefon", "teléfono", "téléphone"),
 }
 AGAINST = ("version", "chapter", "page", "isbn", "section", "figure", "table", "order", "invoice", "item", "no.")
+# fixed values: gazetteers of what such data starts or ends with.  Prefixes of card issuers with the lengths of their numbers; calling
+# codes of countries; networks that are nobody's own (private, local, documentation, multicast)
+ISSUERS = {("4",): (13, 16, 19), ("51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27"): (16,), ("34", "37"): (15,), ("36", "38", "39", "300", "301", "302", "303", "304", "305"): (14, 16, 19), ("6011", "65", "644", "645", "646", "647", "648", "649"): (16, 19), ("352", "353", "354", "355", "356", "357", "358"): (16, 19), ("62", "81"): (16, 17, 18, 19), ("50", "56", "57", "58", "63", "67", "60"): (12, 13, 14, 15, 16, 17, 18, 19)}
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "211", "212", "213", "216", "218", "220", "221", "225", "233", "234", "237", "249", "251", "254", "255", "256", "260", "263", "351", "352", "353", "354", "355", "356", "357", "358", "359", "370", "371", "372", "373", "374", "375", "380", "381", "385", "386", "387", "389", "420", "421", "502", "503", "506", "507", "591", "593", "595", "598", "852", "853", "855", "880", "886", "960", "961", "962", "963", "964", "965", "966", "968", "971", "972", "973", "974", "977", "994", "995", "996", "998")
+NOBODYS = ("0.", "10.", "127.", "169.254.", "192.0.2.", "192.168.", "198.18.", "198.19.", "198.51.100.", "203.0.113.", *[f"172.{k}." for k in range(16, 32)], *[f"{k}." for k in range(224, 256)], "2001:db8:", "2001:0db8:", "fe8", "fe9", "fea", "feb", "fc", "fd", "ff", "0:", "0000:")
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")
 
 # fixed values: looser patterns of candidates
@@ -116,11 +121,13 @@ def votes(kind: str, span: str, before: str) -> list[int]:
     if kind == "email":
         known = 1 if re.split(r"[^A-Za-z]+", span.lower().rstrip(")]}"))[-1] in TOP_DOMAINS else -1
     elif kind == "card":
-        known = 0 if span[0] in "3456" else -1
+        known = 1 if any("".join(digits).startswith(prefixes) and len(digits) in lengths for prefixes, lengths in ISSUERS.items()) else -1
     elif kind == "phone":
-        known = 1 if span[0] in "(+" else 0
+        # a number without a country is looked up by its area: no area starts with 0 or 1, and none has the exchange of made-up numbers
+        number = "".join(digits)
+        known = (1 if number.startswith(CALLING) else -1) if span[0] == "+" else 1 if number[0] not in "01" and number[3:6] != "555" else -1
     else:
-        known = 0
+        known = -1 if span.lower().startswith(NOBODYS) else 1
     # context: a cue close by; a word that speaks against it
     cue = 1 if any(w.strip(".") in CUES[kind] for w in near) else 0
     contrary = -1 if any(w in AGAINST for w in near) else 0
