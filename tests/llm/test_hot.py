@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellum.llm import dedup, mix, pii
+from vellum.llm import dedup, langid, mix, pii
 
 
 def test_mix_of_one_key_on_all_rows(spark, tmp_path, monkeypatch):
@@ -68,3 +68,18 @@ def test_gazetteers():
     assert [known("phone", p) for p in ("+49 30 1234567", "+999 1234567", "(212) 736-5000", "012-345-6789", "212-555-0199")] == [1, -1, 1, -1, -1]
     assert [known("ip", a) for a in ("8.8.8.8", "192.168.1.7", "172.20.0.1", "172.32.0.1", "2001:db8:0:0:0:0:0:1", "2a00:1450:4001:0:0:0:0:200e", "240.1.1.1")] == [1, -1, -1, 1, -1, 1, -1]
     assert [known("email", e) for e in ("a at b dot com", "a at b dot zzz")] == [1, -1]
+
+
+def test_every_label_is_learned(spark):
+    """More labels than a list of the commonest would have, of few documents each, and a text longer than a piece; the factors score as their product does."""
+    rng = np.random.default_rng(0)
+    lexicon = ["".join(rng.choice(list("abdeiklmnorstu"), 6)) for _ in range(260)]
+    rows = [(i, f"{lexicon[i % 260]} " * 30, f"l{i % 260}") for i in range(1300)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 260 and model.table.shape[1] == langid.DIMENSIONS
+    letters = langid.letters()
+    few = langid.Model(model.labels[:3], model.table, model.weights[:, :3], model.bias[:3])
+    for text in (rows[1][1], rows[2][1] * 7000):
+        ids = langid.gram_ids(text, letters)
+        plain = (model.table[ids].astype(float) @ model.weights).mean(axis=0) + model.bias
+        assert np.allclose(langid.logits(model, text, letters), plain, atol=1e-3) and np.allclose(langid.logits(few, text, letters), plain[:3], atol=1e-3)

@@ -17,8 +17,7 @@ DIMENSIONS = 16
 #: Characters featurised at once; a longer text is taken in pieces of this length, whose grams are added up.
 PIECE = 1 << 20
 UNDETERMINED = "und"
-#: Bounds of the training sample: so many labels, so many documents of each, and so many in all.
-MAX_LABELS = 200
+#: Bounds of the training sample: so many documents of each label, and so many in all, but one of each label at least.
 SAMPLE_PER_LABEL = 600
 SAMPLE = 4000
 #: Of each document of the sample one stretch of so many characters, wherever a hash of the document says.
@@ -56,20 +55,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """labels, and per bucket its embedding times the softmax weights: as both are linear, their product is all that scoring needs."""
+    """labels, and per bucket its embedding; for few labels the embedding times the softmax weights: as both are linear, that product is all that scoring needs."""
 
-    def __init__(self, labels: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.labels, self.scores, self.bias, self.temperature, self.threshold = labels, scores, bias, temperature, threshold
+    def __init__(self, labels: list[str], table: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
+        few = table.shape[1] > len(labels)
+        self.labels, self.bias, self.temperature, self.threshold = labels, bias, temperature, threshold
+        self.table, self.weights = (table @ weights, np.eye(len(labels), dtype=np.float32)) if few else (table, weights)
 
 
 def logits(model: Model, text: str, is_letter: np.ndarray) -> np.ndarray | None:
     """The mean score of a text's grams; None if it has no letter."""
-    total, n = np.zeros(len(model.labels)), 0
+    total, n = np.zeros(model.table.shape[1]), 0
     for at in range(0, len(text), PIECE):
         ids = gram_ids(text[at : at + PIECE], is_letter)
         n += len(ids)
-        total += np.bincount(ids, minlength=BUCKETS) @ model.scores if len(ids) > BUCKETS else model.scores[ids].sum(axis=0, dtype=np.float64)
-    return total / n + model.bias if n else None
+        total += np.bincount(ids, minlength=BUCKETS) @ model.table if len(ids) > BUCKETS else model.table[ids].sum(axis=0, dtype=np.float64)
+    return total / n @ model.weights + model.bias if n else None
 
 
 def spans(text: str, rng: np.random.Generator, count: int) -> list[str]:
@@ -107,7 +108,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.6, se
             at, n = np.unique(ids, return_counts=True)
             embedding[at] -= (step / len(ids)) * n[:, None].astype(np.float32) * back
             done += 1
-    model = Model(labels, embedding @ weights, bias.astype(np.float64))
+    model = Model(labels, embedding, weights, bias.astype(np.float64))
     z, y, whole = [], [], []
     for i in sorted(aside):
         label, text = samples[i]
@@ -123,19 +124,20 @@ def train(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.6, se
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Learns from at most ``per_label`` documents, chosen by a hash of key and text, of each of the MAX_LABELS commonest labels, SAMPLE in all.
+    """Learns from at most ``per_label`` documents, chosen by a hash of key and text, of each label, SAMPLE in all; of more labels than that, one of each.
 
     At most SAMPLE_CHARS characters of each count.  Only documents that are not held out and have a text with a letter and a non-null label count.
     """
     labelled = pick(docs, key=key, text=text, label=label).filter(~held_out(F.col("key")) & F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    counts = labelled.groupBy("label").count().collect()
     if not counts:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
     per_label = max(1, min(per_label, SAMPLE // len(counts)))
-    chance = F.create_map(*[F.lit(x) for c in counts for x in (c["label"], min(1.0, 1.3 * per_label / c["count"]))])
+    # a row a label, as the model has a column: of few documents of a label more are drawn than are needed, so that one is among them
+    chances = docs.sparkSession.createDataFrame([(c["label"], min(1.0, (1.3 * per_label + 12) / c["count"])) for c in counts], "label string, chance double")
     mark = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "text")
     draw = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.filter(draw < F.try_element_at(chance, F.col("label"))).select("label", "text", draw.alias("draw"), mark.alias("mark"))
+    drawn = labelled.join(F.broadcast(chances), "label").filter(draw < F.col("chance")).select("label", "text", draw.alias("draw"), mark.alias("mark"))
     start = F.pmod(F.col("mark"), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     drawn = drawn.select("label", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "draw")
     taken: dict[str, list] = {}
