@@ -91,7 +91,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.6, se
     aside = {int(i) for i in order[: len(samples) // 5]}
     labels = sorted({label for label, _ in samples})
     place = {label: k for k, label in enumerate(labels)}
-    examples = [(place[samples[i][0]], ids) for i in range(len(samples)) if i not in aside for s in spans(samples[i][1], rng, 6) if len(ids := gram_ids(s, is_letter))]
+    # two bytes an id: the driver holds the grams of all examples
+    examples = [(place[samples[i][0]], ids.astype(np.uint16)) for i in range(len(samples)) if i not in aside for s in spans(samples[i][1], rng, 6) if len(ids := gram_ids(s, is_letter))]
     embedding = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(labels)), np.float32), np.zeros(len(labels), np.float32)
     steps, done = max(1, epochs * len(examples)), 0
