@@ -26,6 +26,14 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to the nearest point of a segment."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length <= 0, 0.0).otherwise(clamp(((px - ax) * dx + (py - ay) * dy) / length))
+    return distance(px, py, ax + dx * t, ay + dy * t)
+
+
 class Quad:
     """Four corners: xs and ys."""
 
