@@ -33,18 +33,6 @@ def trimmed_mean(ordered: Column, part: float) -> Column:
     return F.when(F.size(kept) == 0, percentile(ordered, 0.5)).otherwise(total(kept) / F.size(kept))
 
 
-def moving(values: Column, radius: int, of) -> Column:
-    """``of`` the neighbours up to ``radius`` away of each value; fewer at the ends."""
-    n = F.size(values)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: of(F.slice(values, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, n - 1) - F.greatest(i - radius, F.lit(0)) + 1)))
-
-
-def smoothed(values: Column) -> Column:
-    """Each value with half the weight and its neighbours with a quarter; ends stay."""
-    last = F.size(values) - 1
-    return F.transform(values, lambda v, i: F.when((i == 0) | (i == last), v).otherwise((F.get(values, i - 1) + v * 2.0 + F.get(values, i + 1)) / 4.0))
-
-
 def consistency(positive: Column, negative: Column) -> Column:
     return F.when(positive + negative > 0, F.greatest(positive, negative) / (positive + negative)).otherwise(0.0)
 

@@ -19,9 +19,11 @@ def best_conservative(scored: DataFrame, page: str) -> DataFrame:
     scored has ord, score, area_ratio, paper, contrast, line_penalty, continuation.  An alternative has 1.16 times the
     area, a score less by 0.10 at most, and evidence of its own.
     """
-    first = scored.groupBy(page).agg(F.max_by(F.struct("ord", "score", "area_ratio", "continuation"), F.struct(F.col("score"), -F.col("ord"))).alias("t"))
-    both = scored.join(first, page)
-    other = both.filter(
+    narrow = scored.select(page, "ord", "score", "area_ratio", "paper", "contrast", "line_penalty", "continuation")
+    # one sorted pass tells each candidate the best of its page; the choice among alternatives then needs no further shuffle
+    by_score = W.partitionBy(page).orderBy(F.desc("score"), "ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = narrow.withColumn("t", F.first(F.struct("ord", "score", "area_ratio", "continuation")).over(by_score))
+    other = (
         (F.col("area_ratio") >= F.col("t.area_ratio") * 1.16)
         & (F.col("score") >= F.col("t.score") - 0.10)
         & (F.col("paper") >= 0.50)
@@ -29,9 +31,9 @@ def best_conservative(scored: DataFrame, page: str) -> DataFrame:
         & (F.col("line_penalty") < 0.62)
         & (F.col("continuation") <= F.col("t.continuation") + 0.10)
     )
-    larger = other.groupBy(page).agg(F.max_by(F.struct("ord", "score", "area_ratio"), F.struct(F.col("area_ratio"), -F.col("ord"))).alias("a"))
-    chosen = first.join(larger, page, "left").withColumn("alternative", F.col("a").isNotNull())
-    return chosen.select(page, *[F.coalesce(F.col(f"a.{c}"), F.col(f"t.{c}")).alias(c) for c in ("ord", "score", "area_ratio")], "alternative")
+    found = F.struct("ord", "score", "area_ratio")
+    chosen = told.groupBy(page).agg(F.first("t").alias("t"), F.max_by(F.when(other, found), F.when(other, F.struct(F.col("area_ratio"), -F.col("ord")))).alias("a"))
+    return chosen.select(page, *[F.coalesce(F.col(f"a.{c}"), F.col(f"t.{c}")).alias(c) for c in ("ord", "score", "area_ratio")], F.col("a").isNotNull().alias("alternative"))
 
 
 def top_k(candidates: DataFrame, page: str, kind: str, by: str, limits: dict[str, int]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,9 +51,14 @@ def spine_of_profiles(profiles: DataFrame, key: str) -> DataFrame:
     near = by_x.rowsBetween(-radius, radius)
     p = p.withColumns({"smooth": F.avg("mean").over(near), "varies": F.avg("variance").over(near)})
     series = p.groupBy(key, "start", "end", "far", "center").agg(F.sort_array(F.collect_list(F.struct("x", "smooth", "varies"))).alias("s"))
-    at = series.select(key, "start", "end", "far", "center", "s", F.explode("s").alias("p")).select(key, "start", "end", "far", "center", "s", F.col("p.x").alias("x"), F.col("p.smooth").alias("m"), F.col("p.varies").alias("v"))
-    first = F.get("s", F.lit(0))["x"]
-    at = at.withColumns({"before": F.get("s", (F.col("x") - F.col("far") - first).cast("int"))["smooth"], "after": F.get("s", (F.col("x") + F.col("far") - first).cast("int"))["smooth"]}).drop("s")
+    # each place meets its shoulders before it becomes a row, so no row carries its series
+    placed = F.transform(
+        "s",
+        lambda p, i: F.struct(
+            p["x"].alias("x"), p["smooth"].alias("m"), p["varies"].alias("v"), F.get("s", i - F.col("far").cast("int"))["smooth"].alias("before"), F.get("s", i + F.col("far").cast("int"))["smooth"].alias("after")
+        ),
+    )
+    at = series.select(key, "start", "end", "center", F.explode(placed).alias("p")).select(key, "start", "end", "center", "p.*")
     at = at.filter((F.col("x") >= F.col("start")) & (F.col("x") <= F.col("end")))
     all_ = W.partitionBy(key)
     at = at.withColumns({"low": F.min("m").over(all_), "high": F.max("m").over(all_), "calmest": F.min("v").over(all_), "wildest": F.max("v").over(all_)})
@@ -64,3 +72,66 @@ def spine_of_profiles(profiles: DataFrame, key: str) -> DataFrame:
     sure = clamp(F.col("b.valley") * 0.55 + F.col("b.dark") * 0.30 + F.col("b.central") * 0.15)
     best = best.withColumn("c", sure).withColumn("fallback", (F.col("c") < 0.28) | (F.col("b.valley") < 0.08))
     return best.select(key, F.when(F.col("fallback"), F.col("center")).otherwise(F.col("b.x")).cast("long").alias("x"), rounded("b.score").alias("score"), rounded("c").alias("confidence"), "fallback")
+
+
+def ranked_statistics(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """Median, percentiles by three rules, a trimmed mean (0.18 off either end) and the outer offset of each series.
+
+    All are read off the ranks of one sorted pass, so no series has to fit an array.  Nulls do not count.
+    """
+    own, n, v = W.partitionBy(key), F.col("_n"), F.col(value)
+    ranked = samples.filter(v.isNotNull()).withColumns({"_r": F.row_number().over(own.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(own)})
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(F.col("_r") == place, v))
+
+    def between(part: float, size: Column, first: Column) -> Column:
+        """The value between two ranks of those from ``first`` on."""
+        place = F.lit(part) * (size - 1)
+        low, high = F.floor(place), F.ceil(place)
+        weight = F.when(low == high, F.when(F.col("_r") == first + low, v)).otherwise(F.when(F.col("_r") == first + low, v * (high - place)).when(F.col("_r") == first + high, v * (place - low)))
+        return F.sum(weight)
+
+    ranked = ranked.withColumn("_mid", between(0.5, n, F.lit(0)).over(own)).withColumn("_outer", F.count_if(v >= F.col("_mid")).over(own))
+    cut = F.floor(n * 0.18)
+    within = (F.col("_r") >= cut) & (F.col("_r") < n - cut)
+    found = ranked.groupBy(key).agg(
+        F.first("_mid").alias("median"), between(0.88, n, F.lit(0)).alias("p88"), at(F.floor((n - 1) * 0.90 + 0.5)).alias("rank90"), at(F.least(F.floor(n * 0.75), n - 1)).alias("rank75"),
+        F.avg(F.when(within, v)).alias("trimmed"), (between(0.88, F.col("_outer"), n - F.col("_outer")) - F.first("_mid")).alias("outer"),
+    )
+    return found.select(key, *[rounded(c).alias(c) for c in ("median", "p88", "rank90", "rank75", "trimmed", "outer")])
+
+
+def narrow_places(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """Where each series (pos from 1) of eight samples or more is lowest, counted from 0, if that is low against the upper quarter; an eighth at each end does not count.  The first of equals."""
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    core = samples.withColumn("_n", n).filter("_n >= 8").withColumn("_cut", F.greatest(F.lit(1), F.floor(F.col("_n") * 0.12 + 0.5)))
+    core = core.filter((F.col("pos") > F.col("_cut")) & (F.col("pos") <= F.col("_n") - F.col("_cut")))
+    ranked = core.withColumns({"_r": F.row_number().over(W.partitionBy(key).orderBy(value, "pos")) - 1, "_m": F.count(F.lit(1)).over(W.partitionBy(key))})
+    place = (F.col("_m") - 1) * 0.75
+    low, high, v, r = F.floor(place), F.ceil(place), F.col(value), F.col("_r")
+    upper = F.sum(F.when(low == high, F.when(r == low, v)).otherwise(F.when(r == low, v * (high - place)).when(r == high, v * (place - low))))
+    found = ranked.groupBy(key).agg(upper.alias("upper"), F.min(F.when(r == 0, v)).alias("low"), F.min(F.when(r == 0, F.col("pos"))).alias("at"))
+    return found.select(key, F.when((F.col("upper") > 0) & (F.col("low") / F.col("upper") <= 0.42), F.col("at") - 1).cast("int").alias("place"))
+
+
+def apart(samples: DataFrame, key: str, pos: str, value: str, limit: float) -> DataFrame:
+    """Samples (key, pos, value) that differ by more than ``limit`` from the last that was kept of their series; the first is kept.
+
+    Which are kept depends on all before, so it is one pass along each series, in order, that holds the last value alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (k, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if k != at:
+                    at, last = k, None
+                if v is not None and (last is None or abs(last - v) > limit):
+                    last = v
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = samples.select(key, pos, value).repartition(key).sortWithinPartitions(key, pos)
+    return ordered.mapInArrow(run, ordered.schema)

@@ -224,7 +224,7 @@ def initial_corners(spark, d):
 
 def ordered_corners(spark, d):
     """Corners in any order, put clockwise from the top left: the upper two by x, then the lower two."""
-    shuffled = quads(spark, d).select("page_id", "ord", F.array(*[F.struct(F.col(f"y{k}").alias("y"), F.col(f"x{k}").alias("x")) for k in (2, 0, 3, 1)]).alias("points"))
+    shuffled = view(spark, d, "placed_quads").select("page_id", "ord", F.array(*[F.struct(F.col(f"y{k}").alias("y"), F.col(f"x{k}").alias("x")) for k in (2, 0, 3, 1)]).alias("points"))
     ranked = shuffled.withColumn("s", F.array_sort("points"))
 
     def side(a, b, least):
@@ -237,7 +237,7 @@ def ordered_corners(spark, d):
 
 def representative_corners(spark, d):
     """The points of least and greatest x + y and x - y stand for the corners; the first of equals."""
-    q = quads(spark, d).select("page_id", "ord", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.lit(k).alias("k")) for k in range(4)]).alias("p"))
+    q = view(spark, d, "placed_quads").select("page_id", "ord", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.lit(k).alias("k")) for k in range(4)]).alias("p"))
 
     def extreme(value, sign):
         best = F.array_min(F.transform("p", lambda p: F.struct((value(p) * sign).alias("v"), p["k"].alias("k"))))
@@ -262,7 +262,7 @@ def nearest_edges(spark, d):
         away = G.distance(px, py, ax + dx * t, ay + dy * t)
         found.append(F.struct((away / F.greatest(F.lit(1.0), F.sqrt(length))).alias("d"), F.lit(k).alias("edge"), t.alias("t")))
     best = F.array_min(F.array(*found))
-    return quads(spark, d).select("page_id", "ord", best["edge"].alias("edge"), r6(best["t"]).alias("t"), r6(best["d"]).alias("distance"))
+    return view(spark, d, "placed_quads").select("page_id", "ord", best["edge"].alias("edge"), r6(best["t"]).alias("t"), r6(best["d"]).alias("distance"))
 
 
 def curve_acceptance(spark, d):
@@ -279,7 +279,7 @@ def curve_acceptance(spark, d):
 
     steady = F.forall(o, lambda x: F.forall(samples, lambda k: (mapped(x, k) >= 0) & (mapped(x, k) <= height - 1.0) & ((k == 0) | (mapped(x, k) > mapped(x, k - 1)))))
     ok = (F.col("confidence") >= 0.68) & (F.array_max(sizes) >= height * 0.0015) & (F.array_max(sizes) <= height * 0.025) & (F.array_max(jumps) <= height * 0.0025)
-    return quads(spark, d).withColumn("o", offsets).select("page_id", "ord", (ok & steady).alias("accepted"))
+    return view(spark, d, "placed_quads").withColumn("o", offsets).select("page_id", "ord", (ok & steady).alias("accepted"))
 
 
 def a(xs, ys):
@@ -422,18 +422,18 @@ SELECT page_id, ord, {R(f'a*({A4_HEIGHT!r}e0/greatest(a, b))')} AS width, {R(f'b
   CASE WHEN greatest(w, h)/16e0 > 256 THEN 32 WHEN greatest(w, h)/8e0 > 256 THEN 16 WHEN greatest(w, h)/4e0 > 256 THEN 8 WHEN greatest(w, h)/2e0 > 256 THEN 4 WHEN greatest(w, h) > 256 THEN 2 ELSE 1 END AS sample FROM z"""),
     "crop_differences": oracle(f"{BOTH} SELECT page_id, ord, {R(MEAN)} AS corners, {R('abs(u_a - f_a)')} AS area FROM m WHERE {MEAN} > 0.04e0 OR abs(u_a - f_a) > 0.08e0"),
     "initial_corners": oracle("""SELECT page_id, ord, CASE WHEN ord % 3 <> 0 THEN x0 WHEN ord % 5 <> 0 THEN 30e0 END AS x, CASE WHEN ord % 3 <> 0 THEN CASE WHEN stable THEN 'manual' ELSE 'finalCrop' END WHEN ord % 5 <> 0 THEN 'guideFallback' END AS source FROM {quads}"""),
-    "ordered_corners": oracle("""WITH p AS (SELECT page_id, ord, unnest([{'y': y0, 'x': x0}, {'y': y1, 'x': x1}, {'y': y2, 'x': x2}, {'y': y3, 'x': x3}]) AS p FROM {quads}),
+    "ordered_corners": oracle("""WITH p AS (SELECT page_id, ord, unnest([{'y': y0, 'x': x0}, {'y': y1, 'x': x1}, {'y': y2, 'x': x2}, {'y': y3, 'x': x3}]) AS p FROM {placed_quads}),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord ORDER BY p.y, p.x) AS i FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord, i > 2 ORDER BY p.x, p.y) AS j FROM r)
 SELECT page_id, ord, max(p.x) FILTER (i <= 2 AND j = 1) AS x0, max(p.y) FILTER (i <= 2 AND j = 1) AS y0, max(p.x) FILTER (i <= 2 AND j = 2) AS x1, max(p.y) FILTER (i <= 2 AND j = 2) AS y1,
   max(p.x) FILTER (i > 2 AND j = 2) AS x2, max(p.y) FILTER (i > 2 AND j = 2) AS y2, max(p.x) FILTER (i > 2 AND j = 1) AS x3, max(p.y) FILTER (i > 2 AND j = 1) AS y3 FROM s GROUP BY page_id, ord"""),
-    "representative_corners": oracle("""WITH p AS (SELECT page_id, ord, unnest([0, 1, 2, 3]) AS k, unnest([x0, x1, x2, x3]) AS x, unnest([y0, y1, y2, y3]) AS y FROM {quads}),
+    "representative_corners": oracle("""WITH p AS (SELECT page_id, ord, unnest([0, 1, 2, 3]) AS k, unnest([x0, x1, x2, x3]) AS x, unnest([y0, y1, y2, y3]) AS y FROM {placed_quads}),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord ORDER BY x + y, k) AS a, row_number() OVER (PARTITION BY page_id, ord ORDER BY x - y DESC, k) AS b,
   row_number() OVER (PARTITION BY page_id, ord ORDER BY x + y DESC, k) AS c, row_number() OVER (PARTITION BY page_id, ord ORDER BY x - y, k) AS d FROM p)
 SELECT page_id, ord, max(k) FILTER (a = 1) AS top_left, max(k) FILTER (b = 1) AS top_right, max(k) FILTER (c = 1) AS bottom_right, max(k) FILTER (d = 1) AS bottom_left FROM r GROUP BY page_id, ord"""),
-    "nearest_edges": oracle("WITH p AS (SELECT *, x0 + jx*12e0 + 200e0 AS px, y0 + jy*9e0 + 250e0 AS py FROM {quads}), t AS (SELECT *, " + ", ".join(f"{edge_sql(k)[0]} AS t{k}" for k in range(4)) + " FROM p), e AS ("
+    "nearest_edges": oracle("WITH p AS (SELECT *, x0 + jx*12e0 + 200e0 AS px, y0 + jy*9e0 + 250e0 AS py FROM {placed_quads}), t AS (SELECT *, " + ", ".join(f"{edge_sql(k)[0]} AS t{k}" for k in range(4)) + " FROM p), e AS ("
         + " UNION ALL ".join(f"SELECT page_id, ord, {k} AS edge, t{k} AS t, sqrt((px - (x{k} + {edge_sql(k)[1]}*t{k}))*(px - (x{k} + {edge_sql(k)[1]}*t{k})) + (py - (y{k} + {edge_sql(k)[2]}*t{k}))*(py - (y{k} + {edge_sql(k)[2]}*t{k})))/greatest(1e0, sqrt({edge_sql(k)[1]}*{edge_sql(k)[1]} + {edge_sql(k)[2]}*{edge_sql(k)[2]})) AS d FROM t" for k in range(4))
         + f") SELECT page_id, ord, edge, {R('t')} AS t, {R('d')} AS distance FROM e QUALIFY row_number() OVER (PARTITION BY page_id, ord ORDER BY d, edge) = 1"),
-    "curve_acceptance": oracle("""WITH o AS (SELECT page_id, ord, confidence, unnest([0, 1, 2, 3]) AS i, unnest([jx/3e0 + jy/16e0*0e0, jx/3e0 + jy/16e0*1e0, jx/3e0 + jy/16e0*2e0, jx/3e0 + jy/16e0*3e0]) AS o FROM {quads}),
+    "curve_acceptance": oracle("""WITH o AS (SELECT page_id, ord, confidence, unnest([0, 1, 2, 3]) AS i, unnest([jx/3e0 + jy/16e0*0e0, jx/3e0 + jy/16e0*1e0, jx/3e0 + jy/16e0*2e0, jx/3e0 + jy/16e0*3e0]) AS o FROM {placed_quads}),
 s AS (SELECT page_id, ord, i, o, k, 1399e0*k/64e0 + o*sin(3.141592653589793e0*(1399e0*k/64e0)/1399e0) AS y FROM o, range(65) r(k)),
 p AS (SELECT page_id, ord, i, min(y) >= 0 AND max(y) <= 1399 AND coalesce(bool_and(y > b), true) AS ok FROM (SELECT *, lag(y) OVER (PARTITION BY page_id, ord, i ORDER BY k) AS b FROM s) GROUP BY page_id, ord, i),
 j AS (SELECT page_id, ord, any_value(confidence) AS c, max(abs(o)) AS m, max(abs(o - b)) AS jump FROM (SELECT *, lag(o) OVER (PARTITION BY page_id, ord ORDER BY i) AS b FROM o) GROUP BY page_id, ord),

@@ -14,8 +14,8 @@ from vellum.operators import candidates as O
 from vellum.sources.tables import oracle, view
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "candidates").withColumn("score", C.score())
+def scored(spark: SparkSession, d: str, name: str = "candidates") -> DataFrame:
+    return view(spark, d, name).withColumn("score", C.score())
 
 
 def candidate_scores(spark, d):
@@ -23,11 +23,11 @@ def candidate_scores(spark, d):
 
 
 def candidate_best(spark, d):
-    return O.best(scored(spark, d), "page_id", F.col("score"), "kind").select("page_id", "ord", "kind", r6("value").alias("score"))
+    return O.best(scored(spark, d, "placed_candidates"), "page_id", F.col("score"), "kind").select("page_id", "ord", "kind", r6("value").alias("score"))
 
 
 def candidate_best_native(spark, d):
-    gated = view(spark, d, "candidates").withColumn("score", C.score_native()).withColumn("conf", C.evidence_score())
+    gated = view(spark, d, "placed_candidates").withColumn("score", C.score_native()).withColumn("conf", C.evidence_score())
     return O.best_conservative(gated.filter((F.col("score") >= 0.32) & (F.col("conf") >= 0.38)), "page_id").select("page_id", "ord", r6("score").alias("score"), "alternative")
 
 
@@ -39,17 +39,16 @@ def candidate_gate(spark, d):
 
 
 def candidate_topk(spark, d):
-    c = view(spark, d, "candidates").withColumn("origin", F.when(F.col("ord") % 3 == 0, "paper").otherwise("edge"))
+    c = view(spark, d, "placed_candidates").withColumn("origin", F.when(F.col("ord") % 3 == 0, "paper").otherwise("edge"))
     return O.top_k(c, "page_id", "origin", "area_ratio", {"edge": 3, "paper": 1}).select("page_id", "ord", "origin", F.col("rank").cast("long").alias("rank"))
 
 
 def candidate_union(spark, d):
     """Candidates of three finders in one list, each finder's after those of the finders before."""
-    c = view(spark, d, "candidates").select("page_id", "ord", "kind", "area_ratio")
-    parts = [c.filter(F.col("kind") == k).withColumn("finder", F.lit(i)) for i, k in enumerate(("document", "bookPage", "openBookSpread"))]
-    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    finders = F.array(*[F.lit(k) for k in ("document", "bookPage", "openBookSpread")])
+    c = view(spark, d, "placed_candidates").select("page_id", "ord", (F.array_position(finders, F.col("kind")) - 1).cast("int").alias("finder")).filter("finder >= 0")
     place = F.row_number().over(W.partitionBy("page_id").orderBy("finder", "ord"))
-    return all_.select("page_id", "ord", "finder", place.cast("long").alias("place"))
+    return c.select("page_id", "ord", "finder", place.cast("long").alias("place"))
 
 
 def split_spreads(spark, d):
@@ -61,7 +60,7 @@ def split_spreads(spark, d):
 
 
 def component_best(spark, d):
-    c = view(spark, d, "candidates").filter((F.col("aspect_ratio") > 0) & (F.greatest(F.col("aspect_ratio"), F.lit(1.0) / F.col("aspect_ratio")) <= 8))
+    c = view(spark, d, "placed_candidates").filter((F.col("aspect_ratio") > 0) & (F.greatest(F.col("aspect_ratio"), F.lit(1.0) / F.col("aspect_ratio")) <= 8))
     value = C.component_score(F.col("area_ratio"), F.col("paper"), F.greatest(F.col("aspect_ratio"), F.lit(1.0) / F.col("aspect_ratio")))
     # the area decides between equal scores
     top = c.withColumn("value", value).groupBy("page_id").agg(F.max_by(F.struct("ord", "value"), F.struct("value", "area_ratio", -F.col("ord"))).alias("b"))
@@ -69,7 +68,7 @@ def component_best(spark, d):
 
 
 def component_largest(spark, d):
-    return O.largest_plausible(view(spark, d, "candidates"), "page_id", "area_ratio").select("page_id", "ord", r6("value").alias("area"))
+    return O.largest_plausible(view(spark, d, "placed_candidates"), "page_id", "area_ratio").select("page_id", "ord", r6("value").alias("area"))
 
 
 def segmentation_confidence(spark, d):
@@ -100,10 +99,10 @@ QUERIES = {
 ORACLE = {
     "candidate_scores": oracle(f"SELECT page_id, ord, {R(SCORE)} AS score, {R(f'CASE WHEN {ELIGIBLE} THEN {EVIDENCE} ELSE 0e0 END')} AS confidence FROM {{candidates}}"),
     "candidate_best": oracle(f"""
-WITH s AS (SELECT *, {SCORE} AS score FROM {{candidates}})
+WITH s AS (SELECT *, {SCORE} AS score FROM {{placed_candidates}})
 SELECT page_id, ord, kind, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) = 1"""),
     "candidate_best_native": oracle(f"""
-WITH s AS (SELECT *, {NATIVE} AS score, {EVIDENCE} AS conf FROM {{candidates}}),
+WITH s AS (SELECT *, {NATIVE} AS score, {EVIDENCE} AS conf FROM {{placed_candidates}}),
 g AS (SELECT * FROM s WHERE score >= 0.32e0 AND conf >= 0.38e0),
 t AS (SELECT page_id, ord, score, area_ratio, continuation FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) = 1),
 a AS (SELECT g.page_id, g.ord, g.score FROM g JOIN t USING (page_id) WHERE g.area_ratio >= t.area_ratio*1.16e0 AND g.score >= t.score - 0.1e0 AND g.paper >= 0.5e0
@@ -113,21 +112,21 @@ SELECT t.page_id, coalesce(a.ord, t.ord) AS ord, floor(coalesce(a.score, t.score
 SELECT kind, count(*) FILTER (score >= 0.32e0 AND conf >= 0.38e0) AS still, count(*) FILTER (conf >= 0.08e0) AS preview, count(*) AS n
 FROM (SELECT kind, {NATIVE} AS score, {EVIDENCE} AS conf FROM {{candidates}}) GROUP BY kind"""),
     "candidate_topk": oracle("""
-WITH r AS (SELECT page_id, ord, CASE WHEN ord % 3 = 0 THEN 'paper' ELSE 'edge' END AS origin, area_ratio FROM {candidates}),
+WITH r AS (SELECT page_id, ord, CASE WHEN ord % 3 = 0 THEN 'paper' ELSE 'edge' END AS origin, area_ratio FROM {placed_candidates}),
 k AS (SELECT page_id, ord, origin, row_number() OVER (PARTITION BY page_id, origin ORDER BY area_ratio DESC, ord) AS rank FROM r)
 SELECT * FROM k WHERE rank <= CASE origin WHEN 'edge' THEN 3 ELSE 1 END"""),
     "candidate_union": oracle("""
-WITH u AS (SELECT page_id, ord, list_position(['document', 'bookPage', 'openBookSpread'], kind) - 1 AS finder FROM {candidates})
+WITH u AS (SELECT page_id, ord, list_position(['document', 'bookPage', 'openBookSpread'], kind) - 1 AS finder FROM {placed_candidates})
 SELECT page_id, ord, finder, row_number() OVER (PARTITION BY page_id ORDER BY finder, ord) AS place FROM u"""),
     "split_spreads": oracle("""
 WITH p AS (SELECT *, unnest(CASE WHEN kind = 'openBookSpread' AND spine_strength >= 0.35e0 AND two_page >= 0.35e0 AND aspect_ratio >= 1.15e0 THEN ['left', 'right'] ELSE ['whole'] END) AS part FROM {candidates})
 SELECT page_id, ord, part, floor(CASE WHEN part = 'whole' THEN area_ratio ELSE area_ratio / 2e0 END * 1e6 + 0.5e0) / 1e6 AS area FROM p"""),
     "component_best": oracle("""
 WITH s AS (SELECT *, area_ratio*0.7e0 + least(1e0, greatest(0e0, paper))*0.2e0 + least(1e0, greatest(0e0, 1e0 - (greatest(aspect_ratio, 1e0/aspect_ratio) - 1e0)/7e0))*0.1e0 AS score
-  FROM {candidates} WHERE greatest(aspect_ratio, 1e0/aspect_ratio) <= 8)
+  FROM {placed_candidates} WHERE greatest(aspect_ratio, 1e0/aspect_ratio) <= 8)
 SELECT page_id, ord, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, area_ratio DESC, ord) = 1"""),
     "component_largest": oracle("""
-SELECT page_id, ord, floor(area_ratio * 1e6 + 0.5e0) / 1e6 AS area FROM {candidates} WHERE area_ratio BETWEEN 0.02e0 AND 0.995e0
+SELECT page_id, ord, floor(area_ratio * 1e6 + 0.5e0) / 1e6 AS area FROM {placed_candidates} WHERE area_ratio BETWEEN 0.02e0 AND 0.995e0
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area_ratio DESC, ord) = 1"""),
     "segmentation_confidence": oracle("SELECT page_id, ord, floor(least(1e0, greatest(0e0, paper*0.65e0 + edge*0.35e0)) * 1e6 + 0.5e0) / 1e6 AS confidence FROM {candidates}"),
 }

@@ -38,7 +38,7 @@ def native_penalties(spark, d):
 
 def native_clipping(spark, d):
     q = Quad.of().mapped(lambda x, y: F.when(x < 60, 0.0).when(x > 880, 999.0).otherwise(x), lambda x, y: F.when(y < 30, 0.0).otherwise(y))
-    return quads(spark, d).select("page_id", "ord", N.clipping_evidence(q, 1000.0, 1400.0).alias("clipping"))
+    return view(spark, d, "placed_quads").select("page_id", "ord", N.clipping_evidence(q, 1000.0, 1400.0).alias("clipping"))
 
 
 def native_spines(spark, d):
@@ -73,7 +73,7 @@ def components_with_guide(spark, d):
 def second_papers(spark, d):
     """The penalty for a second sheet: the largest component beside the one nearest to the mask's center."""
     away = F.sqrt((F.col("border") - 0.5) * (F.col("border") - 0.5) + (F.col("paper") - 0.5) * (F.col("paper") - 0.5))
-    c = view(spark, d, "candidates").filter("area_ratio >= 0.2").withColumn("away", away)
+    c = view(spark, d, "placed_candidates").filter("area_ratio >= 0.2").withColumn("away", away)
     main = c.groupBy("page_id").agg(F.min_by(F.struct("ord", "area_ratio", "border"), F.struct("away", "ord")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     rest = c.join(main, "page_id").filter(F.col("ord") != F.col("m.ord"))
     second = rest.groupBy("page_id").agg(F.max_by(F.struct("area_ratio", "border"), F.struct(F.col("area_ratio"), -F.col("ord"))).alias("s"), F.first("m").alias("m"))
@@ -101,7 +101,7 @@ def contour_metrics(spark, d):
 
 def nearest_pairs(spark, d):
     """The middle of the two points of neighbouring edges that lie nearest to each other; of equal pairs the first."""
-    q = quads(spark, d)
+    q = view(spark, d, "placed_quads")
 
     def points(k, shift):
         return F.array(*[F.struct((F.col(f"x{k}") + F.col("jx") * i * shift).alias("x"), (F.col(f"y{k}") + F.col("jy") * (i + 1)).alias("y"), F.lit(i).alias("i")) for i in range(3)])
@@ -196,7 +196,7 @@ SELECT page_id, ord, {R(f"CASE WHEN side = 'single' THEN {c01('(u_a - 0.14e0)/(0
   CASE WHEN evidence + n_geometry >= 5 THEN 0.92e0 WHEN evidence + n_geometry >= 3 THEN 0.74e0 WHEN evidence + n_geometry >= 2 THEN 0.52e0 ELSE 0e0 END AS repeated,
   {R('CASE WHEN evidence*15 < 20 THEN 0e0 ELSE ' + c01(f"least({c01('contour/greatest(internal, 0.012e0)')}, {c01('contour*12e0')})*0.78e0 + {c01('1e0 - abs(coverage*255e0 - consistency*255e0)/55e0')}*0.22e0") + ' END')} AS continuation,
   {R(c01(f"{c01('coverage*255e0/210e0')}*0.3e0 + support*0.32e0 + continuity*0.2e0 + {c01('transition/0.55e0')}*0.18e0"))} AS paper FROM {{evidence}}"""),
-    "native_clipping": oracle("""WITH p AS (SELECT page_id, ord, unnest([x0, x1, x2, x3]) AS x, unnest([y0, y1, y2, y3]) AS y FROM {quads}),
+    "native_clipping": oracle("""WITH p AS (SELECT page_id, ord, unnest([x0, x1, x2, x3]) AS x, unnest([y0, y1, y2, y3]) AS y FROM {placed_quads}),
 q AS (SELECT page_id, ord, CASE WHEN x < 60 THEN 0e0 WHEN x > 880 THEN 999e0 ELSE x END AS x, CASE WHEN y < 30 THEN 0e0 ELSE y END AS y FROM p),
 c AS (SELECT page_id, ord, count(*) FILTER (x <= 6) >= 2 AND max(y) FILTER (x <= 6) - min(y) FILTER (x <= 6) >= 84 AS l, count(*) FILTER (x >= 993) >= 2 AND max(y) FILTER (x >= 993) - min(y) FILTER (x >= 993) >= 84 AS r,
   count(*) FILTER (y <= 6) >= 2 AND max(x) FILTER (y <= 6) - min(x) FILTER (y <= 6) >= 60 AS t, count(*) FILTER (y >= 1393) >= 2 AND max(x) FILTER (y >= 1393) - min(x) FILTER (y >= 1393) >= 60 AS b FROM q GROUP BY page_id, ord)
@@ -211,7 +211,7 @@ SELECT page_id, ord, {R(c01('1e0 - least(abs(l - spine), abs(r - spine))/280.000
   {R('least(area_ratio, 0.65e0)/0.65e0*0.18e0 + (border*0.08e0 + outer_anchor*0.1e0 + spine_proximity*0.16e0 + text_density*0.15e0 + occupancy*0.09e0 + curvature*0.12e0 + contrast*0.07e0 + two_page*0.05e0)')} AS book,
   CASE WHEN spine_proximity >= 0.55e0 OR curvature >= 0.28e0 THEN 'bookPage' ELSE 'document' END AS kind FROM {{candidates}}"""),
     "components_with_guide": oracle(f"SELECT page_id, ord, {R('area_ratio*0.64e0 + paper*0.18e0 + ' + c01('1e0 - (greatest(aspect_ratio, 1e0/aspect_ratio) - 1e0)/7e0') + '*0.08e0 + border*0.1e0')} AS score FROM {{candidates}}"),
-    "second_papers": oracle(f"""WITH c AS (SELECT *, sqrt((border - 0.5e0)*(border - 0.5e0) + (paper - 0.5e0)*(paper - 0.5e0)) AS away, count(*) OVER (PARTITION BY page_id) AS n FROM {{candidates}} WHERE area_ratio >= 0.2e0),
+    "second_papers": oracle(f"""WITH c AS (SELECT *, sqrt((border - 0.5e0)*(border - 0.5e0) + (paper - 0.5e0)*(paper - 0.5e0)) AS away, count(*) OVER (PARTITION BY page_id) AS n FROM {{placed_candidates}} WHERE area_ratio >= 0.2e0),
 m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY away, ord) AS i FROM c WHERE n >= 2), s AS (SELECT * FROM m WHERE i > 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area_ratio DESC, ord) = 1),
 j AS (SELECT s.page_id, {c01('s.area_ratio/m.area_ratio')} AS ratio, abs(s.border - m.border) AS apart FROM s JOIN m ON m.page_id = s.page_id AND m.i = 1)
 SELECT page_id, {R(f"CASE WHEN apart > 0.18e0 THEN {c01('ratio*0.72e0 + least(1e0, apart)*0.28e0')} ELSE ratio*0.25e0 END")} AS penalty FROM j"""),
@@ -221,7 +221,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(v)) AS r,
 s AS (SELECT *, max(abs(v)) FILTER (r = floor((k - 1)*0.9e0 + 0.5e0) + 1) OVER (PARTITION BY series_id) AS size FROM c),
 g AS (SELECT series_id, any_value(size) AS size, count(*) FILTER (abs(v) >= size*0.25e0 AND v > 0) AS p, count(*) FILTER (abs(v) >= size*0.25e0 AND v < 0) AS m FROM s GROUP BY series_id)
 SELECT series_id, {R('size')} AS magnitude, sign(p - m)::INTEGER AS direction, {R('CASE WHEN p + m > 0 THEN greatest(p, m)/(p + m)::DOUBLE ELSE 0e0 END')} AS consistency FROM g"""),
-    "nearest_pairs": oracle(f"""WITH a AS (SELECT page_id, ord, i, j, x0 + jx*i*1e0 AS ax, y0 + jy*(i + 1) AS ay, x3 + jx*j*-2e0 AS bx, y3 + jy*(j + 1) AS by_ FROM {{quads}}, range(3) p(i), range(3) r(j))
+    "nearest_pairs": oracle(f"""WITH a AS (SELECT page_id, ord, i, j, x0 + jx*i*1e0 AS ax, y0 + jy*(i + 1) AS ay, x3 + jx*j*-2e0 AS bx, y3 + jy*(j + 1) AS by_ FROM {{placed_quads}}, range(3) p(i), range(3) r(j))
 SELECT page_id, ord, i::INTEGER AS i, j::INTEGER AS j, {R('(ax + bx)/2e0')} AS x, {R('(ay + by_)/2e0')} AS y FROM a QUALIFY row_number() OVER (PARTITION BY page_id, ord ORDER BY (ax - bx)*(ax - bx) + (ay - by_)*(ay - by_), i, j) = 1"""),
     "resampled_edges": oracle(f"WITH c AS (SELECT *, 0e0 AS c0, {LEN[0]} AS c1, {LEN[0]} + {LEN[1]} AS c2, {LEN[0]} + {LEN[1]} + {LEN[2]} AS c3 FROM {{quads}}) SELECT page_id, ord, " + ", ".join(resample_sql(n, i) for i in range(5) for n in ("x", "y")) + " FROM c"),
     "contracts": oracle("SELECT page_id, ord, n_geometry + 1 = 3 AND agree AS valid FROM {evidence}"),

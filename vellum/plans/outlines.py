@@ -55,7 +55,7 @@ def lattice_signals(spark, d):
 
 
 def text_curve_ranks(spark, d):
-    q = view(spark, d, "quads")
+    q = view(spark, d, "placed_quads")
     boxes = q.select((F.col("page_id") % 500).alias("page_id"), (F.col("page_id") * 10 + F.col("ord")).alias("ord"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), ((F.col("jy") + 40.0) * 2.0).alias("h"))
     region = Quad([F.lit(v) for v in (60.0, 800.0, 800.0, 60.0)], [F.lit(v) for v in (30.0, 30.0, 1230.0, 1230.0)])
     return O.text_curves(boxes, region).select("page_id", "ord", "rank", "used")
@@ -124,7 +124,7 @@ c AS (SELECT b.*, xl + (xh - xl)*j // 20 AS x, yl + (yh - yl)*i // 20 AS y FROM
 k AS (SELECT page_id, x, y FROM c WHERE ({" + ".join(f"CASE WHEN (y{k} > y) <> (y{(k + 3) % 4} > y) THEN (x < (x{(k + 3) % 4} - x{k})*(y - y{k})/(y{(k + 3) % 4} - y{k}) + x{k})::INT ELSE 0 END" for k in range(4))}) % 2 = 1),
 v AS (SELECT page_id, ((x*7 + y*13 + page_id) % 256)::DOUBLE AS b, (x + y) % 11 = 0 AS e FROM k)
 SELECT page_id, {R("least(1e0, count(*) FILTER (e)/count(*)::DOUBLE*9e0)")} AS "text", {R("least(1e0, greatest(0e0, 1e0 - stddev_pop(b)/90e0))")} AS even, {R("avg(b)")} AS mean, {R("count(*) FILTER (b >= 150)/count(*)::DOUBLE")} AS bright FROM v GROUP BY page_id"""),
-    "text_curve_ranks": oracle("""SELECT page_id % 500 AS page_id, page_id*10 + ord AS ord, row_number() OVER (PARTITION BY page_id % 500 ORDER BY x1 - x0 DESC, page_id*10 + ord) AS rank, rank <= 8 AS used FROM {quads}
+    "text_curve_ranks": oracle("""SELECT page_id % 500 AS page_id, page_id*10 + ord AS ord, row_number() OVER (PARTITION BY page_id % 500 ORDER BY x1 - x0 DESC, page_id*10 + ord) AS rank, rank <= 8 AS used FROM {placed_quads}
 WHERE x1 - x0 >= 133.2e0 AND (jy + 40e0)*2e0 <= 96 AND x0 < 800 AND x1 > 60 AND y0 >= 30 AND y0 + (jy + 40e0)*2e0 <= 1230 QUALIFY rank <= 24"""),
     "mask_probabilities": oracle(f"""SELECT vec_id AS page_id, {R("coalesce(avg(mean/256e0) FILTER (x % 3 > 0 AND vec_id % 10 > 0), 0e0)")} AS probability FROM {{profile}} GROUP BY vec_id"""),
 }

@@ -12,21 +12,10 @@ from vellum.operators import signals as O
 from vellum.sources.tables import oracle, view
 from vellum.streaming.throttle import throttle_batch
 
-#: A series is the samples along one edge; longer ones are refused, as each is held as one array.
-LONGEST = 1 << 20
-
-
 def signal(spark, d):
     return view(spark, d, "signal")
 
 
-def series(spark, d):
-    """Each series as an array in order, and sorted."""
-    s = signal(spark, d).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"))
-    fits = F.when(F.size("p") <= LONGEST, F.col("p")).otherwise(F.raise_error(F.lit("a series is too long")))
-    return s.select("series_id", fits.alias("p")).select("series_id", F.col("p.value").alias("v")).withColumn("o", F.array_sort("v"))
-
-
 def window():
     return W.partitionBy("series_id").orderBy("pos")
 
@@ -38,14 +27,7 @@ def robust_edges(spark, d):
 
 def series_ranks(spark, d):
     """Percentiles by three rules, a trimmed mean, and the outer offset."""
-    o = F.col("o")
-    mid = S.percentile(o, 0.5)
-    outer = F.array_sort(F.filter(F.transform(o, lambda v: v - F.col("mid")), lambda v: v >= 0))
-    s = series(spark, d).withColumn("mid", mid)
-    return s.select(
-        "series_id", r6("mid").alias("median"), r6(S.percentile(o, 0.88)).alias("p88"), r6(S.nearest_rank(o, 0.90)).alias("rank90"), r6(S.truncated_rank(o, 0.75)).alias("rank75"),
-        r6(S.trimmed_mean(o, 0.18)).alias("trimmed"), r6(S.percentile(outer, 0.88)).alias("outer"),
-    )
+    return O.ranked_statistics(signal(spark, d), "series_id", "value")
 
 
 def column_inliers(spark, d):
@@ -80,15 +62,16 @@ def moving_averages(spark, d):
 
 
 def moving_medians(spark, d):
-    s = series(spark, d).select("series_id", F.posexplode(S.moving(F.col("v"), 2, lambda w: S.percentile(F.array_sort(w), 0.5))).alias("i", "m"))
-    return s.select("series_id", (F.col("i") + 1).cast("long").alias("pos"), r6("m").alias("median"))
+    near = F.array_sort(F.collect_list("value").over(window().rowsBetween(-2, 2)))
+    return signal(spark, d).withColumn("near", near).select("series_id", "pos", r6(S.percentile(F.col("near"), 0.5)).alias("median"))
 
 
 def smoothed_twice(spark, d):
-    # through one-element arrays each pass is computed once, not once for every neighbour that reads it
-    once = F.element_at(F.transform(F.array(F.col("v")), S.smoothed), 1)
-    s = series(spark, d).withColumn("once", once).select("series_id", F.posexplode(F.element_at(F.transform(F.array("once"), S.smoothed), 1)).alias("i", "s"))
-    return s.select("series_id", (F.col("i") + 1).cast("long").alias("pos"), r6("s").alias("value"))
+    """Each value with half the weight and its neighbours with a quarter, two times; ends stay."""
+    s = signal(spark, d).select("series_id", "pos", "value")
+    for _ in range(2):
+        s = s.withColumn("value", F.coalesce((F.lag("value").over(window()) + F.col("value") * 2.0 + F.lead("value").over(window())) / 4.0, "value"))
+    return s.select("series_id", "pos", r6("value").alias("value"))
 
 
 def shoulder_contrast(spark, d):
@@ -99,8 +82,7 @@ def shoulder_contrast(spark, d):
 
 def valley_places(spark, d):
     """The lowest place of the core of a series if it is low against the upper quarter: a narrow connection."""
-    # through a one-element array the place is computed once
-    return series(spark, d).filter(F.size("v") >= 8).select("series_id", F.element_at(F.transform(F.array("v"), S.narrow_place), 1).alias("place"))
+    return O.narrow_places(signal(spark, d), "series_id", "value").select("series_id", "place")
 
 
 def systematic_samples(spark, d):
@@ -128,15 +110,9 @@ def grid_coverage(spark, d):
 
 
 def point_deduplication(spark, d):
-    """Values that differ by more than a limit from the last that was kept: in order, so it is one fold along the samples."""
-    start = F.struct(F.lit(0).alias("kept"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("total"))
-
-    def step(a, v):
-        new = F.struct((a["kept"] + 1).alias("kept"), v.alias("last"), (a["total"] + v).alias("total"))
-        return F.when(a["last"].isNull() | (F.abs(a["last"] - v) > 15.0), new).otherwise(a)
-
-    folded = F.aggregate("v", start, step)
-    return series(spark, d).filter(F.size("v") > 0).select("series_id", folded.alias("f")).select("series_id", "f.kept", r6("f.total").alias("total"))
+    """Values that differ by more than a limit from the last that was kept."""
+    kept = O.apart(signal(spark, d).select("series_id", "pos", "value"), "series_id", "pos", "value", 15.0)
+    return kept.groupBy("series_id").agg(F.count(F.lit(1)).cast("int").alias("kept"), r6(F.sum("value")).alias("total"))
 
 
 def spine_profiles(spark, d):

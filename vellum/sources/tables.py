@@ -11,7 +11,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
-ORD = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT)"
+#: A row's line number: no scan has to look beyond the row, and rows of a page may share it.
+LINE = "CAST(l_linenumber AS BIGINT)"
+#: A row's place within its page, which no other row of the page has: for choices, ranks and lists, at the price of a shuffle.
+PLACE = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT)"
 
 
 def share(column: str, steps: int, scale: float = 1.0, low: float = 0.0) -> str:
@@ -20,7 +23,7 @@ def share(column: str, steps: int, scale: float = 1.0, low: float = 0.0) -> str:
 
 
 CANDIDATES = f"""
-SELECT l_orderkey AS page_id, {ORD} AS ord,
+SELECT l_orderkey AS page_id, {LINE} AS ord,
   CASE l_returnflag WHEN 'R' THEN 'document' WHEN 'N' THEN 'openBookSpread' ELSE 'bookPage' END AS kind,
   CASE l_linenumber % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'left' ELSE 'right' END AS side,
   l_partkey % 17 = 0 AS self_intersects,
@@ -34,7 +37,7 @@ SELECT l_orderkey AS page_id, {ORD} AS ord,
 FROM {{lineitem}}
 """
 QUADS = f"""
-SELECT l_orderkey AS page_id, {ORD} AS ord, l_quantity / 50e0 AS confidence, {share("l_suppkey", 10)} AS clipping, l_partkey % 3 = 0 AS stable,
+SELECT l_orderkey AS page_id, {LINE} AS ord, l_quantity / 50e0 AS confidence, {share("l_suppkey", 10)} AS clipping, l_partkey % 3 = 0 AS stable,
   CAST(l_suppkey % 9 - 4 AS DOUBLE) * 6e0 AS jx, CAST(l_partkey % 9 - 4 AS DOUBLE) * 8e0 AS jy,
   CASE l_linenumber % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'left' ELSE 'right' END AS side, 1000 AS width, 1400 AS height,
   CAST(20 + l_partkey % 60 * (1 + l_suppkey % 5) AS DOUBLE) AS x0, CAST(20 + l_suppkey % 40 * (1 + l_partkey % 9) AS DOUBLE) AS y0,
@@ -44,7 +47,7 @@ SELECT l_orderkey AS page_id, {ORD} AS ord, l_quantity / 50e0 AS confidence, {sh
 FROM {{lineitem}}
 """
 EVIDENCE = f"""
-SELECT l_orderkey AS page_id, {ORD} AS ord,
+SELECT l_orderkey AS page_id, {LINE} AS ord,
   CASE l_linenumber % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'right' WHEN 2 THEN 'bottom' ELSE 'left' END AS edge,
   CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'left' ELSE 'right' END AS side,
   {share("l_partkey", 24, 0.6)} AS transition, {share("l_suppkey", 16, 0.8)} AS support, {share("l_partkey", 12, 0.1)} AS border, {share("l_suppkey", 18, 0.7)} AS occlusion,
@@ -80,6 +83,8 @@ VIEWS = {
     "sheets": SHEETS,
     "candidates": CANDIDATES,
     "quads": QUADS,
+    "placed_candidates": CANDIDATES.replace(LINE, PLACE),
+    "placed_quads": QUADS.replace(LINE, PLACE),
     "scans": """
 SELECT conv_id AS session_id, turn + 1 AS page_no, conv_id * 1000 + turn AS raw_key, (turn % 4) * 90 AS rotation, role AS side, text, length(text) AS byte_count
 FROM {conversations}""",
