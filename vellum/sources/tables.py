@@ -94,13 +94,15 @@ SELECT user_id AS stream_id, event_id, row_number() OVER (PARTITION BY user_id O
   + CASE WHEN event_id % 23 = 0 THEN 900 ELSE 0 END AS t_ms, event_type <> 'error' AS detected, value / 100e0 AS confidence
 FROM {events}""",
 }
-# masks of 64 by 32 pixels: 32 vectors one below the other, each a line; in SQL by set pixel
+# masks of 64 by 32 pixels and pictures of 64 by 50: vectors one below the other, each a line; in SQL by pixel
 SPARK_VIEWS = VIEWS | {
+    "shades": "SELECT vec_id div 50 AS mask, vec_id % 50 AS y, transform(embedding, v -> CAST(floor(128D + v * 200D) AS BIGINT)) AS shades FROM {embeddings}",
     "masks": "SELECT vec_id div 32 AS mask, vec_id % 32 AS y, transform(embedding, v -> v > 0.03D) AS pixels FROM {embeddings}",
     "profile": "SELECT vec_id, pos AS x, 128e0 + CAST(v AS DOUBLE) * 200e0 AS mean FROM {embeddings} LATERAL VIEW posexplode(embedding) p AS pos, v",
     "lines": r"SELECT doc_id, pos AS ord, raw FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) x AS pos, raw",
 }
 DUCKDB_VIEWS = VIEWS | {
+    "shaded": "SELECT vec_id // 50 AS mask, vec_id % 50 AS y, unnest(range(len(embedding))) AS x, CAST(floor(128e0 + unnest(embedding)::DOUBLE * 200e0) AS BIGINT) AS v FROM {embeddings}",
     "pixels": "SELECT * FROM (SELECT vec_id // 32 AS mask, vec_id % 32 AS y, unnest(range(len(embedding))) AS x, unnest(embedding)::DOUBLE AS v FROM {embeddings}) p WHERE v > 0.03e0",
     "profile": "SELECT vec_id, unnest(range(len(embedding))) AS x, 128e0 + unnest(embedding)::DOUBLE * 200e0 AS mean FROM {embeddings}",
     "lines": "SELECT doc_id, unnest(range(len(ls))) AS ord, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents})",
