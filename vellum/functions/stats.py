@@ -50,3 +50,10 @@ def outer_offset(values: Column) -> Column:
     """How far an outline reaches beyond an edge: a high percentile of what lies outside, 0 if nothing does."""
     outside = F.array_sort(F.filter(values, lambda v: v >= 0))
     return F.when(F.size(outside) > 0, percentile(outside, 0.88)).otherwise(0.0)
+
+
+def tapered(value: Column, x: Column, start: Column, width: Column) -> Column:
+    """An offset that fades to nothing towards either end of a region, over 8 % of its width but two columns at least; 0 outside."""
+    fade = F.greatest(F.lit(2.0), F.floor(width * 0.08 + 0.5))
+    near = F.least(x - start, start + width - 1 - x)
+    return F.when(near < 0, 0.0).otherwise(value * F.least(F.lit(1.0), near / fade))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import stats as S
 from vellum.functions.geometry import Quad
 from vellum.functions.numbers import rounded as r6
 from vellum.functions.numbers import rounded_sql as R
@@ -67,8 +68,14 @@ def mask_probabilities(spark, d):
     return p.groupBy("page_id").agg(r6(F.coalesce(F.avg(F.when(F.col("in"), F.col("p"))), F.lit(0.0))).alias("probability"))
 
 
+def tapered_curves(spark, d):
+    """Offsets of curves that fade at the ends of their page, which starts and ends within the columns."""
+    start, width = (F.col("page_id") % 4).cast("double"), (F.col("page_id") % 3 + 9).cast("double")
+    return view(spark, d, "curves").select("page_id", "curve", F.col("x").cast("long").alias("x"), r6(S.tapered(F.col("off"), F.col("x"), start, width)).alias("off"))
+
+
 QUERIES = {
-    f.__name__: f for f in (outer_envelopes, narrow_connections, native_spine_places, curve_fusion, clamped_contours, outline_boundaries, lattice_signals, text_curve_ranks, mask_probabilities)
+    f.__name__: f for f in (outer_envelopes, narrow_connections, native_spine_places, curve_fusion, clamped_contours, outline_boundaries, lattice_signals, text_curve_ranks, mask_probabilities, tapered_curves)
 }
 
 
@@ -82,6 +89,8 @@ k AS (SELECT *, least(floor(n*0.1e0 + 0.5e0), floor((n - 1)/2e0)) AS trim FROM n
 g AS (SELECT page_id, curve, list(abs(off) ORDER BY abs(off)) AS s, quantile_cont(off, 0.5) AS m FROM k WHERE nth > trim AND nth <= n - trim GROUP BY page_id, curve),
 c AS (SELECT page_id, curve, s[floor((len(s) - 1)*0.9e0 + 0.5e0)::BIGINT + 1]/1000e0 AS mag, CASE WHEN len(s) >= 3 AND abs(m) > 1e-6 THEN sign(m) END AS dir FROM g)"""
 ORACLE = {
+    "tapered_curves": oracle(f"""WITH c AS (SELECT *, CAST(page_id % 4 AS DOUBLE) AS a, CAST(page_id % 3 + 9 AS DOUBLE) AS w FROM {{curves}}), n AS (SELECT *, least(x - a, a + w - 1 - x) AS near FROM c)
+SELECT page_id, curve, x, {R('CASE WHEN near < 0 THEN 0e0 ELSE off*least(1e0, near/2e0) END')} AS off FROM n"""),
     "outer_envelopes": oracle(f"""WITH e AS ({edges("{sheets}", ", side, width, height")}), l AS (SELECT *, sqrt((ax - bx)*(ax - bx) + (ay - "by")*(ay - "by")) AS d, greatest(d, 1e0) AS len FROM e),
 p AS (SELECT l.*, (px - ax)*((bx - ax)/len) + (py - ay)*(("by" - ay)/len) AS along, (px - ax)*(("by" - ay)/len) - (py - ay)*((bx - ax)/len) AS outward FROM l JOIN {{outline}} USING (page_id)),
 m AS (SELECT page_id, edge, coalesce(quantile_cont(outward, 0.88) FILTER (outward >= 0 AND along BETWEEN -0.08e0*len AND len*1.08e0), 0e0) AS o, any_value(least(width, height)*CASE WHEN side = 'left' AND edge = 1 OR side = 'right' AND edge = 3 THEN 0.055e0 ELSE 0.1e0 END) AS lim FROM p GROUP BY page_id, edge HAVING count(*) >= 4),
