@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellum.llm import dedup, langid, mix, pii
+from vellum.llm import decontaminate, dedup, langid, mix, pii
 
 
 def test_mix_of_one_key_on_all_rows(spark, tmp_path, monkeypatch):
@@ -47,6 +47,31 @@ def test_targets_are_shared_round_by_round(spark):
         assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_seeds_that_all_documents_have(spark, tmp_path, monkeypatch):
+    """A passage in every document and in many items, with all joins by shuffle: the same overlaps as with broadcasts, no task with all rows of a seed."""
+    common = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"a{i} b{i} {common} c{i}" if i % 4 else f"only {i}") for i in range(2000)] + [(None, None), (7, "")]
+    items = [(i, f"{common} tail{i}") for i in range(5)] + [(9, " ".join(f"z{i}" for i in range(20))), (10, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    docs, bench = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
+    assert len(want) == 5 * 1500
+    for name in ("BROADCAST_SEEDS", "BROADCAST_ITEMS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(decontaminate, name, 0)
+    asked = []
+    dealt = decontaminate.join_dealt
+
+    def watched(table, groups, key, size, total, sizes):
+        copies = dealt(table, groups, key, size, total, most=100, sizes=sizes)
+        asked.append((key, groups.agg({size: "max"}).first()[0], total))
+        return copies
+
+    monkeypatch.setattr(decontaminate, "join_dealt", watched)
+    assert sorted(map(str, decontaminate.overlaps(docs, bench).collect())) == want
+    assert [k for k, _, _ in asked] == ["seed", "item"] and all(most == 1500 for _, most, _ in asked)
+    assert decontaminate.clean(docs, bench).count() == 502
+
+
 @pytest.mark.parametrize("most", [1 << 28, dedup.SEGMENT])
 def test_filter_in_ranges(spark, monkeypatch, most):
     """Packed counting: every repeated digest is flagged, few others are; with one filter and with one a range."""

@@ -114,9 +114,12 @@ def wide(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
-def join_dealt(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 1000) -> DataFrame:
-    """join_hot() for groups that are too wide to broadcast: a group is copied once for every ``most`` of its rows, and the rows are dealt out over the copies."""
-    told = join_hot(rows, groups.select(key, F.ceil(F.col(size) / most).cast("int").alias("_copies"), F.col(size).alias("_size")), key, "_size", total)
+def join_dealt(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 1000, sizes: DataFrame | None = None) -> DataFrame:
+    """join_hot() for groups that are too wide to broadcast: a group is copied once for every ``most`` of its rows, and the rows are dealt out over the copies.
+
+    groups has one row per key, unless sizes has: then groups may have several, that agree on size.
+    """
+    told = join_hot(rows, (groups if sizes is None else sizes).select(key, F.ceil(F.col(size) / most).cast("int").alias("_copies"), F.col(size).alias("_size")), key, "_size", total)
     told = told.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.col("_copies")).cast("int")).drop("_copies", "_size")
     copies = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / most).cast("int") - 1)))
     return told.join(wide(copies), [key, "_copy"]).drop("_copy")

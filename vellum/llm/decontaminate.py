@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, pick, plain, stored, with_rows
+from vellum.llm.common import documents, join_dealt, pick, plain, stored, with_rows
 
 # fixed values: the masks, found by search
 MASKS = ("11111", "1101011", "111011")
@@ -45,6 +45,13 @@ def seeds(rows: DataFrame, tokens: str, stride: int) -> DataFrame:
     return placed.select(*others, F.size("hashes").alias("n"), "place", F.explode(F.array(*found)).alias("seed")).filter(F.col("seed").isNotNull())
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to groups, by shuffle: keys that many rows have are counted first, and their rows dealt out over copies of the group."""
+    sizes = stored(rows.groupBy(key).agg(F.count("*").alias("times")).join(groups.select(key).distinct(), key, "left_semi"), "sizes")
+    total = sizes.agg(F.sum("times")).first()[0] or 0
+    return join_dealt(rows, groups.join(sizes, key), key, "times", total, sizes=sizes).drop("times")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """row, doc_id, item_id, n_item, agree: one row per document and item that overlap.
 
@@ -59,7 +66,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     wanted = stored(seeds(items.select("item", "its"), "its", 1).select("seed", "item", F.col("n").alias("n_item"), F.col("place").alias("at_item")), "seeds")
 
     spread = seeds(flat.select("row", words("text").alias("tokens")), "tokens", STRIDE).select("row", "place", "seed")
-    hits = spread.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted, "seed")
+    hits = spread.join(F.broadcast(wanted), "seed") if wanted.count() <= BROADCAST_SEEDS else join_counted(spread, wanted, "seed")
     hits = stored(hits.select("row", "item", "n_item", (F.col("place") - F.col("at_item")).alias("shift")).distinct(), "hits")
 
     rows = hits.select("row").distinct()
@@ -67,7 +74,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     # of a document's words only those that lie along the item go on
     along = F.slice("tokens", F.greatest(F.lit(0), F.col("shift")) + 1, F.greatest(F.lit(0), F.col("n_item") + F.least(F.lit(0), F.col("shift"))))
     laid = some.join(hits, "row").select("row", "doc_id", "item", F.least(F.lit(0), F.col("shift")).alias("shift"), along.alias("tokens"))
-    laid = laid.join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "item")
+    laid = laid.join(F.broadcast(items), "item") if items.count() <= BROADCAST_ITEMS else join_counted(laid, items, "item")
     start = F.greatest(F.lit(0), -F.col("shift"))
     end = F.least(F.size("its"), F.size("tokens") - F.col("shift"))
     equal = F.transform(F.sequence(start, end - 1), lambda q: (F.get("tokens", q + F.col("shift")) == F.get("its", q)).cast("int"))
@@ -80,7 +87,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that overlap with an item; all columns stay."""
+    """docs without the documents that overlap with an item; all columns stay.
+
+    Null, empty and short texts overlap with nothing and stay; rows that repeat a key or a text are judged each on
+    its own; an empty table stays empty, and without items all rows stay.
+    """
     gone = stored(overlaps(docs, benchmark, key, text).select("row").distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
