@@ -11,7 +11,7 @@ from vellum.plans import ORACLE, QUERIES
 COLUMNS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
 #: Queries that tell a row by its place, and those that only count with it.
 PLACED = [
-    "candidate_scores", "split_spreads", "segmentation_confidence", "edge_visibility", "paper_candidates", "refinement_verdicts", "edge_expansion", "page_ownership",
+    "candidate_scores", "split_spreads", "segmentation_confidence", "edge_visibility", "paper_candidates", "refinement_verdicts", "edge_expansion", "page_ownership", "partial_masks",
 ]
 FILTERED = {"quality_warnings", "spread_rois", "crop_differences"}
 
