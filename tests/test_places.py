@@ -57,3 +57,18 @@ def test_rows_have_places(spark, folder, name):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
     assert "row_number() OVER (PARTITION BY l_orderkey" in ORACLE[name]
     assert places == set(con.sql(f"SELECT page_id, ord FROM ({ORACLE[name]})").fetchall())
+
+
+def test_conflicts_are_of_places(spark, folder):
+    """Even places are of the outline, odd ones of the lines of text."""
+    want = {}
+    for page in (1, 2, 3, 4):
+        ways = {True: [], False: []}
+        for (p, place), row in numbered(LINES).items():
+            if p == page and row[1] is not None and row[1] % 5 % 3 != 1:
+                ways[place % 2 == 0].append(row[1] % 5 % 3 - 1)
+        share = {g: max(w.count(1), w.count(-1)) / len(w) if w else 0.0 for g, w in ways.items()}
+        within = any({1, -1} <= set(w) and share[g] < 0.67 for g, w in ways.items())
+        want[page] = within or min(map(len, ways.values())) >= 2 and sum(ways[True]) * sum(ways[False]) < 0 and min(share.values()) >= 0.67
+    got = {r["page_id"]: r["conflict"] for r in QUERIES["direction_conflicts"](spark, folder).collect()}
+    assert got == want and set(want.values()) == {True, False}
