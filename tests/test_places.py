@@ -12,7 +12,7 @@ COLUMNS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_
 #: Queries that tell a row by its place, and those that only count with it.
 PLACED = [
     "candidate_scores", "split_spreads", "segmentation_confidence", "edge_visibility", "paper_candidates", "refinement_verdicts", "edge_expansion", "page_ownership", "partial_masks",
-    "curvature_classes", "curve_adoption", "curved_confidence", "spread_classes", "production_crop", "guide_levels", "quality_warnings", "conservative_corners",
+    "curvature_classes", "curve_adoption", "curved_confidence", "spread_classes", "production_crop", "guide_levels", "quality_warnings", "conservative_corners", "polygon_area",
 ]
 FILTERED = {"quality_warnings", "spread_rois", "crop_differences"}
 
