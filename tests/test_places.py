@@ -73,3 +73,9 @@ def test_conflicts_are_of_places(spark, folder):
         want[page] = within or min(map(len, ways.values())) >= 2 and sum(ways[True]) * sum(ways[False]) < 0 and min(share.values()) >= 0.67
     got = {r["page_id"]: r["conflict"] for r in QUERIES["direction_conflicts"](spark, folder).collect()}
     assert got == want and set(want.values()) == {True, False}
+
+
+def test_crops_are_counted_by_place(spark, tmp_path):
+    """Every thirteenth row of a page has no content of its own."""
+    spark.createDataFrame([line(7, 1, 1, 5, day) for day in range(1, 29)], COLUMNS).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["source"]: r["n"] for r in QUERIES["crop_sources"](spark, str(tmp_path)).collect()} == {"contentSafe": 26, "guideFallback": 2}
