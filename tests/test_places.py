@@ -13,7 +13,7 @@ COLUMNS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_
 PLACED = [
     "candidate_scores", "split_spreads", "segmentation_confidence", "edge_visibility", "paper_candidates", "refinement_verdicts", "edge_expansion", "page_ownership", "partial_masks",
     "curvature_classes", "curve_adoption", "curved_confidence", "spread_classes", "production_crop", "guide_levels", "quality_warnings", "conservative_corners", "polygon_area",
-    "bounds_extent", "corner_order", "manual_corners", "boundary_sanity", "boundary_guidance", "bounded_refinement", "crop_cascade", "guide_overlap", "search_rois",
+    "bounds_extent", "corner_order", "manual_corners", "boundary_sanity", "boundary_guidance", "bounded_refinement", "crop_cascade", "guide_overlap", "search_rois", "output_sizes",
 ]
 FILTERED = {"quality_warnings", "spread_rois", "crop_differences"}
 
