@@ -14,7 +14,7 @@ PLACED = [
     "candidate_scores", "split_spreads", "segmentation_confidence", "edge_visibility", "paper_candidates", "refinement_verdicts", "edge_expansion", "page_ownership", "partial_masks",
     "curvature_classes", "curve_adoption", "curved_confidence", "spread_classes", "production_crop", "guide_levels", "quality_warnings", "conservative_corners", "polygon_area",
     "bounds_extent", "corner_order", "manual_corners", "boundary_sanity", "boundary_guidance", "bounded_refinement", "crop_cascade", "guide_overlap", "search_rois", "output_sizes",
-    "boundary_modes", "rotated_boundaries", "spread_rois", "guide_regions", "crop_unrotate_compose", "split_geometry", "pdf_page_sizes", "small_rules",
+    "boundary_modes", "rotated_boundaries", "spread_rois", "guide_regions", "crop_unrotate_compose", "split_geometry", "pdf_page_sizes", "small_rules", "crop_differences",
 ]
 FILTERED = {"quality_warnings", "spread_rois", "crop_differences"}
 
