@@ -15,7 +15,7 @@ PLACED = [
     "curvature_classes", "curve_adoption", "curved_confidence", "spread_classes", "production_crop", "guide_levels", "quality_warnings", "conservative_corners", "polygon_area",
     "bounds_extent", "corner_order", "manual_corners", "boundary_sanity", "boundary_guidance", "bounded_refinement", "crop_cascade", "guide_overlap", "search_rois", "output_sizes",
     "boundary_modes", "rotated_boundaries", "spread_rois", "guide_regions", "crop_unrotate_compose", "split_geometry", "pdf_page_sizes", "small_rules", "crop_differences",
-    "initial_corners", "native_features", "native_penalties", "native_spines", "paper_regions",
+    "initial_corners", "native_features", "native_penalties", "native_spines", "paper_regions", "native_base_scores",
 ]
 FILTERED = {"quality_warnings", "spread_rois", "crop_differences"}
 
