@@ -1,6 +1,9 @@
 """Spread pages from their strongest lines: a drawn spread, and pictures that have none."""
 
+import duckdb
+
 from vellum.operators import priors as O
+from vellum.plans import ORACLE, QUERIES
 
 LINES = "mask long, y long, shades array<bigint>, edges array<boolean>"
 W, H = 100, 80
@@ -48,3 +51,21 @@ def test_odd_pictures(spark):
     small = spark.createDataFrame([(1, y, [y * 7 % 256] * 30, [True] * 30) for y in range(30)], LINES)
     anchors = O.level_anchors(small, O.upright_anchors(small, 30, 30), 30, 30)
     assert O.prior_candidates(anchors.selectExpr("*", "0.6D AS contrast", "0.8D AS paper", "0.95D AS envelope", "0.1D AS continuation"), 30, 30).count() == 0
+
+
+def test_pictures_without_their_lower_lines(spark):
+    """A picture that ends above the places of a bottom edge has a top at most, and so no anchors: as many rows as the SQL, whose joins need both."""
+    rows = [(1, *r) for r in spread()] + [(2, *r) for r in spread() if r[0] < 10] + [(3, *r) for r in spread() if r[0] >= 40]
+    lines = spark.createDataFrame(rows, LINES)
+    got = O.level_anchors(lines, O.upright_anchors(lines, W, H), W, H).collect()
+    assert {(r["mask"], r["side"]) for r in got} == {(1, "left"), (1, "right")}
+
+
+def test_query_where_lines_are_missing(spark, tmp_path):
+    """The last picture ends early, and vectors that are null are no lines, to the query and its SQL alike."""
+    rows = [(i, None if i % 11 == 4 else [((i * 37 + x * x * 13) % 101 - 50) / 80.0 for x in range(64)]) for i in range(110)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE["spread_anchors"]).fetchall())
+    assert want and sorted(tuple(r) for r in QUERIES["spread_anchors"](spark, str(tmp_path)).collect()) == want

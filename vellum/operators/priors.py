@@ -82,7 +82,7 @@ def upright_anchors(lines: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def level_anchors(lines: DataFrame, upright: DataFrame, width: int, height: int) -> DataFrame:
-    """upright with top, top_support, bottom and bottom_support, found within the columns between outer edge and spine; sides that are too narrow go."""
+    """upright with top, top_support, bottom and bottom_support, found within the columns between outer edge and spine; sides that are too narrow, or lack a top or a bottom, go."""
     off = max(2, int(height * 0.012 + 0.5))
     down = W.partitionBy("mask").orderBy("y")
     whole = down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -118,7 +118,8 @@ def level_anchors(lines: DataFrame, upright: DataFrame, width: int, height: int)
     told = met.select("mask", "side", "r.*", F.col("y").alias("at"), _support(F.col("hits"), F.col("near"), F.col("n")).alias("support"), _contrast(F.col("far"), F.col("m")).alias("contrast"))
     best = told.groupBy("mask", "side", "role").agg(_strongest(_preferred(F.col("at"), height, F.col("low"), F.col("high"), F.col("target"))))
     named = [F.max(F.when(F.col("role") == r, F.col(f"b.{c}"))).alias(n) for r in ("top", "bottom") for c, n in (("at", r), ("support", f"{r}_support"))]
-    return owned.drop("from", "to").join(best.groupBy("mask", "side").agg(*named), ["mask", "side"])
+    both = best.groupBy("mask", "side").agg(*named).filter("top IS NOT NULL AND bottom IS NOT NULL")
+    return owned.drop("from", "to").join(both, ["mask", "side"])
 
 
 def prior_candidates(anchors: DataFrame, width: int, height: int) -> DataFrame:

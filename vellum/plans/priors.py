@@ -14,7 +14,7 @@ WIDTH, HEIGHT = 64, 50
 
 def pictures(spark, d):
     edge = F.transform("shades", lambda v, x: F.abs(F.get("shades", x + 1) - F.get("shades", x - 1)) > 40)
-    return view(spark, d, "shades").withColumn("edges", edge)
+    return view(spark, d, "shades").filter("shades IS NOT NULL").withColumn("edges", edge)
 
 
 def anchors(spark, d):
