@@ -1,5 +1,7 @@
 """Pictures with known pages."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -116,3 +118,40 @@ def test_png_and_pdf_files(spark):
     place = int(got[8].split(b"startxref\n")[1].split(b"\n")[0])
     assert got[8][place : place + 4] == b"xref" and got[8].endswith(b"%%EOF\n")
     assert all(r["valid"] for r in valid_pdf(made.selectExpr("cast(document as string) as path", "length(content) as length", "content")).collect())
+
+
+def test_many_specks_take_one_pass():
+    """A mask of some ten thousand specks beside a page: the time must not be specks times pixels."""
+    rng = np.random.default_rng(3)
+    mask = rng.random((500, 500)) < 0.15
+    mask[100:400, 100:400] = True
+    began = time.perf_counter()
+    labels, n = V.components(mask)
+    page = V.main_component(mask)
+    assert n > 10_000 and time.perf_counter() - began < 2
+    assert page[100:400, 100:400].all() and (labels > 0).sum() == mask.sum() and (labels[page] == labels[250, 250]).all()
+
+
+def test_lines_are_taken_by_votes():
+    """The same lines as by looking for the most votes again after each line."""
+    rng = np.random.default_rng(4)
+    for shape in ((40, 60), (61, 33)):
+        edges = rng.random(shape) < 0.05
+        edges[10, 5:30] = edges[5:35, 20] = True
+        ys, xs = np.nonzero(edges)
+        size = int(np.ceil(np.hypot(*shape)))
+        counts = np.stack([np.bincount(np.round(xs * np.cos(t) + ys * np.sin(t)).astype(int) + size, minlength=2 * size + 1) for t in np.radians(np.arange(180))])
+        want = []
+        while len(want) < 25 and counts.max() >= 6:
+            a, r = np.unravel_index(int(np.argmax(counts)), counts.shape)
+            want.append((float(a), float(r - size), int(counts[a, r])))
+            for da in range(-3, 4):
+                b, at = (a + da) % 180, r if 0 <= a + da < 180 else 2 * size - r
+                counts[b, max(0, at - 4) : at + 5] = 0
+        assert V.hough_lines(edges, 6, 25) == want and len(want) > 5
+
+
+def test_whole_greys_are_looked_up():
+    grey = np.random.default_rng(5).integers(0, 256, (30, 40)).astype(np.uint8)
+    for got, want in zip(V.plain_paper(grey), V.plain_paper(grey.astype(float)), strict=True):
+        assert (got == want).all()
