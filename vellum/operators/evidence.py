@@ -1,16 +1,20 @@
-"""Evidence around a page's edges: samples of a picture are rows, evidence is their aggregates.
+"""Evidence around a page's edges: samples of a picture, and what they say together.
 
-Samples are looked up in pixels by whoever has them; places to look at come from edge_places() and band_places().
+Samples are looked up in pixels by whoever has them; places to look at come from edge_places() and band_places().  The
+few samples of a line along an edge are arrays of one row, so that nothing is sorted or shuffled; those of a band are rows.
+
+Steps over a line's arrays are written out sample by sample.  The long ones have a function over an array column (a count, a
+transform) among them: that keeps them out of whole-stage code, where each would be one method too long for the JVM to compile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import native as N
-from vellum.functions import stats as S
 from vellum.functions.geometry import Quad, distance
 from vellum.functions.numbers import clamp
 from vellum.operators.outlines import OUTWARD_LIMIT, SPINE_LIMIT, half_up
@@ -34,7 +38,10 @@ def outward_limit(edge: Column) -> Column:
 
 
 def edge_places(sheets: DataFrame) -> DataFrame:
-    """Where to look for the edges of sheets: page_id, edge, limit, offset, i, and the points on, inside and outside the edge."""
+    """Where to look for the edges of sheets: page_id, edge, limit, step, offset, and in arrays of SAMPLES the points on, inside and outside a line that far out.
+
+    The points beside the line are null where one of the two is not well inside the picture.
+    """
     q, size = Quad.of(), F.least("width", "height")
     edges = []
     for k in range(4):
@@ -42,52 +49,75 @@ def edge_places(sheets: DataFrame) -> DataFrame:
         length = F.greatest(distance(ax, ay, bx, by), F.lit(1.0))
         edges.append(F.struct(F.lit(k).alias("edge"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), ((by - ay) / length).alias("nx"), ((ax - bx) / length).alias("ny"), outward_limit(F.lit(k)).alias("limit")))
     step, probe = F.greatest(F.lit(1.0), size * STEP), F.greatest(F.lit(2.0), size * PROBE)
-    at = sheets.select("page_id", step.alias("step"), probe.alias("probe"), F.explode(F.array(*edges)).alias("e")).select("page_id", "step", "probe", "e.*")
+    at = sheets.select("page_id", "width", "height", step.alias("step"), probe.alias("probe"), F.explode(F.array(*edges)).alias("e")).select("page_id", "width", "height", "step", "probe", "e.*")
     at = at.withColumn("offset", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("limit") + 0.1) / F.col("step")).cast("int")), lambda s: s * F.col("step"))))
-    at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(SAMPLES))))
-    t = F.col("i") / float(SAMPLES + 1)
-    x, y = F.col("ax") + (F.col("bx") - F.col("ax")) * t + F.col("nx") * F.col("offset"), F.col("ay") + (F.col("by") - F.col("ay")) * t + F.col("ny") * F.col("offset")
-    at = at.withColumns({"x": x, "y": y})
-
-    def pixel(of: str, sign: int) -> Column:
-        return half_up(F.col(of) + F.col(f"n{of}") * F.col("probe") * sign).cast("int")
-
+    at = at.select(
+        "page_id", "edge", "limit", "step", "offset", *[(F.col(f"n{c}") * F.col("probe")).alias(f"probe_{c}") for c in "xy"], F.struct("width", "height").alias("size"),
+        *[each(f"a{c} + (b{c} - a{c})*({{k}}e0/{SAMPLES + 1}e0) + n{c}*offset", 1).alias(f"on_{c}") for c in "xy"],
+    )
+    pixel = {f"{side}_{c}": f"int(floor(get(on_{c}, {{k}}) {sign} probe_{c} + 0.5e0))" for side, sign in (("in", "-"), ("out", "+")) for c in "xy"}
+    inside = " AND ".join(f"least({pixel[f'in_{c}']}, {pixel[f'out_{c}']}) >= 1 AND greatest({pixel[f'in_{c}']}, {pixel[f'out_{c}']}) < size.{of} - 1" for c, of in (("x", "width"), ("y", "height")))
     return at.select(
-        "page_id", "edge", "limit", "step", "offset", "i", half_up(F.col("x")).cast("int").alias("x"), half_up(F.col("y")).cast("int").alias("y"),
-        pixel("x", -1).alias("in_x"), pixel("y", -1).alias("in_y"), pixel("x", 1).alias("out_x"), pixel("y", 1).alias("out_y"),
+        "page_id", "edge", "limit", "step", "offset", *[F.transform(f"on_{c}", lambda v: half_up(v).cast("int")).alias(c) for c in "xy"],
+        *[each(f"CASE WHEN {inside} THEN {of} END").alias(name) for name, of in pixel.items()],
     )
 
 
+def each(text: str, first: int = 0) -> Column:
+    """The array of an SQL expression for each sample; {k} is its number, from first on."""
+    return F.expr(_each(text, first))
+
+
+def _each(text: str, first: int = 0) -> str:
+    return f"array({', '.join(text.format(k=k) for k in range(first, first + SAMPLES))})"
+
+
+def _ordered(of: str) -> str:
+    """An array's values in order, infinity for those that are null."""
+    return f"sort_array({_each(f"coalesce(get({of}, {{k}}), double('inf'))")})"
+
+
+def _median(of: str) -> Column:
+    """The median of the n values of an array that are not null."""
+    return F.expr(f"get({_ordered(of)}, shiftright(n - 1, 1))*0.5e0 + get({_ordered(of)}, shiftright(n, 1))*0.5e0")
+
+
+def _count(of: str, condition: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(of, condition))
+
+
+def _apart(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    return f"sqrt({' + '.join(f'({x} - {y})*({x} - {y})' for x, y in zip(a, b, strict=True))})"
+
+
 def edge_evidence(samples: DataFrame) -> DataFrame:
-    """Per page_id, edge and offset of samples (i, colours il ia ib inside and ol oa ob outside, gradient): score, support, continuity and occlusion.
+    """Per page_id, edge and offset of samples: score, support, continuity and occlusion.
 
+    Samples are arrays in order along the edge (colours il ia ib inside and ol oa ob outside, gradient); where a colour is null there is no sample, and lines without any are left out.
     A sample scores by how its two sides differ; those off the median score, or of a colour unlike the inside's, do not
     count, and jumps between those that do break the edge.
     """
     keys = ["page_id", "edge", "limit", "step", "offset"]
-    w = W.partitionBy(*keys)
-
-    def apart(a: tuple, b: tuple) -> Column:
-        return F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
-
-    inside, outside = tuple(F.col(f"i{c}") for c in "lab"), tuple(F.col(f"o{c}") for c in "lab")
-    score = clamp(apart(inside, outside) / 58.0 * 0.50 + F.abs(inside[0] - outside[0]) / 52.0 * 0.25 + F.col("gradient") / 96.0 * 0.25)
-    s = samples.withColumn("score", score)
-    s = s.withColumns({"ms": F.percentile("score", 0.5).over(w), "n": F.count(F.lit(1)).over(w), **{f"m{c}": F.percentile(f"i{c}", 0.5).over(w) for c in "lab"}})
-    s = s.withColumns({"ds": F.abs(F.col("score") - F.col("ms")), "colour": apart(inside, tuple(F.col(f"m{c}") for c in "lab"))})
-    s = s.withColumns({"spread": F.greatest(F.lit(0.025), F.percentile("ds", 0.5).over(w)), "mc": F.percentile("colour", 0.5).over(w)})
-    s = s.withColumn("dc", F.abs(F.col("colour") - F.col("mc"))).withColumn("wide", F.greatest(F.lit(2.0), F.percentile("dc", 0.5).over(w)))
-    s = s.withColumn("is_in", (F.col("ds") <= F.col("spread") * DEVIATIONS) & (F.col("colour") <= F.col("mc") + F.col("wide") * DEVIATIONS))
-    before = F.last(F.when(F.col("is_in"), F.col("score")), ignorenulls=True).over(w.orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    s = s.withColumn("jump", F.col("is_in") & (F.abs(F.col("score") - before) > JUMP))
-    t = s.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_in"), F.col("score")))).alias("kept"), F.count_if("is_in").alias("inliers"), F.count_if("jump").alias("jumps"), F.first("n").alias("n"),
-        (F.count_if(F.col("score") >= SAMPLE_EVIDENCE) / F.first("n")).alias("support"),
-    )
+    inside, outside = (tuple(f"get({side}{c}, {{k}})" for c in "lab") for side in "io")
+    score = f"{_apart(inside, outside)}/58e0*0.5e0 + abs({inside[0]} - {outside[0]})/52e0*0.25e0 + get(gradient, {{k}})/96e0*0.25e0"
+    s = samples.select(*keys, "il", "ia", "ib", each(f"CASE WHEN {inside[0]} IS NOT NULL THEN least(greatest({score}, 0e0), 1e0) END").alias("score"), _count("il", lambda v: v.isNotNull()).alias("n"))
+    support = _count("score", lambda v: v >= SAMPLE_EVIDENCE) / F.nullif("n", F.lit(0))
+    s = s.select(*keys, "n", "score", "il", "ia", "ib", support.alias("support"), *[_median(of).alias(m) for of, m in (("score", "ms"), ("il", "ml"), ("ia", "ma"), ("ib", "mb"))])
+    s = s.select(*keys, "n", "score", "support", F.transform("score", lambda v: F.abs(v - F.col("ms"))).alias("ds"), each(_apart(inside, ("ml", "ma", "mb"))).alias("colour"))
+    s = s.withColumns({"spread": F.greatest(F.lit(0.025), _median("ds")), "mc": _median("colour")})
+    s = s.withColumn("dc", F.transform("colour", lambda v: F.abs(v - F.col("mc")))).withColumn("wide", F.greatest(F.lit(2.0), _median("dc")))
+    is_in = f"get(ds, {{k}}) <= spread*{DEVIATIONS}e0 AND get(colour, {{k}}) <= mc + wide*{DEVIATIONS}e0"
+    s = s.select(*keys, "n", "support", each(f"CASE WHEN {is_in} THEN get(score, {{k}}) END").alias("kept"))
+    jumps = [f"CASE WHEN abs(get(kept, {k}) - coalesce({', '.join(f'get(kept, {j})' for j in range(k - 1, -1, -1))})) > {JUMP}e0 THEN 1 ELSE 0 END" for k in range(1, SAMPLES)]
+    s = s.select(*keys, "n", "support", F.expr(_ordered("kept")).alias("ordered"), _count("kept", lambda v: v.isNotNull()).alias("inliers"), F.expr(" + ".join(jumps)).alias("jumps"))
+    s = s.withColumn("cut", F.floor(F.col("inliers") * TRIM).cast("int"))
+    middle = F.expr(" + ".join(f"CASE WHEN cut <= {k} AND inliers - cut > {k} THEN get(ordered, {k}) ELSE 0e0 END" for k in range(SAMPLES)))
     broken = F.when(F.col("inliers") < 2, 1.0).otherwise(F.col("jumps") / (F.col("inliers") - 1))
-    t = t.withColumn("broken", broken).withColumn("score", F.when(F.col("inliers") > 0, S.trimmed_mean(F.col("kept"), TRIM)).otherwise(0.0))
-    occlusion = clamp((F.lit(1.0) - F.col("inliers") / F.col("n")) * 0.70 + F.col("broken") * 0.30)
-    return t.select(*keys, "score", "support", clamp(F.lit(1.0) - F.col("broken")).alias("continuity"), occlusion.alias("occlusion"))
+    t = s.withColumns({"broken": broken, "score": F.when(F.col("inliers") > 0, middle / (F.col("inliers") - F.col("cut") * 2)).otherwise(0.0)})
+    occlusion = clamp((F.lit(1.0) - F.col("inliers") / F.nullif("n", F.lit(0))) * 0.70 + F.col("broken") * 0.30)
+    found = F.struct(*keys, "score", "support", clamp(F.lit(1.0) - F.col("broken")).alias("continuity"), occlusion.alias("occlusion"))
+    # not a filter: that would go down to the samples, and all would be computed twice
+    return t.select(F.inline(F.when(F.col("n") > 0, F.array(found))))
 
 
 def edge_moves(evidence: DataFrame) -> DataFrame:

@@ -25,9 +25,10 @@ def sheets(spark, d):
 
 
 def looked_up(spark, d):
-    places = O.edge_places(sheets(spark, d)).filter("least(in_x, out_x) >= 1 AND greatest(in_x, out_x) < 999 AND least(in_y, out_y) >= 1 AND greatest(in_y, out_y) < 1399")
-    colours = {f"{side[0]}{c}": at(t, f"{side}_x", f"{side}_y") for side in ("in", "out") for c, t in zip("lab", (L, A, B), strict=True)}
-    return places.select("page_id", "edge", "limit", "step", "offset", "i", *[F.expr(t).alias(n) for n, t in colours.items()], F.expr(at(G, "x", "y")).alias("gradient"))
+    places = O.edge_places(sheets(spark, d))
+    colours = {f"{side[0]}{c}": O.each(at(t, f"get({side}_x, {{k}})", f"get({side}_y, {{k}})")) for side in ("in", "out") for c, t in zip("lab", (L, A, B), strict=True)}
+    gradient = F.expr(f"zip_with(x, y, (x, y) -> {at(G, 'x', 'y')})")
+    return places.select("page_id", "edge", "limit", "step", "offset", *[c.alias(n) for n, c in colours.items()], gradient.alias("gradient"))
 
 
 def edge_evidence(spark, d):
