@@ -54,6 +54,13 @@ def test_lines_of_any_samples(spark):
 
 
 def test_evidence_stays_in_its_row(spark):
-    """Samples are not sorted or shuffled."""
-    plan = QUERIES["edge_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert not any(word in plan for word in ("Exchange", "Window", "Sort ["))
+    """Sheets are dealt out, and the choice among an edge's lines needs a shuffle; samples are not sorted or shuffled."""
+    plans = {q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("edge_evidence", "edge_moves")}
+    assert plans["edge_evidence"].count("Exchange") == 1 and not any(word in plans["edge_evidence"] for word in ("Window", "Sort ["))
+    assert "Window" not in plans["edge_moves"] and plans["edge_moves"].count("Exchange") == 2
+
+
+def test_sheets_of_one_file_are_dealt_out(spark):
+    sheets = spark.range(400).selectExpr("id AS page_id", "'left' AS side", "1000 AS width", "1400 AS height", "100D AS x0", "150D AS y0", "900D AS x1", "150D AS y1", "900D AS x2", "1270D AS y2", "100D AS x3", "1270D AS y3")
+    tasks = O.edge_places(sheets.coalesce(1)).selectExpr("spark_partition_id() AS p").distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism

@@ -49,6 +49,8 @@ def edge_places(sheets: DataFrame) -> DataFrame:
         length = F.greatest(distance(ax, ay, bx, by), F.lit(1.0))
         edges.append(F.struct(F.lit(k).alias("edge"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), ((by - ay) / length).alias("nx"), ((ax - bx) / length).alias("ny"), outward_limit(F.lit(k)).alias("limit")))
     step, probe = F.greatest(F.lit(1.0), size * STEP), F.greatest(F.lit(2.0), size * PROBE)
+    # a sheet of some 100 bytes turns into 1,600 samples: sheets are dealt out, however few files or row groups they come from
+    sheets = sheets.repartition(4 * sheets.sparkSession.sparkContext.defaultParallelism, "page_id")
     at = sheets.select("page_id", "width", "height", step.alias("step"), probe.alias("probe"), F.explode(F.array(*edges)).alias("e")).select("page_id", "width", "height", "step", "probe", "e.*")
     at = at.withColumn("offset", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("limit") + 0.1) / F.col("step")).cast("int")), lambda s: s * F.col("step"))))
     at = at.select(
